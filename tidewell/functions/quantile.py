@@ -30,7 +30,7 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: s
         (F.col("_min") if q <= slack else F.col("_sk_lo")).alias("_lo"),
         (F.col("_max") if q >= 1 - slack else F.col("_sk_hi")).alias("_hi"),
     )
-    joined = known.join(bracket, keys) if keys else known.crossJoin(F.broadcast(bracket))
+    joined = known.join(bracket, keys)
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
     # values below the bracket collapse into one counted row, equal values inside it as well
     counted = joined.groupBy(*keys, "_n", F.when(inside, F.col("_v")).alias("_v"), (F.col("_v") < F.col("_lo")).alias("_b")).agg(

@@ -71,13 +71,13 @@ def fill_covariates(df: DataFrame, res: int | str = "1h") -> DataFrame:
     return impute(impute(to_grid(df, res, keep_slice=True), res, "time"), res, "pad")
 
 
-def broadcast_covariates(covs: DataFrame, series: DataFrame) -> DataFrame:
+def broadcast_covariates(covs: DataFrame, series: DataFrame, cells: int = 64) -> DataFrame:
     """Attach one shared covariate table to every series, with ids ``<field>_<ts_id>``.
 
-    The result by definition holds every covariate row once per series. ``covs`` is one table of a few fields over
-    time, while the list of series may be long; which side is copied to the executors is left to the optimizer, which
-    goes by their sizes.
+    The result by definition holds every covariate row once per series. The covariate rows are dealt to ``cells``
+    numbered cells and the list of series is sent to each of them, which makes it an equi-join that spreads over
+    many tasks whatever the size of either side.
     """
-    targets = series.select("ts_id").distinct()
-    shared = covs.select(F.col("id").alias("field"), "ts", "value")
-    return shared.join(targets).select("ts_id", F.concat_ws("_", "field", "ts_id").alias("id"), "ts", "value")
+    targets = series.select("ts_id").distinct().withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    shared = covs.select(F.col("id").alias("field"), "ts", "value", F.pmod(F.xxhash64("id", "ts"), F.lit(cells)).cast("int").alias("_cell"))
+    return shared.join(targets, "_cell").select("ts_id", F.concat_ws("_", "field", "ts_id").alias("id"), "ts", "value")
