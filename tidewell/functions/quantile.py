@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10000
+SMALL = 20000
 
 
 def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
@@ -13,10 +14,11 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: s
 
     The built-in exact percentile keeps every distinct value of a group in one buffer. Here a mergeable sketch
     with a guaranteed rank error first brackets the wanted ranks, and only the few values inside the bracket
-    (at most about ``4 / ACCURACY`` of a large group) are counted and ordered exactly.
+    (at most about ``8 / ACCURACY`` of a large group, all of a group of at most ``SMALL``) are counted and ordered.
     """
     known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    slack = 2.0 / ACCURACY
+    # sketch error 1 / ACCURACY, plus a margin of at least one rank in every group above SMALL
+    slack = 3.0 / ACCURACY
     bracket = known.groupBy(*keys).agg(
         F.count("*").alias("_n"),
         F.percentile_approx("_v", max(q - slack, 0.0), ACCURACY).alias("_sk_lo"),
@@ -27,8 +29,8 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: s
     bracket = bracket.select(
         *keys,
         "_n",
-        (F.col("_min") if q <= slack else F.col("_sk_lo")).alias("_lo"),
-        (F.col("_max") if q >= 1 - slack else F.col("_sk_hi")).alias("_hi"),
+        F.when((F.col("_n") <= SMALL) | (F.lit(q) <= slack), F.col("_min")).otherwise(F.col("_sk_lo")).alias("_lo"),
+        F.when((F.col("_n") <= SMALL) | (F.lit(q) >= 1 - slack), F.col("_max")).otherwise(F.col("_sk_hi")).alias("_hi"),
     )
     joined = known.join(bracket, keys)
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))

@@ -88,10 +88,6 @@ def impute(
     return out if flag else out.drop("imputed")
 
 
-def _line_slope(a: str, b: str) -> Column:
-    return (F.col(f"{b}.value") - F.col(f"{a}.value")) / (epoch(f"{b}.ts") - epoch(f"{a}.ts"))
-
-
 def _pchip_inner(h0, h1, d0, d1) -> Column:
     """Weighted harmonic mean of both secants; 0 where they disagree in sign."""
     w0, w1 = 2 * h1 + h0, h1 + 2 * h0
@@ -122,17 +118,20 @@ def _pchip_slope(m: dict, h: dict, i: int) -> Column:
 def _akima_slope(m: dict, i: int) -> Column:
     """Akima's weighted slope; secants beyond the ends continue the last two linearly."""
     b1, b2, a1, a2 = m[i - 1], m[i - 2], m[i], m[i + 1]
-    # missing secants, from the inside out
-    a1x = F.coalesce(a1, 2 * b1 - b2)
-    a2x = F.coalesce(a2, F.when(a1.isNull(), 2 * (2 * b1 - b2) - b1).otherwise(2 * a1 - b1))
-    b1x = F.coalesce(b1, 2 * a1 - a2)
-    b2x = F.coalesce(b2, F.when(b1.isNull(), 2 * (2 * a1 - a2) - a1).otherwise(2 * b1 - a1))
-    # with one interval only every secant is the same
-    only = F.coalesce(a1, b1)
-    a1x, a2x, b1x, b2x = (F.coalesce(c, only) for c in (a1x, a2x, b1x, b2x))
-    wl, wr = F.abs(a2x - a1x), F.abs(b1x - b2x)
-    flat = (wl + wr) <= F.lit(1e-9) * F.greatest(F.abs(a1x), F.abs(b1x))
-    return F.when(flat, (a1x + b1x) / 2).otherwise((wl * b1x + wr * a1x) / (wl + wr))
+    one = F.coalesce(a1, b1)  # with a single interval every secant is the same
+    first = F.array(2 * a1 - a2, 3 * a1 - 2 * a2, a1, a2)  # [before, before that, after, after that]
+    last = F.array(b1, b2, 2 * b1 - b2, 3 * b1 - 2 * b2)
+    second = F.array(b1, 2 * b1 - a1, a1, F.coalesce(a2, 2 * a1 - b1))
+    inner = F.array(b1, b2, a1, F.coalesce(a2, 2 * a1 - b1))
+    four = F.when(b1.isNull(), first).when(a1.isNull(), last).when(b2.isNull(), second).otherwise(inner)
+
+    def weigh(acc):
+        pb1, pb2, pa1, pa2 = (F.coalesce(acc[k], one) for k in range(4))
+        wl, wr = F.abs(pa2 - pa1), F.abs(pb1 - pb2)
+        flat = (wl + wr) <= F.lit(1e-9) * F.greatest(F.abs(pa1), F.abs(pb1))
+        return F.when(flat, (pa1 + pb1) / 2).otherwise((wl * pb1 + wr * pa1) / (wl + wr))
+
+    return F.transform(F.array(four), weigh)[0]
 
 
 def _cubic(df: DataFrame, res: int, method: str, span: int | None) -> tuple[DataFrame, Column]:
@@ -145,8 +144,12 @@ def _cubic(df: DataFrame, res: int, method: str, span: int | None) -> tuple[Data
     known = neighbours(df.select(*KEYS, "ts", "value").filter("value is not null"), 3, ["value"], span)
     pts = known.withColumn("x", F.struct("ts", "value"))
     name = {0: "x", **{j: f"n{j}" for j in (1, 2, 3)}, **{-j: f"p{j}" for j in (1, 2, 3)}}
-    m = {j: _line_slope(name[j], name[j + 1]) for j in range(-3, 3)}
-    h = {j: (epoch(f"{name[j + 1]}.ts") - epoch(f"{name[j]}.ts")).cast("double") for j in range(-3, 3)}
+    # secants and widths become columns first: the slopes use each of them many times
+    pts = pts.withColumns({f"_h{j + 3}": (epoch(f"{name[j + 1]}.ts") - epoch(f"{name[j]}.ts")).cast("double") for j in range(-3, 3)})
+    rise = {j: F.col(f"{name[j + 1]}.value") - F.col(f"{name[j]}.value") for j in range(-3, 3)}
+    pts = pts.withColumns({f"_m{j + 3}": rise[j] / F.col(f"_h{j + 3}") for j in range(-3, 3)})
+    m = {j: F.col(f"_m{j + 3}") for j in range(-3, 3)}
+    h = {j: F.col(f"_h{j + 3}") for j in range(-3, 3)}
     slope = (lambda i: _pchip_slope(m, h, i)) if method == "pchip" else (lambda i: _akima_slope(m, i))
     pts = pts.select(
         *KEYS,

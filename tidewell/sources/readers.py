@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .layouts import default_ts_id, parse_ts, parse_value, time_columns
 
 RAW_COLUMNS = ["row_id", "ts_id", "id", "raw_ts", "raw_value"]
+DATA_COLUMNS = ("Datetime", "Date", "ID", "Timeseries ID", "Value")
 SINGLE_NAME = "Timeseries"
 
 
@@ -51,10 +52,10 @@ def raw_single(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 def raw_indexed(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Text of a long or short file, whose first column is a row index.
 
-    When the header names no index column, rows may still start with one; it is read as ``index`` either way.
+    When the header starts with a data column, rows may still start with an index; it is read as ``index`` either way.
     """
     names = header_of(spark, path, sep)
-    names = names[1:] if names and names[0] == "" else names
+    names = names if names[0] in DATA_COLUMNS else names[1:]
     schema = ", ".join(["`index` string", *[f"`{n}` string" for n in names]])
     return _csv(spark, path, sep).schema(schema).csv(path)
 
