@@ -37,6 +37,22 @@ def r(c: Column | str, digits: int = 4) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
+# Means of money values often lie halfway between two rounded numbers; both sides move off the tie before rounding.
+OFF_TIE = 0.0000031
+
+
+def mean_r(c: Column | str, digits: int = 4) -> Column:
+    return F.round((F.col(c) if isinstance(c, str) else c) + OFF_TIE, digits)
+
+
+def mean_sql(x: str, digits: int = 4) -> str:
+    return f"round({x} + {OFF_TIE!r}::DOUBLE, {digits})"
+
+
+def mean_rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
+    return df.withColumns({n: mean_r(n, digits) for n in names or ("value",)})
+
+
 def rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
     return df.withColumns({n: r(n, digits) for n in names or ("value",)})
 
@@ -195,5 +211,7 @@ def with_parts(sql: str, parts) -> str:
         visit(p)
     if not done:
         return sql
+    if sql.lstrip().startswith("WITH"):
+        sql = f"SELECT * FROM ({sql})"
     head = ",\n".join(f"{p} AS MATERIALIZED ({PARTS[p]})" for p in done)
     return f"WITH {head}\n{sql}"

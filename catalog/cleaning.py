@@ -8,11 +8,14 @@ from tidewell.operators import clean, impute, resample
 
 from .base import (
     LINE,
+    OFF_TIE,
     ev_grid,
     ev_hour,
     ev_multi,
     ev_raw,
     li_day,
+    mean_rounded,
+    mean_sql,
     multi_grid,
     od_day,
     od_grid,
@@ -171,8 +174,16 @@ def e_11(spark, sf):
 THR = "(value IS NULL AND run_len >= 2 * floor({} / 2) - 1)"
 
 
-def _fill(method: str, thr: int = -1, digits: int = 4):
-    return lambda spark, sf: rounded(impute.impute(od_grid(spark, sf, True), "1d", method, thr), digits=digits)
+def _fill(method: str, thr: int = -1):
+    return lambda spark, sf: rounded(impute.impute(od_grid(spark, sf, True), "1d", method, thr))
+
+
+def _cubic(method: str):
+    def query(spark, sf):
+        d = impute.impute(od_grid(spark, sf, True), "1d", method)
+        return mean_rounded(d)
+
+    return query
 
 
 register("e_12_gap_limit", "od_known", sql=f"SELECT ts_id, id, ts, round(CASE WHEN {THR.format(4)} THEN NULL ELSE {LINE} END, 4) AS value FROM od_known")(
@@ -227,13 +238,13 @@ part(
             CASE i WHEN cnt THEN 3 * m1 - 2 * m2 WHEN cnt - 1 THEN 2 * m - m1 ELSE n1 END AS c2 FROM od_secants)""",
     "od_secants",
 )
-PIECE = """SELECT g.ts_id, g.id, g.ts, round(CASE WHEN g.value IS NOT NULL THEN g.value ELSE
-        p.value + t * (p.d + t * ((3 * p.m - 2 * p.d - p.e) / p.h + t * (p.d + p.e - 2 * p.m) / (p.h * p.h))) END, 6) AS value
+PIECE = """SELECT g.ts_id, g.id, g.ts, round({nudge}::DOUBLE + CASE WHEN g.value IS NOT NULL THEN g.value ELSE
+        p.value + t * (p.d + t * ((3 * p.m - 2 * p.d - p.e) / p.h + t * (p.d + p.e - 2 * p.m) / (p.h * p.h))) END, 4) AS value
     FROM (SELECT *, epoch(ts) - epoch(pt) AS t FROM od_known) g LEFT JOIN (
         SELECT *, lead(d) OVER (PARTITION BY ts_id, id ORDER BY ts) AS e FROM {knots}) p
     ON p.ts_id = g.ts_id AND p.id = g.id AND p.ts = g.pt"""
-register("e_16_impute_pchip", "od_known", "od_pchip", sql=PIECE.format(knots="od_pchip"))(_fill("pchip", digits=6))
-register("e_16_impute_akima", "od_known", "od_akima", sql=PIECE.format(knots="od_akima"))(_fill("akima", digits=6))
+register("e_16_impute_pchip", "od_known", "od_pchip", sql=PIECE.format(knots="od_pchip", nudge=OFF_TIE))(_cubic("pchip"))
+register("e_16_impute_akima", "od_known", "od_akima", sql=PIECE.format(knots="od_akima", nudge=OFF_TIE))(_cubic("akima"))
 
 HOLIDAYS = [(m, d) for m, d in ((1, 1), (5, 1), (12, 25))]
 part("days_off", """SELECT DISTINCT o_orderdate::DATE AS date FROM orders WHERE (month(o_orderdate), day(o_orderdate)) IN ((1, 1), (5, 1), (12, 25))""")
@@ -335,13 +346,13 @@ AGGREGATES = {
 
 
 def _resample(name: str, method: str) -> None:
-    one = "SELECT ts_id, id, bin AS ts, round({a}, 4) AS value FROM (SELECT *, {b} AS bin FROM multi_grid) GROUP BY 1, 2, 3"
-    sql = " UNION ALL ".join(one.format(a=AGGREGATES[method], b=BIN.format(s=s)) for s in (18000, 21600))
+    one = "SELECT ts_id, id, bin AS ts, {a} AS value FROM (SELECT *, {b} AS bin FROM multi_grid) GROUP BY 1, 2, 3"
+    sql = " UNION ALL ".join(one.format(a=mean_sql(AGGREGATES[method]), b=BIN.format(s=s)) for s in (18000, 21600))
 
     @register(name, "multi_grid", sql=sql)
     def query(spark, sf):
         d = multi_grid(spark, sf)
-        return rounded(resample.resample(d, "5h", method).unionByName(resample.resample(d, "6h", method)))
+        return mean_rounded(resample.resample(d, "5h", method).unionByName(resample.resample(d, "6h", method)))
 
 
 _resample("e_22_resample_averaging", "averaging")
@@ -352,10 +363,10 @@ _resample("e_24_resample_downsampling", "downsampling")
 @register(
     "e_22_resample_two_days",
     "li_day",
-    sql=f"SELECT ts_id, id, bin AS ts, round(avg(value), 4) AS value FROM (SELECT *, {BIN.format(s=172800)} AS bin FROM li_day) GROUP BY 1, 2, 3",
+    sql=f"SELECT ts_id, id, bin AS ts, {mean_sql('avg(value)')} AS value FROM (SELECT *, {BIN.format(s=172800)} AS bin FROM li_day) GROUP BY 1, 2, 3",
 )
 def e_22b(spark, sf):
-    return rounded(resample.resample(li_day(spark, sf), "2d", "averaging"))
+    return mean_rounded(resample.resample(li_day(spark, sf), "2d", "averaging"))
 
 
 part("ev_first", "SELECT ts_id, id, date_trunc('hour', ts) AS ts, arg_min(value, row_id) AS value FROM ev_raw GROUP BY 1, 2, 3", "ev_raw")

@@ -54,8 +54,8 @@ def shift_ranges(df: DataFrame, res: int | str, ranges: list[tuple[str | None, s
     out = df.select(*KEYS, "ts", "value")
     for start, end, steps in ranges:
         inside = lambda ts: all_of(
-            [ts >= instant(start)] * (start is not None)
-            + [ts <= instant(end if end is None or len(end) > 10 else f"{end} 23:59:59.999999")] * (end is not None)
+            ([] if start is None else [ts >= instant(start)])
+            + ([] if end is None else [ts <= instant(end if len(end) > 10 else f"{end} 23:59:59.999999")])
         )
         source = shift("ts", -steps * res)
         moved = F.lag("value", steps) if steps > 0 else F.lead("value", -steps)
