@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.durable import new_path
+from tidewell.durable import new_path, stored
 from tidewell.model import canonical
 from tidewell.operators.clean import to_grid
 from tidewell.operators.impute import impute
@@ -117,6 +117,15 @@ def multi_fill(spark, sf) -> DataFrame:
     return impute(multi_grid(spark, sf, True), "1h", "linear")
 
 
+def ev_stored(spark, sf) -> DataFrame:
+    """The filled hourly series as a table, for queries that read it several times."""
+    return stored(ev_fill(spark, sf), "ev_fill")
+
+
+def multi_stored(spark, sf) -> DataFrame:
+    return stored(multi_fill(spark, sf), "multi_fill")
+
+
 def as_csv(spark: SparkSession, df: DataFrame, name: str) -> str:
     """Write a table as CSV to the shared folder, for the queries that read CSV."""
     path = new_path(spark, name)

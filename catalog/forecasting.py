@@ -11,12 +11,12 @@ from tidewell.plans import backtest
 from tidewell.plans.backtest import METRICS
 
 from .base import (
-    ev_fill,
     ev_grid,
     ev_multi,
+    ev_stored,
     mean_rounded,
     mean_sql,
-    multi_fill,
+    multi_stored,
     od_fill,
     part,
     register,
@@ -74,21 +74,17 @@ part("ev_before", f"SELECT * FROM ev_fill WHERE ts < {START_SQL}", "ev_fill")
 part("fc_val", _naive_sql("ev_before", VAL_SQL, H, H, THREE), "ev_before")
 
 
-def fc_day(spark, sf):
-    return naive.seasonal_naive(ev_fill(spark, sf), "1h", 1, START, H)
+def fc_day(d):
+    return naive.seasonal_naive(d, "1h", 1, START, H)
 
 
-def fc_overlap(spark, sf):
-    return naive.seasonal_naive(ev_fill(spark, sf), "1h", 1, START, 30, 6)
-
-
-def fc_multi(spark, sf):
-    return naive.seasonal_naive(multi_fill(spark, sf), "1h", 1, START, H)
+def fc_overlap(d):
+    return naive.seasonal_naive(d, "1h", 1, START, 30, 6)
 
 
 @register("m_03_seasonal_naive", "fc_overlap", sql="SELECT ts_id, id, origin, step, ts, round(yhat, 4) AS yhat FROM fc_overlap")
 def m_03(spark, sf):
-    return rounded(fc_overlap(spark, sf), "yhat")
+    return rounded(fc_overlap(ev_stored(spark, sf)), "yhat")
 
 
 def _components(actual: str, fc: str, start: str, h: int, stride: int, m: int = 1) -> str:
@@ -139,7 +135,7 @@ def b_01(spark, sf):
 
 @register("b_02_merge_windows", "fc_overlap", sql="SELECT ts_id, id, origin, step, ts, round(yhat, 4) AS yhat FROM fc_overlap WHERE step > 24")
 def b_02(spark, sf):
-    return rounded(backtest.merge_windows(fc_overlap(spark, sf), 30, 6), "yhat")
+    return rounded(backtest.merge_windows(fc_overlap(ev_stored(spark, sf)), 30, 6), "yhat")
 
 
 @register(
@@ -149,8 +145,9 @@ def b_02(spark, sf):
         JOIN ev_fill a ON a.ts_id = f.ts_id AND a.id = f.id AND a.ts = f.ts WHERE step > 24 AND a.ts >= {START_SQL} + INTERVAL 24 HOUR""",
 )
 def b_03(spark, sf):
-    merged = backtest.merge_windows(fc_overlap(spark, sf), 30, 6)
-    actual = ev_fill(spark, sf).filter(F.col("ts") >= F.lit("2024-01-23").cast("timestamp_ntz"))
+    series = ev_stored(spark, sf)
+    merged = backtest.merge_windows(fc_overlap(series), 30, 6)
+    actual = series.filter(F.col("ts") >= F.lit("2024-01-23").cast("timestamp_ntz"))
     d = merged.select("ts_id", "id", "ts", "yhat").join(actual, ["ts_id", "id", "ts"])
     return rounded(d, "value", "yhat")
 
@@ -158,9 +155,9 @@ def b_03(spark, sf):
 def _metric_query(name: str, *metrics: str) -> None:
     @register(name, "cm_day", "cm_overlap", sql=" UNION ALL ".join(f"SELECT '{k}' AS windows, ts_id, id, {_shown(*metrics)} FROM {k}" for k in ("cm_day", "cm_overlap")))
     def query(spark, sf):
-        d = ev_fill(spark, sf)
-        day = backtest.component_metrics(d, fc_day(spark, sf), "1h", START, H)
-        over = backtest.component_metrics(d, backtest.merge_windows(fc_overlap(spark, sf), 30, 6), "1h", START, 30, 6, 24)
+        d = ev_stored(spark, sf)
+        day = backtest.component_metrics(d, fc_day(d), "1h", START, H)
+        over = backtest.component_metrics(d, backtest.merge_windows(fc_overlap(d), 30, 6), "1h", START, 30, 6, 24)
         both = day.select(F.lit("cm_day").alias("windows"), "*").unionByName(over.select(F.lit("cm_overlap").alias("windows"), "*"))
         return mean_rounded(both.select("windows", "ts_id", "id", *metrics), *metrics)
 
@@ -173,7 +170,8 @@ _metric_query("b_08_mase", "mase")
 
 
 def _per_series(spark, sf):
-    return backtest.evaluate(multi_fill(spark, sf), fc_multi(spark, sf), "1h", START, H)
+    d = multi_stored(spark, sf)
+    return backtest.evaluate(d, fc_day(d), "1h", START, H)
 
 
 @register("b_09_metrics_by_series", "sm_multi", sql=f"SELECT ts_id, {_shown(*METRICS)} FROM sm_multi")
@@ -203,7 +201,7 @@ def b_11(spark, sf):
 
 @register("b_12_validate_model", "sm_val", sql=f"SELECT ts_id, {_shown(*METRICS)} FROM sm_val WHERE days = 1")
 def b_12(spark, sf):
-    known = prep.split(ev_fill(spark, sf), VAL, START).filter("split <> 'test'").drop("split")
+    known = prep.split(ev_stored(spark, sf), VAL, START).filter("split <> 'test'").drop("split")
     fc = naive.seasonal_naive(known, "1h", 1, VAL, H)
     return mean_rounded(backtest.evaluate(known, fc, "1h", VAL, H), *METRICS)
 
@@ -212,7 +210,7 @@ def b_12(spark, sf):
 
 
 def _split_fill(spark, sf):
-    return prep.split(ev_fill(spark, sf), VAL, START)
+    return prep.split(ev_stored(spark, sf), VAL, START)
 
 
 def _tree_metrics(fit):
@@ -256,11 +254,11 @@ def m_09(spark, sf):
 
 @register("m_10_quantiles")
 def m_10(spark, sf):
-    d = ev_fill(spark, sf)
+    d = ev_stored(spark, sf)
     known = prep.split(d, VAL, START).filter("split = 'train'").drop("split")
     fitted = backtest.merge_windows(naive.seasonal_naive(known, "1h", 1, "20240103", H), H)
     e = fitted.join(known, ["ts_id", "id", "ts"]).select("ts_id", "id", "ts", (F.col("value") - F.col("yhat")).alias("e"))
-    samples = paths.sample_paths(fc_day(spark, sf), e, "1h", 50, seed=7)
+    samples = paths.sample_paths(fc_day(d), e, "1h", 50, seed=7)
     return rounded(paths.quantiles(samples, [0.1, 0.5, 0.9]), "q_10", "q_50", "q_90")
 
 

@@ -10,8 +10,8 @@ from tidewell.operators import prep
 from tidewell.plans import backtest, explain, results
 from tidewell.plans.backtest import METRICS
 
-from .base import ev_fill, ev_grid, ev_multi, mean_r, mean_rounded, mean_sql, multi_fill, part, register, rounded
-from .forecasting import START, VAL, _shown, fc_day, fc_multi
+from .base import ev_fill, ev_grid, ev_multi, ev_stored, mean_r, mean_rounded, mean_sql, multi_fill, multi_stored, part, register, rounded
+from .forecasting import START, VAL, _shown, fc_day
 
 DAYS = {"days": ["list", 1, 2, 7]}
 SPACE = {"days": ["list", 1, 2, 7], "lags": ["range", 6, 24, 6], "span": ["equal", "lags"], "scaled": True}
@@ -32,7 +32,7 @@ def r_01(spark, sf):
 
 
 def _known(spark, sf):
-    return prep.split(ev_fill(spark, sf), VAL, START).filter("split <> 'test'").drop("split")
+    return prep.split(ev_stored(spark, sf), VAL, START).filter("split <> 'test'").drop("split")
 
 
 def _scored(spark, sf, days=(1, 2, 7)):
@@ -117,7 +117,8 @@ def r_07(spark, sf):
         UNION ALL SELECT * FROM (SELECT 'actual', ts_id, id, ts, round(value, 4) FROM multi_fill ORDER BY ts DESC, ts_id, id LIMIT 24)""",
 )
 def r_08(spark, sf):
-    return rounded(results.forecast_vs_actual(fc_multi(spark, sf), multi_fill(spark, sf), 24))
+    d = multi_stored(spark, sf)
+    return rounded(results.forecast_vs_actual(fc_day(d), d, 24))
 
 
 def _wsql(length: int) -> str:
@@ -149,7 +150,7 @@ def x_01(spark, sf):
         JOIN c b ON b.ts_id = t.ts_id AND b.ts = t.ts AND b.id = '1' AND len(b.f) = 12 WHERE len(s) = 6""",
 )
 def x_01b(spark, sf):
-    c = multi_fill(spark, sf)
+    c = multi_stored(spark, sf)
     d = explain.window_dataset(_test(ev_fill(spark, sf)), "1h", 6, 3, c.filter("id = '0'"), c.filter("id = '1'"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, v: x + v)
     out = d.select("ts_id", "id", "ts", "epoch", total("steps").alias("steps"), total(F.col("past")["0"]).alias("past"), total(F.col("future")["1"]).alias("future"))
@@ -171,7 +172,7 @@ def x_02(spark, sf):
 
 def _attributions(spark, sf, size):
     """Shapley values of a forest on windows of the test set."""
-    d = ev_fill(spark, sf)
+    d = ev_stored(spark, sf)
     train = prep.split(d, VAL, START).filter("split = 'train'").drop("split")
     model = trees.fit_forest(train, "1h", 6, 1, trees=5, depth=4)
     windows = explain.window_dataset(_test(d), "1h", 6, 1, size=size, seed=1)
@@ -200,7 +201,8 @@ def x_04(spark, sf):
         JOIN ev_fill a ON a.ts_id = f.ts_id AND a.id = f.id AND a.ts = f.ts) GROUP BY 1 ORDER BY avg(abs(attribution)) DESC, feature LIMIT 20""",
 )
 def x_04b(spark, sf):
-    e = fc_day(spark, sf).join(ev_fill(spark, sf), ["ts_id", "id", "ts"])
+    d = ev_stored(spark, sf)
+    e = fc_day(d).join(d, ["ts_id", "id", "ts"])
     named = e.select(F.concat_ws(" ", "ts_id", F.col("step").cast("string")).alias("feature"), (F.col("value") - F.col("yhat")).alias("attribution"))
     return mean_rounded(explain.top_features(named, 20), "importance")
 

@@ -32,3 +32,14 @@ def settle(df: DataFrame) -> DataFrame:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as a table below the shared folder and read it back.
+
+    Meant for prepared series that several later steps read: their scans then prune columns and skip row groups, and
+    nothing before the table runs again, also when executors are lost.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -71,7 +71,7 @@ def floor_div(a: Column, b: Column | int) -> Column:
     """Integer division rounding down, exact on BIGINT."""
     b = F.lit(b).cast("bigint") if isinstance(b, int) else b
     a = a.cast("bigint")
-    return ((a - F.pmod(a, b)) / b).cast("bigint")
+    return F.call_function("div", a - F.pmod(a, b), b)
 
 
 def null_if_nan(c: Column | str) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantile import exact_quantile
-from ..model import KEYS, epoch, floor_div, seconds, shift
+from ..model import KEYS, col, epoch, floor_div, from_epoch, seconds
 from ..slices import SLICE, halo_window, nearest, span_of, with_halo
 
 
@@ -59,27 +59,33 @@ def to_grid(df: DataFrame, res: int | str, span: int | None = None, keep_slice:
     res = seconds(res)
     span = span or span_of(res)
     at = epoch("ts")
+    fraction = lambda ts: col(ts) - from_epoch(epoch(ts))  # noqa: E731  below one second, as an interval
     bounds = df.groupBy(*KEYS).agg(F.min("ts").alias("_k0"), F.max("ts").alias("_k1"))
-    skeleton = (
-        bounds.select(*KEYS, epoch("_k0").alias("_s0"), epoch("_k1").alias("_s1"), F.date_format("_k0", "SSSSSS").alias("_us"))
-        .withColumn(SLICE, F.explode(F.sequence(floor_div(F.col("_s0"), span), floor_div(F.col("_s1"), span))))
-        .repartition(*KEYS, SLICE)
-    )
+    skeleton = bounds.select(
+        *KEYS, epoch("_k0").alias("_s0"), epoch("_k1").alias("_s1"), fraction("_k0").alias("_frac0")
+    ).withColumn(SLICE, F.explode(F.sequence(floor_div(F.col("_s0"), span), floor_div(F.col("_s1"), span))))
     data = df.select(
-        *[F.col(k).alias(f"_{k}") for k in KEYS], floor_div(at, span).alias("_slice"), at.alias("_at"), "ts", "value"
+        *[F.col(k).alias(f"_{k}") for k in KEYS],
+        floor_div(at, span).alias("_slice"),
+        at.alias("_at"),
+        fraction("ts").alias("_frac"),
+        "value",
     )
+    # the keys of the join are exactly (component, slice), so that its partitioning serves the window as well; the
+    # grid test is a range condition and therefore stays out of the keys
     on = (
         (F.col("ts_id") == F.col("_ts_id"))
         & (F.col("id") == F.col("_id"))
         & (F.col(SLICE) == F.col("_slice"))
-        & (F.pmod(F.col("_at") - F.col("_s0"), F.lit(res)) == 0)
-        & (F.date_format("ts", "SSSSSS") == F.col("_us"))
+        & (F.pmod(F.col("_at") - F.col("_s0"), F.lit(res)) <= 0)
+        & (F.col("_frac") <= F.col("_frac0"))
+        & (F.col("_frac") >= F.col("_frac0"))
     )
     d = skeleton.join(data, on, "left")
     # first and last grid step inside the slice
     start = F.col("_s0") + floor_div(F.greatest(F.col(SLICE) * span - F.col("_s0"), F.lit(0)) + (res - 1), res) * res
     stop = F.least(F.col("_s1"), (F.col(SLICE) + 1) * span - 1)
-    w = halo_window()
+    w = Window.partitionBy(*KEYS, SLICE).orderBy("_at")
     lead = F.lead("_at").over(w)
     lag = F.lag("_at").over(w)
     d = (
@@ -92,7 +98,7 @@ def to_grid(df: DataFrame, res: int | str, span: int | None = None, keep_slice:
     out = d.select(
         *KEYS,
         SLICE,
-        (shift(F.expr("timestamp_ntz'1970-01-01 00:00:00'"), "_s") + F.make_dt_interval(secs=F.col("_us") / 1000000)).alias("ts"),
+        (from_epoch("_s") + F.col("_frac0")).alias("ts"),
         F.when(F.col("_s") == F.col("_at"), F.col("value")).alias("value"),
     )
     return out if keep_slice else out.drop(SLICE)

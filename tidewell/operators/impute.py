@@ -88,15 +88,13 @@ def impute(
     return out if flag else out.drop("imputed")
 
 
-def _pchip_inner(h0, h1, d0, d1) -> Column:
-    """Weighted harmonic mean of both secants; 0 where they disagree in sign."""
-    w0, w1 = 2 * h1 + h0, h1 + 2 * h0
-    return F.when(d0 * d1 > 0, (w0 + w1) / (w0 / d0 + w1 / d1)).otherwise(F.lit(0.0))
+def _pchip_raw(h0, h1, d0, d1) -> Column:
+    """Unlimited three-point slope at an end; ``0`` is the outer interval."""
+    return ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
 
 
-def _pchip_end(h0, h1, d0, d1) -> Column:
-    """Three-point end slope, limited so that the curve keeps its shape; ``0`` is the outer interval."""
-    raw = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
+def _pchip_end(raw, d0, d1) -> Column:
+    """End slope, limited so that the curve keeps its shape."""
     return (
         F.when(d1.isNull(), d0)
         .when(F.signum(raw) != F.signum(d0), F.lit(0.0))
@@ -106,12 +104,17 @@ def _pchip_end(h0, h1, d0, d1) -> Column:
 
 
 def _pchip_slope(m: dict, h: dict, i: int) -> Column:
-    """Slope at point ``i`` from the secants ``m[j]`` and widths ``h[j]`` of the intervals ``j -> j+1``."""
-    inner = _pchip_inner(h[i - 1], h[i], m[i - 1], m[i])
+    """Slope at point ``i`` from the secants ``m[j]`` and widths ``h[j]`` of the intervals ``j -> j+1``.
+
+    Inside: weighted harmonic mean of both secants, 0 where they disagree in sign. The unlimited end slopes are
+    expected as columns ``_first<i>`` and ``_last<i>``.
+    """
+    w0, w1 = 2 * h[i] + h[i - 1], h[i] + 2 * h[i - 1]
     return (
-        F.when(m[i - 1].isNull(), _pchip_end(h[i], h[i + 1], m[i], m[i + 1]))
-        .when(m[i].isNull(), _pchip_end(h[i - 1], h[i - 2], m[i - 1], m[i - 2]))
-        .otherwise(inner)
+        F.when(m[i - 1].isNull(), _pchip_end(F.col(f"_first{i + 1}"), m[i], m[i + 1]))
+        .when(m[i].isNull(), _pchip_end(F.col(f"_last{i + 1}"), m[i - 1], m[i - 2]))
+        .when(m[i - 1] * m[i] > 0, (w0 + w1) / (w0 / m[i - 1] + w1 / m[i]))
+        .otherwise(F.lit(0.0))
     )
 
 
@@ -150,6 +153,10 @@ def _cubic(df: DataFrame, res: int, method: str, span: int | None) -> tuple[Data
     pts = pts.withColumns({f"_m{j + 3}": rise[j] / F.col(f"_h{j + 3}") for j in range(-3, 3)})
     m = {j: F.col(f"_m{j + 3}") for j in range(-3, 3)}
     h = {j: F.col(f"_h{j + 3}") for j in range(-3, 3)}
+    if method == "pchip":
+        raw = {f"_first{i + 1}": _pchip_raw(h[i], h[i + 1], m[i], m[i + 1]) for i in (-1, 0, 1)}
+        raw.update({f"_last{i + 1}": _pchip_raw(h[i - 1], h[i - 2], m[i - 1], m[i - 2]) for i in (-1, 0, 1)})
+        pts = pts.withColumns(raw)
     slope = (lambda i: _pchip_slope(m, h, i)) if method == "pchip" else (lambda i: _akima_slope(m, i))
     pts = pts.select(
         *KEYS,

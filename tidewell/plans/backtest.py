@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import KEYS, instant, seconds, shift
@@ -41,12 +41,18 @@ def merge_windows(fc: DataFrame, horizon: int, stride: int | None = None) -> Dat
     return fc.filter(F.col("step") > horizon - _stride(horizon, stride))
 
 
-def mase_scale(df: DataFrame, res: int | str, before: str, extra: int = 0, m: int = 1, span: int | None = None) -> DataFrame:
-    """Mean absolute seasonal difference before ``before + extra`` steps, per component."""
-    res = seconds(res)
-    inside = df.select(*KEYS, "ts", "value").filter(F.col("ts") < shift(instant(before), extra * res))
-    d = with_halo(inside, res, m, 0, span).withColumn("_d", F.abs(F.col("value") - F.lag("value", m).over(halo_window())))
-    return d.filter("home").groupBy(*KEYS).agg(F.avg("_d").alias("scale"))
+def actual_stats(df: DataFrame, res: int | str, begin: Column, m: int = 1, span: int | None = None) -> DataFrame:
+    """Per component: ``lo``, ``hi``, ``mean`` of the values from ``begin`` on, and ``scale``, the mean absolute
+    seasonal difference of those before it. One pass over the actual values."""
+    earlier = F.abs(F.col("value") - F.lag("value", m).over(halo_window()))
+    test = F.when(F.col("ts") >= begin, F.col("value"))
+    d = with_halo(df.select(*KEYS, "ts", "value"), seconds(res), m, 0, span).withColumn("_d", earlier).filter("home")
+    return d.groupBy(*KEYS).agg(
+        F.min(test).alias("_lo"),
+        F.max(test).alias("_hi"),
+        F.avg(test).alias("_mean"),
+        F.avg(F.when(F.col("ts") < begin, F.col("_d"))).alias("scale"),
+    )
 
 
 def component_metrics(
@@ -82,9 +88,7 @@ def component_metrics(
             F.min("yhat").alias("_fmin"),
         )
     )
-    stats = test.groupBy(*KEYS).agg(F.min("y").alias("_lo"), F.max("y").alias("_hi"), F.avg("y").alias("_mean"))
-    stats = stats.join(mase_scale(actual, res, start, overlap, m), KEYS, "left")
-    return err.join(stats, KEYS).select(
+    return err.join(actual_stats(actual, res, begin, m), KEYS).select(
         *by,
         *KEYS,
         "mae",
