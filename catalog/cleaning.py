@@ -175,7 +175,7 @@ THR = "(value IS NULL AND run_len >= 2 * floor({} / 2) - 1)"
 
 
 def _fill(method: str, thr: int = -1):
-    return lambda spark, sf: rounded(impute.impute(od_grid(spark, sf, True), "1d", method, thr))
+    return lambda spark, sf: mean_rounded(impute.impute(od_grid(spark, sf, True), "1d", method, thr))
 
 
 def _cubic(method: str):
@@ -186,19 +186,19 @@ def _cubic(method: str):
     return query
 
 
-register("e_12_gap_limit", "od_known", sql=f"SELECT ts_id, id, ts, round(CASE WHEN {THR.format(4)} THEN NULL ELSE {LINE} END, 4) AS value FROM od_known")(
+register("e_12_gap_limit", "od_known", sql=f"SELECT ts_id, id, ts, round({OFF_TIE!r}::DOUBLE + CASE WHEN {THR.format(4)} THEN NULL ELSE {LINE} END, 4) AS value FROM od_known")(
     _fill("linear", 4)
 )
-register("e_13_impute_linear", "od_known", sql=f"SELECT ts_id, id, ts, round(CASE WHEN {THR.format('n')} THEN NULL ELSE {LINE} END, 4) AS value FROM od_known")(
+register("e_13_impute_linear", "od_known", sql=f"SELECT ts_id, id, ts, round({OFF_TIE!r}::DOUBLE + CASE WHEN {THR.format('n')} THEN NULL ELSE {LINE} END, 4) AS value FROM od_known")(
     _fill("linear")
 )
-register("e_14_impute_pad", "od_known", sql=f"SELECT ts_id, id, ts, round(CASE WHEN {THR.format('n')} THEN NULL ELSE pv END, 4) AS value FROM od_known")(
+register("e_14_impute_pad", "od_known", sql=f"SELECT ts_id, id, ts, round({OFF_TIE!r}::DOUBLE + CASE WHEN {THR.format('n')} THEN NULL ELSE pv END, 4) AS value FROM od_known")(
     _fill("pad")
 )
 register(
     "e_15_impute_nearest",
     "od_known",
-    sql=f"""SELECT ts_id, id, ts, round(CASE WHEN value IS NOT NULL THEN value WHEN {THR.format('n')} OR pv IS NULL OR nv IS NULL THEN
+    sql=f"""SELECT ts_id, id, ts, round({OFF_TIE!r}::DOUBLE + CASE WHEN value IS NOT NULL THEN value WHEN {THR.format('n')} OR pv IS NULL OR nv IS NULL THEN
         CASE WHEN pv IS NULL AND NOT {THR.format('n')} THEN nv END
         WHEN date_diff('second', ts, nt) < date_diff('second', pt, ts) THEN nv ELSE pv END, 4) AS value FROM od_known""",
 )(_fill("nearest"))
@@ -320,10 +320,10 @@ def e_19(spark, sf):
 @register(
     "e_20_imputed_report",
     "od_known",
-    sql=f"SELECT ts_id, id, ts, round({LINE}, 4) AS value FROM od_known WHERE value IS NULL AND pv IS NOT NULL AND NOT {THR.format(4)}",
+    sql=f"SELECT ts_id, id, ts, {mean_sql(LINE)} AS value FROM od_known WHERE value IS NULL AND pv IS NOT NULL AND NOT {THR.format(4)}",
 )
 def e_20(spark, sf):
-    return rounded(impute.imputed_report(impute.impute(od_grid(spark, sf, True), "1d", "linear", 4, flag=True)))
+    return mean_rounded(impute.imputed_report(impute.impute(od_grid(spark, sf, True), "1d", "linear", 4, flag=True)))
 
 
 @register(

@@ -214,11 +214,11 @@ def j_08(spark, sf):
 @register(
     "j_09_fill_covariates",
     "multi_known",
-    sql=f"""SELECT ts_id, id, ts, round(last_value(x IGNORE NULLS) OVER (PARTITION BY ts_id, id ORDER BY ts), 4) AS value
+    sql=f"""SELECT ts_id, id, ts, {mean_sql('last_value(x IGNORE NULLS) OVER (PARTITION BY ts_id, id ORDER BY ts)')} AS value
         FROM (SELECT *, {LINE} AS x FROM multi_known)""",
 )
 def j_09(spark, sf):
-    return rounded(covariates.fill_covariates(ev_multi(spark, sf), "1h"))
+    return mean_rounded(covariates.fill_covariates(ev_multi(spark, sf), "1h"))
 
 
 @register(

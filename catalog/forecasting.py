@@ -29,6 +29,10 @@ START_SQL, VAL_SQL = "TIMESTAMP '2024-01-22'", "TIMESTAMP '2024-01-15'"
 W = "OVER (PARTITION BY ts_id, id ORDER BY ts)"
 
 
+def _shown(*names: str) -> str:
+    return ", ".join(f"{mean_sql(c)} AS {c}" for c in names)
+
+
 @register(
     "m_01_lag_features",
     "ev_grid",
@@ -82,9 +86,9 @@ def fc_overlap(d):
     return naive.seasonal_naive(d, "1h", 1, START, 30, 6)
 
 
-@register("m_03_seasonal_naive", "fc_overlap", sql="SELECT ts_id, id, origin, step, ts, round(yhat, 4) AS yhat FROM fc_overlap")
+@register("m_03_seasonal_naive", "fc_overlap", sql=f"SELECT ts_id, id, origin, step, ts, {_shown('yhat')} FROM fc_overlap")
 def m_03(spark, sf):
-    return rounded(fc_overlap(ev_stored(spark, sf)), "yhat")
+    return mean_rounded(fc_overlap(ev_stored(spark, sf)), "yhat")
 
 
 def _components(actual: str, fc: str, start: str, h: int, stride: int, m: int = 1) -> str:
@@ -111,10 +115,6 @@ def _series(src: str) -> str:
     return f"SELECT days, ts_id, {cols} FROM {src} GROUP BY 1, 2"
 
 
-def _shown(*names: str) -> str:
-    return ", ".join(f"{mean_sql(c)} AS {c}" for c in names)
-
-
 part("cm_day", _components("ev_fill", "fc_day", START_SQL, H, H), "fc_day")
 part("cm_overlap", _components("ev_fill", "fc_overlap", START_SQL, 30, 6, 24), "fc_overlap")
 part("cm_multi", _components("multi_fill", "fc_multi", START_SQL, H, H), "fc_multi")
@@ -133,15 +133,15 @@ def b_01(spark, sf):
     return backtest.origins(ev_multi(spark, sf), "1h", START, H, 6)
 
 
-@register("b_02_merge_windows", "fc_overlap", sql="SELECT ts_id, id, origin, step, ts, round(yhat, 4) AS yhat FROM fc_overlap WHERE step > 24")
+@register("b_02_merge_windows", "fc_overlap", sql=f"SELECT ts_id, id, origin, step, ts, {_shown('yhat')} FROM fc_overlap WHERE step > 24")
 def b_02(spark, sf):
-    return rounded(backtest.merge_windows(fc_overlap(ev_stored(spark, sf)), 30, 6), "yhat")
+    return mean_rounded(backtest.merge_windows(fc_overlap(ev_stored(spark, sf)), 30, 6), "yhat")
 
 
 @register(
     "b_03_aligned_actuals",
     "fc_overlap",
-    sql=f"""SELECT f.ts_id, f.id, f.ts, round(a.value, 4) AS value, round(f.yhat, 4) AS yhat FROM fc_overlap f
+    sql=f"""SELECT f.ts_id, f.id, f.ts, {mean_sql('a.value')} AS value, {mean_sql('f.yhat')} AS yhat FROM fc_overlap f
         JOIN ev_fill a ON a.ts_id = f.ts_id AND a.id = f.id AND a.ts = f.ts WHERE step > 24 AND a.ts >= {START_SQL} + INTERVAL 24 HOUR""",
 )
 def b_03(spark, sf):
@@ -149,7 +149,7 @@ def b_03(spark, sf):
     merged = backtest.merge_windows(fc_overlap(series), 30, 6)
     actual = series.filter(F.col("ts") >= F.lit("2024-01-23").cast("timestamp_ntz"))
     d = merged.select("ts_id", "id", "ts", "yhat").join(actual, ["ts_id", "id", "ts"])
-    return rounded(d, "value", "yhat")
+    return mean_rounded(d, "value", "yhat")
 
 
 def _metric_query(name: str, *metrics: str) -> None:

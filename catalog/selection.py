@@ -113,16 +113,16 @@ def r_07(spark, sf):
 @register(
     "r_08_forecast_vs_actual",
     "fc_multi",
-    sql="""SELECT * FROM (SELECT 'forecast' AS kind, ts_id, id, ts, round(yhat, 4) AS value FROM fc_multi ORDER BY ts DESC, ts_id, id LIMIT 24)
-        UNION ALL SELECT * FROM (SELECT 'actual', ts_id, id, ts, round(value, 4) FROM multi_fill ORDER BY ts DESC, ts_id, id LIMIT 24)""",
+    sql=f"""SELECT * FROM (SELECT 'forecast' AS kind, ts_id, id, ts, {mean_sql('yhat')} AS value FROM fc_multi ORDER BY ts DESC, ts_id, id LIMIT 24)
+        UNION ALL SELECT * FROM (SELECT 'actual', ts_id, id, ts, {mean_sql('value')} FROM multi_fill ORDER BY ts DESC, ts_id, id LIMIT 24)""",
 )
 def r_08(spark, sf):
     d = multi_stored(spark, sf)
-    return rounded(results.forecast_vs_actual(fc_day(d), d, 24))
+    return mean_rounded(results.forecast_vs_actual(fc_day(d), d, 24))
 
 
 def _wsql(length: int) -> str:
-    steps = ", ".join(f"round(lead(value, {i}) OVER w, 4) AS step_{i}" if i else "round(value, 4) AS step_0" for i in range(length))
+    steps = ", ".join(f"{mean_sql(f'lead(value, {i}) OVER w')} AS step_{i}" if i else f"{mean_sql('value')} AS step_0" for i in range(length))
     return f"""SELECT ts_id, id, ts, epoch(ts)::BIGINT AS epoch, {steps} FROM multi_fill WHERE ts >= TIMESTAMP '2024-01-22'
         WINDOW w AS (PARTITION BY ts_id, id ORDER BY ts) QUALIFY lead(ts, {length - 1}) OVER w IS NOT NULL"""
 
@@ -134,7 +134,7 @@ def _test(d):
 @register("x_01_window_dataset", "multi_fill", sql=_wsql(6))
 def x_01(spark, sf):
     d = explain.step_columns(explain.window_dataset(_test(multi_fill(spark, sf)), "1h", 6, 3), 6)
-    return rounded(d, *[f"step_{i}" for i in range(6)])
+    return mean_rounded(d, *[f"step_{i}" for i in range(6)])
 
 
 @register(

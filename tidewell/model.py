@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 KEYS = ["ts_id", "id"]
 DAY = 86400
+FIRST_YEAR = 62135596800  # seconds from the year 1 to 1970
 
 SERIES_SCHEMA = T.StructType(
     [
@@ -39,14 +40,12 @@ def col(c: Column | str) -> Column:
 
 
 def epoch(ts: Column | str) -> Column:
-    """Whole seconds since 1970 of a zone-less timestamp, whatever the session time zone is."""
-    ts = col(ts)
-    return (
-        F.datediff(ts, F.lit("1970-01-01").cast("date")).cast("bigint") * DAY
-        + F.hour(ts) * 3600
-        + F.minute(ts) * 60
-        + F.second(ts)
-    )
+    """Whole seconds since 1970 of a zone-less timestamp, rounded down, whatever the session time zone is.
+
+    Counted from the first supported year, so that cutting the fraction always rounds down.
+    """
+    since = (col(ts) - F.expr("timestamp_ntz'0001-01-01 00:00:00'")).cast("interval second").cast("bigint")
+    return since - FIRST_YEAR
 
 
 def from_epoch(secs: Column | str) -> Column:
