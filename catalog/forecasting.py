@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.durable import new_path, stored
 from tidewell.models import ar, features, naive, paths, trees
 from tidewell.operators import prep
 from tidewell.operators.covariates import attach_covariates
 from tidewell.plans import backtest
 from tidewell.plans.backtest import METRICS
+from tidewell.sources import readers
 
 from .base import (
     ev_grid,
@@ -206,6 +208,25 @@ def b_12(spark, sf):
     return mean_rounded(backtest.evaluate(known, fc, "1h", VAL, H), *METRICS)
 
 
+@register(
+    "s_11_evaluation_outputs",
+    "sm_multi",
+    sql=f"""SELECT 'metrics' AS output, ts_id, count(mae) AS n, {mean_sql('sum(mae)')} AS total FROM sm_multi GROUP BY 2
+        UNION ALL SELECT 'predictions', ts_id, count(yhat), {mean_sql('sum(yhat)')} FROM fc_multi GROUP BY 2""",
+)
+def s_11(spark, sf):
+    d = multi_stored(spark, sf)
+    fc = stored(fc_day(d), "forecasts")
+    tables = {"metrics": backtest.evaluate(d, fc, "1h", START, H), "predictions": fc}
+    written = readers.write_tables(tables, new_path(spark, "evaluation"))
+    column = {"metrics": "mae", "predictions": "yhat"}
+    out = [
+        spark.read.parquet(p).groupBy("ts_id").agg(F.count(column[k]).alias("n"), F.sum(column[k]).alias("total")).select(F.lit(k).alias("output"), "*")
+        for k, p in written.items()
+    ]
+    return mean_rounded(out[0].unionByName(out[1]), "total")
+
+
 # models whose numbers depend on the learner: rows only
 
 
@@ -236,6 +257,21 @@ def m_06(spark, sf):
     return rounded(ar.forecast_ar(d, model, "1d", 12, 1, 14), "yhat")
 
 
+AR_ONE = """WITH RECURSIVE z AS (SELECT *, value - lag(value) OVER (PARTITION BY ts_id, id ORDER BY ts) AS z0 FROM od_fill),
+    fit AS (SELECT ts_id, id, regr_slope(z0, z1) AS b, regr_intercept(z0, z1) AS a FROM (
+        SELECT *, lag(z0) OVER (PARTITION BY ts_id, id ORDER BY ts) AS z1 FROM z) WHERE z0 IS NOT NULL AND z1 IS NOT NULL GROUP BY 1, 2),
+    last AS (SELECT ts_id, id, max(ts) AS t0, arg_max(value, ts) AS v, arg_max(z0, ts) AS d FROM z GROUP BY 1, 2),
+    path AS (SELECT ts_id, id, t0, a, b, 1 AS step, a + b * d AS d, v + a + b * d AS v FROM last JOIN fit USING (ts_id, id)
+        UNION ALL SELECT ts_id, id, t0, a, b, step + 1, a + b * d, v + a + b * d FROM path WHERE step < 14)
+    SELECT ts_id, id, t0 + INTERVAL 1 DAY AS origin, step, t0 + to_days(step) AS ts, round(v, 2) AS yhat FROM path"""
+
+
+@register("m_06_ar_one_lag", "od_fill", sql=AR_ONE)
+def m_06_one(spark, sf):
+    d = od_fill(spark, sf)
+    return rounded(ar.forecast_ar(d, ar.fit_ar(d, "1d", 1, 1), "1d", 1, 1, 14), "yhat", digits=2)
+
+
 @register("m_07_predict_recursive")
 def m_07(spark, sf):
     known = _split_fill(spark, sf).filter("split <> 'test'").drop("split")

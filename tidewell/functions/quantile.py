@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 ACCURACY = 10000
 SMALL = 20000
+CELLS = 4096
 
 
 def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
     """The ``q`` quantile (linear interpolation) of the non-null ``value`` of every group.
 
-    The built-in exact percentile keeps every distinct value of a group in one buffer. Here a mergeable sketch
-    with a guaranteed rank error first brackets the wanted ranks, and only the few values inside the bracket
-    (at most about ``8 / ACCURACY`` of a large group, all of a group of at most ``SMALL``) are counted and ordered.
+    The built-in exact percentile keeps every distinct value of a group in one buffer. Here a mergeable sketch with
+    a guaranteed rank error first brackets the wanted ranks (about ``8 / ACCURACY`` of a large group, all of a
+    group of at most ``SMALL``). The bracket is cut into ``CELLS`` cells that are only counted; values are ordered
+    exactly in the one or two cells that hold the wanted ranks.
     """
     known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     # sketch error 1 / ACCURACY, plus a margin of at least one rank in every group above SMALL
@@ -34,19 +36,37 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: s
     )
     joined = known.join(bracket, keys)
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-    # values below the bracket collapse into one counted row, equal values inside it as well
-    counted = joined.groupBy(*keys, "_n", F.when(inside, F.col("_v")).alias("_v"), (F.col("_v") < F.col("_lo")).alias("_b")).agg(
-        F.count("*").alias("_c")
+    below, inside = F.col("_v") < F.col("_lo"), F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    # equal values collapse; everything below the bracket becomes one cell, the bracket is cut into equal cells
+    width = (F.col("_hi") - F.col("_lo")) / CELLS
+    cell = F.when(below, -1).otherwise(
+        F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(CELLS - 1))).otherwise(0)
     )
-    counted = counted.filter(F.col("_b") | F.col("_v").isNotNull())
-    order = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_r1", F.sum("_c").over(upto)).withColumn("_r0", F.col("_r1") - F.col("_c"))
+    counted = (
+        joined.filter(below | inside)
+        .groupBy(*keys, "_n", cell.cast("int").alias("_cell"), F.when(inside, F.col("_v")).alias("_v"))
+        .agg(F.count("*").alias("_c"))
+    )
+    upto = lambda *by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     at = F.lit(q) * (F.col("_n") - 1)
-    holds = lambda r: (F.col("_r0") <= r) & (r < F.col("_r1")) & F.col("_v").isNotNull()
+    hits = lambda rank: (F.col("_r0") <= rank) & (rank < F.col("_r1"))
+    # first the cells that hold the wanted ranks (one row per cell), then the values inside these cells
+    cells = (
+        counted.groupBy(*keys, "_n", "_cell")
+        .agg(F.sum("_c").alias("_cc"))
+        .withColumn("_r1", F.sum("_cc").over(upto(*keys, order="_cell")))
+        .withColumn("_r0", F.col("_r1") - F.col("_cc"))
+        .filter((F.col("_cell") >= 0) & (hits(F.floor(at)) | hits(F.ceil(at))))
+        .select(*keys, "_cell", F.col("_r0").alias("_start"))
+    )
+    ranked = (
+        counted.join(cells, [*keys, "_cell"])
+        .withColumn("_r1", F.col("_start") + F.sum("_c").over(upto(*keys, "_cell", order="_v")))
+        .withColumn("_r0", F.col("_r1") - F.col("_c"))
+    )
     out = ranked.groupBy(*keys).agg(
-        F.max(F.when(holds(F.floor(at)), F.col("_v"))).alias("_a"),
-        F.max(F.when(holds(F.ceil(at)), F.col("_v"))).alias("_z"),
+        F.max(F.when(hits(F.floor(at)), F.col("_v"))).alias("_a"),
+        F.max(F.when(hits(F.ceil(at)), F.col("_v"))).alias("_z"),
         F.first(at - F.floor(at)).alias("_w"),
     )
     return out.select(*keys, (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_w")).alias(name))

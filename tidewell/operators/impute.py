@@ -226,6 +226,7 @@ def impute_historical(
     hist = _history(
         week_position(with_holidays(todo.select(*KEYS, "ts"), holidays)),
         week_position(with_holidays(df.filter("value is not null").select(*KEYS, "ts", "value"), holidays)),
+        res,
         wncutoff,
         ycutoff,
         ydcutoff,
@@ -250,32 +251,31 @@ def _merged(df: DataFrame, filled: DataFrame, flag: bool) -> DataFrame:
     return out if flag else out.drop("imputed")
 
 
-def _history(todo, known, wncutoff, ycutoff, ydcutoff, cut, same_time_window) -> DataFrame:
+def _history(todo, known, res, wncutoff, ycutoff, ydcutoff, cut, same_time_window) -> DataFrame:
     """Mean of the candidates of every missing value: ``(keys, ts, _hist)``."""
     minute = F.round(F.col("wn") * 1440).cast("bigint")
     yday = F.dayofyear("ts") - 1
     block = 32
-    top = 366 // block  # blocks 0..top of a year
-    reach = -(-ydcutoff // block)
-    if 2 * reach >= top + 1:
-        blocks = F.sequence(F.lit(0), F.lit(top))
-    else:
-        # the last block is short, so the circle is closed with one block more on both sides
-        offsets = F.sequence(F.lit(-reach - 1), F.lit(reach + 1))
-        here = floor_div(yday.cast("bigint"), block)
-        blocks = F.array_distinct(F.transform(offsets, lambda o: F.pmod(here + o, F.lit(top + 1)).cast("int")))
+    # days that hit every block within reach, also the short last one, in years of either length
+    days = sorted({*range(1 - ydcutoff, ydcutoff, 13), ydcutoff - 1}) if ydcutoff < 183 else list(range(0, 366, 13)) + [365]
+    near = [F.pmod(yday + d, F.lit(n)) for d in days for n in (365, 366)]
+    blocks = F.array_distinct(F.array(*[F.floor(x / block).cast("int") for x in near]))
     years = F.sequence(F.year("ts") - (ycutoff - 1), F.year("ts") + (ycutoff - 1))
     wide = F.floor(F.lit(wncutoff) * 1440)  # 0 by default: minutes of the week must be equal
     cells = known.select(
         *KEYS,
         F.year("ts").alias("_year"),
-        floor_div(yday.cast("bigint"), block).cast("int").alias("_block"),
+        F.floor(yday / block).cast("int").alias("_block"),
         minute.alias("_minute"),
-        F.col("ts").alias("_cts"),
+        F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("_cts"),
         F.col("wn").alias("_cwn"),
         yday.alias("_cyd"),
-        "value",
+        F.col("value").alias("_s"),
+        F.lit(1).cast("bigint").alias("_n"),
     )
+    if res < 60:  # values of one minute share all that is compared
+        same = ["_year", "_block", "_minute", "_cts", "_cwn", "_cyd"]
+        cells = cells.groupBy(*KEYS, *same).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
     asked = (
         todo.select(*KEYS, "ts", "wn", yday.alias("_yd"), minute.alias("_m"), F.explode(years).alias("_year"), blocks.alias("_bs"))
         .withColumn("_block", F.explode("_bs"))
@@ -291,13 +291,14 @@ def _history(todo, known, wncutoff, ycutoff, ydcutoff, cut, same_time_window) ->
         .join(cells, [*KEYS, "_year", "_block", "_minute"])
         .filter(ok)
     )
+    mean = (F.sum("_s") / F.sum("_n")).alias("_hist")
     if same_time_window is None:
-        return by_week.groupBy(*KEYS, "ts").agg(F.avg("value").alias("_hist"))
+        return by_week.groupBy(*KEYS, "ts").agg(mean)
     # values counted by the clock rule are left out of the week rule, so that none counts twice
     same_clock = (F.pmod("_minute", F.lit(1440)) == F.pmod("_m", F.lit(1440))) & (apart < same_time_window)
-    week = by_week.filter(~same_clock).select(*KEYS, "ts", F.col("value").alias("_s"), F.lit(1).cast("bigint").alias("_n"))
+    week = by_week.filter(~same_clock).select(*KEYS, "ts", "_s", "_n")
     both = week.unionByName(_same_clock(todo, known, same_time_window, cut))
-    return both.groupBy(*KEYS, "ts").agg((F.sum("_s") / F.sum("_n")).alias("_hist"))
+    return both.groupBy(*KEYS, "ts").agg(mean)
 
 
 def _same_clock(todo, known, window, cut) -> DataFrame:
