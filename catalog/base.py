@@ -122,6 +122,11 @@ def ev_stored(spark, sf) -> DataFrame:
     return stored(ev_fill(spark, sf), "ev_fill")
 
 
+def od_stored(spark, sf) -> DataFrame:
+    """The daily grid as a table."""
+    return stored(od_grid(spark, sf), "od_grid")
+
+
 def multi_stored(spark, sf) -> DataFrame:
     return stored(multi_fill(spark, sf), "multi_fill")
 

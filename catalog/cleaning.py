@@ -19,6 +19,7 @@ from .base import (
     multi_grid,
     od_day,
     od_grid,
+    od_stored,
     part,
     register,
     rounded,
@@ -141,7 +142,7 @@ def e_08(spark, sf):
         LEFT JOIN (SELECT ts_id, id, quantile_cont(value, 0.9) AS cut FROM od_grid GROUP BY 1, 2) USING (ts_id, id)""",
 )
 def e_09(spark, sf):
-    return rounded(clean.remove_post_gap_spikes(od_grid(spark, sf), "1d", 0.9))
+    return rounded(clean.remove_post_gap_spikes(od_stored(spark, sf), "1d", 0.9))
 
 
 part(
@@ -180,7 +181,7 @@ def _fill(method: str, thr: int = -1):
 
 def _cubic(method: str):
     def query(spark, sf):
-        d = impute.impute(od_grid(spark, sf, True), "1d", method)
+        d = impute.impute(od_stored(spark, sf), "1d", method)
         return mean_rounded(d)
 
     return query
@@ -283,12 +284,12 @@ def _history_sql(rule: str) -> str:
 
 @register("e_17_impute_historical", "od_known", "days_off", sql=_history_sql(WEEK))
 def e_17(spark, sf):
-    return rounded(impute.impute_historical(od_grid(spark, sf, True), "1d", days_off(spark, sf), cut="19990101"))
+    return rounded(impute.impute_historical(od_stored(spark, sf), "1d", days_off(spark, sf), cut="19990101"))
 
 
 @register("e_17_impute_same_clock", "od_known", "days_off", sql=_history_sql(f"({WEEK}) OR {_apart('c', 'n')} < 3"))
 def e_17b(spark, sf):
-    return rounded(impute.impute_historical(od_grid(spark, sf, True), "1d", days_off(spark, sf), cut="19990101", same_time_window=3))
+    return rounded(impute.impute_historical(od_stored(spark, sf), "1d", days_off(spark, sf), cut="19990101", same_time_window=3))
 
 
 @register(
@@ -314,7 +315,7 @@ def e_18(spark, sf):
     ON h.ts_id = k.ts_id AND h.id = k.id AND h.ts = k.ts""",
 )
 def e_19(spark, sf):
-    return rounded(impute.impute_recent(od_grid(spark, sf, True), "1d", cut="19990101"))
+    return rounded(impute.impute_recent(od_stored(spark, sf), "1d", cut="19990101"))
 
 
 @register(

@@ -252,7 +252,7 @@ register("m_05_boosted_trees")(_tree_metrics(lambda d, *a: trees.fit_gbt(d, *a,
 
 @register("m_06_differenced_ar")
 def m_06(spark, sf):
-    d = od_fill(spark, sf)
+    d = stored(od_fill(spark, sf), "od_fill")
     model = ar.fit_ar(d, "1d", 12, 1)
     return rounded(ar.forecast_ar(d, model, "1d", 12, 1, 14), "yhat")
 
@@ -268,7 +268,7 @@ AR_ONE = """WITH RECURSIVE z AS (SELECT *, value - lag(value) OVER (PARTITION BY
 
 @register("m_06_ar_one_lag", "od_fill", sql=AR_ONE)
 def m_06_one(spark, sf):
-    d = od_fill(spark, sf)
+    d = stored(od_fill(spark, sf), "od_fill")
     return rounded(ar.forecast_ar(d, ar.fit_ar(d, "1d", 1, 1), "1d", 1, 1, 14), "yhat", digits=2)
 
 

@@ -44,7 +44,9 @@ def epoch(ts: Column | str) -> Column:
 
     Counted from the first supported year, so that cutting the fraction always rounds down.
     """
-    since = (col(ts) - F.expr("timestamp_ntz'0001-01-01 00:00:00'")).cast("interval second").cast("bigint")
+    if isinstance(ts, str):
+        return F.expr(f"cast(cast({ts} - timestamp_ntz'0001-01-01 00:00:00' as interval second) as bigint) - {FIRST_YEAR}")
+    since = (ts - F.expr("timestamp_ntz'0001-01-01 00:00:00'")).cast("interval second").cast("bigint")
     return since - FIRST_YEAR
 
 

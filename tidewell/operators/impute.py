@@ -20,11 +20,17 @@ def _geometry(df: DataFrame, res: int, span: int | None, payload=("value",)) ->
     lo = F.coalesce(epoch("prev.ts") + res, epoch("k_start"))
     hi = F.coalesce(epoch("next.ts") - res, epoch("k_end"))
     return (
-        d.withColumn("run_start", F.coalesce(F.col("prev.ts") + _step(res), F.col("k_start")))
-        .withColumn("fwd", floor_div(epoch("ts") - lo, res) + 1)
-        .withColumn("bwd", floor_div(hi - epoch("ts"), res) + 1)
-        .withColumn("run_len", floor_div(hi - lo, res) + 1)
-        .withColumn("n", floor_div(epoch("k_end") - epoch("k_start"), res) + 1)
+        d.withColumns({"_at": epoch("ts"), "_lo": lo, "_hi": hi})
+        .withColumns(
+            {
+                "run_start": F.coalesce(F.col("prev.ts") + _step(res), F.col("k_start")),
+                "fwd": F.expr(f"(_at - _lo) div {res} + 1"),
+                "bwd": F.expr(f"(_hi - _at) div {res} + 1"),
+                "run_len": F.expr(f"(_hi - _lo) div {res} + 1"),
+                "n": floor_div(epoch("k_end") - epoch("k_start"), res) + 1,
+            }
+        )
+        .drop("_at", "_lo", "_hi")
     )
 
 

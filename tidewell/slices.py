@@ -75,10 +75,8 @@ def nearest(df: DataFrame, mark: Column, payload: list[str], span: int, keys=KEY
     )
     return (
         marked.join(carry, [*keys, SLICE])
-        .withColumn("_p", _over("lag(_m) ignore nulls", keys))
-        .withColumn("_n", _over("lead(_m) ignore nulls", keys))
-        .withColumn("prev", F.coalesce("_p", "_before"))
-        .withColumn("next", F.coalesce("_n", "_after"))
+        .withColumns({"_p": _over("lag(_m) ignore nulls", keys), "_n": _over("lead(_m) ignore nulls", keys)})
+        .withColumns({"prev": F.coalesce("_p", "_before"), "next": F.coalesce("_n", "_after")})
         .drop("_m", "_p", "_n", "_before", "_after")
     )
 
@@ -93,14 +91,14 @@ def neighbours(
     """
     d = sliced(df, span, keys, position).withColumn("_r", F.struct(order, *[p for p in payload if p != order]))
     here = Window.partitionBy(*keys, SLICE).orderBy(order)
-    d = d.withColumn("_i", F.row_number().over(here))
-    for j in range(1, k + 1):
-        d = d.withColumn(f"_p{j}", F.lag("_r", j).over(here)).withColumn(f"_n{j}", F.lead("_r", j).over(here))
+    both = lambda w, p, n: {
+        **{f"{p}{j}": F.lag("_r", j).over(w) for j in range(1, k + 1)},
+        **{f"{n}{j}": F.lead("_r", j).over(w) for j in range(1, k + 1)},
+    }
+    d = d.withColumns({"_i": F.row_number().over(here), **both(here, "_p", "_n")})
     # the k outermost rows of each slice are enough to find what precedes and follows it
     edge = d.filter((F.col("_i") <= k) | F.col(f"_n{k}").isNull()).select(*keys, SLICE, "_i", "_r", order, "_n1")
-    along = Window.partitionBy(*keys).orderBy(order)
-    for j in range(1, k + 1):
-        edge = edge.withColumn(f"_b{j}", F.lag("_r", j).over(along)).withColumn(f"_a{j}", F.lead("_r", j).over(along))
+    edge = edge.withColumns(both(Window.partitionBy(*keys).orderBy(order), "_b", "_a"))
     first, last = F.col("_i") == 1, F.col("_n1").isNull()
     carry = edge.filter(first | last).groupBy(*keys, SLICE)
     carry = carry.agg(
@@ -111,12 +109,14 @@ def neighbours(
     out = d.join(carry, [*keys, SLICE])
     left = F.col("_i")  # rows 1..left-1 of the slice lie before this one
     right = F.col("_len") - F.col("_i") + 1
+    found = {}
     for j in range(1, k + 1):
         p, n = F.col(f"_p{j}"), F.col(f"_n{j}")
         for i in range(1, j + 1):  # the i-th row outside the slice is the j-th neighbour when left == j - i + 1
             p = F.when(left == j - i + 1, F.col(f"_b{i}")).otherwise(p)
             n = F.when(right == j - i + 1, F.col(f"_a{i}")).otherwise(n)
-        out = out.withColumn(f"p{j}", p).withColumn(f"n{j}", n)
+        found.update({f"p{j}": p, f"n{j}": n})
+    out = out.withColumns(found)
     extra = [f"_{c}{j}" for c in "pnba" for j in range(1, k + 1)]
     return out.drop("_r", "_i", "_len", *extra)
 
