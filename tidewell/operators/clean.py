@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantile import exact_quantile
 from ..model import KEYS, col, epoch, floor_div, from_epoch, seconds
-from ..slices import SLICE, halo_window, nearest, span_of, with_halo
+from ..slices import SLICE, halo_window, nearest, span_of, sure, with_halo
 
 
 def filter_years(df: DataFrame, lo: int | None = None, hi: int | None = None) -> DataFrame:
@@ -60,15 +60,17 @@ def to_grid(df: DataFrame, res: int | str, span: int | None = None, keep_slice:
     span = span or span_of(res)
     at = epoch("ts")
     fraction = lambda ts: col(ts) - from_epoch(epoch(ts))  # noqa: E731  below one second, as an interval
+    # the same filter in both branches, and columns that cannot be NULL, let them share what comes before
+    df = df.filter("ts_id is not null and id is not null and ts is not null")
     bounds = df.groupBy(*KEYS).agg(F.min("ts").alias("_k0"), F.max("ts").alias("_k1"))
     skeleton = bounds.select(
         *KEYS, epoch("_k0").alias("_s0"), epoch("_k1").alias("_s1"), fraction("_k0").alias("_frac0")
     ).withColumn(SLICE, F.explode(F.sequence(floor_div(F.col("_s0"), span), floor_div(F.col("_s1"), span))))
     data = df.select(
         *[F.col(k).alias(f"_{k}") for k in KEYS],
-        floor_div(at, span).alias("_slice"),
-        at.alias("_at"),
-        fraction("ts").alias("_frac"),
+        sure(floor_div(at, span)).alias("_slice"),
+        sure(at).alias("_at"),
+        F.coalesce(fraction("ts"), F.expr("interval '0 00:00:00' day to second")).alias("_frac"),
         "value",
     )
     # the keys of the join are exactly (component, slice), so that its partitioning serves the window as well; the

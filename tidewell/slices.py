@@ -29,6 +29,15 @@ def span_of(res: int) -> int:
     return -(-max(DAY, STEPS * res) // DAY) * DAY
 
 
+def sure(c: Column) -> Column:
+    """The same column, known to the optimizer as never NULL.
+
+    Otherwise a join on it adds a not-null filter to one of two branches that read the same exchange, and the exchange
+    would be computed twice.
+    """
+    return F.coalesce(c, F.lit(0).cast("bigint"))
+
+
 def sliced(df: DataFrame, span: int, keys=KEYS, order: Column | None = None) -> DataFrame:
     """Add ``slice`` and cluster by ``(keys, slice)``; a table that already has the column is left as it is.
 
@@ -38,7 +47,7 @@ def sliced(df: DataFrame, span: int, keys=KEYS, order: Column | None = None) ->
     if SLICE in df.columns:
         return df
     pos = epoch("ts") if order is None else order
-    return df.withColumn(SLICE, floor_div(pos, span)).repartition(*keys, SLICE)
+    return df.withColumn(SLICE, sure(floor_div(pos, span))).repartition(*keys, SLICE)
 
 
 def _over(fn: str, keys, order: str = "ts") -> Column:
