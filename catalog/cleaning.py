@@ -247,7 +247,6 @@ PIECE = """SELECT g.ts_id, g.id, g.ts, round({nudge}::DOUBLE + CASE WHEN g.value
 register("e_16_impute_pchip", "od_known", "od_pchip", sql=PIECE.format(knots="od_pchip", nudge=OFF_TIE))(_cubic("pchip"))
 register("e_16_impute_akima", "od_known", "od_akima", sql=PIECE.format(knots="od_akima", nudge=OFF_TIE))(_cubic("akima"))
 
-HOLIDAYS = [(m, d) for m, d in ((1, 1), (5, 1), (12, 25))]
 part("days_off", """SELECT DISTINCT o_orderdate::DATE AS date FROM orders WHERE (month(o_orderdate), day(o_orderdate)) IN ((1, 1), (5, 1), (12, 25))""")
 
 
@@ -269,7 +268,7 @@ def _apart(c: str, n: str) -> str:
 
 
 CUT = "TIMESTAMP '1999-01-01'"
-HISTORY = """WITH_PARTS SELECT k.ts_id, k.id, k.ts, round(CASE WHEN k.value IS NOT NULL THEN k.value
+HISTORY = """SELECT k.ts_id, k.id, k.ts, round(CASE WHEN k.value IS NOT NULL THEN k.value
         ELSE w * lin + (1 - w) * coalesce(hist, lin) END, 4) AS value FROM (
         SELECT *, {line} AS lin, exp(-0.3::DOUBLE * least(fwd, run_len - fwd + 1)) AS w FROM od_known) k
     LEFT JOIN (SELECT n.ts_id, n.id, n.ts, avg(c.value) AS hist FROM od_grid n JOIN od_grid c ON n.ts_id = c.ts_id AND n.id = c.id
@@ -279,7 +278,7 @@ WEEK = f"abs({_wn('c')} - {_wn('n')}) < 0.000694 AND abs(year(c.ts) - year(n.ts)
 
 
 def _history_sql(rule: str) -> str:
-    return HISTORY.replace("WITH_PARTS ", "").format(line=LINE, cut=CUT, rule=rule)
+    return HISTORY.format(line=LINE, cut=CUT, rule=rule)
 
 
 @register("e_17_impute_historical", "od_known", "days_off", sql=_history_sql(WEEK))
