@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from .fertility import op8_fertility
+from .language import op10_language
 from .mixing import OP7_SQL, op7_pareto_mixing
+from .pieces import op6_token_counts
 from .sharding import op4_hypergeometric_shards
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_hypergeometric_shards": op4_hypergeometric_shards,
+    "op6_token_counts": op6_token_counts,
     "op7_pareto_mixing": op7_pareto_mixing,
+    "op8_fertility": op8_fertility,
+    "op10_language": op10_language,
 }
 ORACLES = {"op7_pareto_mixing": OP7_SQL}
