@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8 << 20
-LEXICON_WORDS = 1 << 20
+LEXICON_WORDS = 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

@@ -1,8 +1,8 @@
 """Public tokenisers over whole texts, piece by piece: the texts of a task share the work on equal pre-tokens.
 
-``token_counts`` counts the tokens of each text. A text is cut into pre-tokens by the tokeniser's own rule; the pieces of
-each distinct pre-token of a task are counted once, the counts are joined to the pre-token frequencies of each document
-by the pre-token's number, and summed. Only numbers of pieces are kept, never ids. A task keeps at most ``LEXICON_WORDS``
+``token_counts`` counts the tokens of each text. A text is cut into pre-tokens by the tokeniser's own rule (once for each
+distinct run between plain spaces); the pieces of each distinct pre-token of a task are counted once, the counts are joined
+to the pre-token frequencies of each document by the pre-token's number, and summed. Only numbers of pieces are kept, never ids. A task keeps at most ``LEXICON_WORDS``
 pre-tokens besides those of its block and begins a new table beyond that.
 
 Added special tokens inside a text count as one token each, as the library does by default. Null and empty texts have no
@@ -13,21 +13,20 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEXICON_WORDS, Lexicon, blocks, documents, texts
+from .common import LEXICON_WORDS, Lexicon, blocks, documents, ragged, sums
 
 LIMIT = 512
-SPACE = r"\p{White_Space}"
-
-
 def vocabulary(name: str) -> str:
     """Path of a public vocabulary file."""
     import public_tokenizers
@@ -43,41 +42,32 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-def code_points(tokeniser) -> dict[str, str]:
-    """Code points that the tokeniser's tables of letters and numbers see otherwise than the regex module's do.
+def disputed(tokeniser) -> dict[str, str]:
+    """Code points that the regex module calls letters (L) or numbers (N) and the tokeniser doesn't.
 
-    Both follow Unicode, but not the same version. Where Python's own, older tables agree with the module's, so do the
-    tokeniser's; only the rest is tried one by one. Gives the members of sets to add to and take from either class.
+    Both follow Unicode, the module a newer version. Where Python's own, older tables agree with the module's, so do the
+    tokeniser's; only the rest is tried one by one.
     """
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    out: dict[str, list[str]] = {"+L": [], "-L": [], "+N": [], "-N": []}
+    out = {}
     for kind, before in (("L", "a"), ("N", "1")):
-        here = set(regex.findall(rf"\p{{{kind}}}", every))
-        for c in every:
-            if (c in here) != (unicodedata.category(c)[0] == kind):
-                joined = len(tokeniser.pre_tokenizer.pre_tokenize_str(before + c)) == 1
-                if joined != (c in here):
-                    out["+-"[c in here] + kind].append(rf"\U{ord(c):08x}")
-    return {k: "".join(v) for k, v in out.items()}
-
+        here = regex.findall(rf"\p{{{kind}}}", every)
+        new = [c for c in here if unicodedata.category(c)[0] != kind]
+        out[kind] = "".join(c for c in new if len(tokeniser.pre_tokenizer.pre_tokenize_str(before + c)) == 2)
+    return out
 
-def byte_level_rule(others: dict[str, str]) -> str:
-    """The pre-token rule of byte-level vocabularies."""
 
-    def members(kind: str) -> str:
-        s = rf"\p{{{kind}}}" + others["+" + kind]
-        return f"[[{s}]--[{others['-' + kind]}]]" if others["-" + kind] else f"[{s}]"
-
-    letter, number = members("L"), members("N")
-    sign = rf"[^{SPACE}{letter}{number}]"
-    # English endings, then words, numbers and signs with one space before them, then white space.
-    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{sign}+|{SPACE}+(?!\P{{White_Space}})|{SPACE}+"
+def ranges(members: Iterable[str]) -> str:
+    """The inside of a character class with these members."""
+    codes = np.array(sorted(map(ord, members)), np.int64)
+    runs = np.split(codes, np.flatnonzero(np.diff(codes) > 1) + 1) if len(codes) else []
+    return "".join(rf"\U{r[0]:08x}-\U{r[-1]:08x}" for r in runs)
 
 
 class ByteLevelRule:
     """Cuts texts into pre-tokens as the tokeniser of a byte-level vocabulary does."""
 
-    def __init__(self, path: str, others: dict[str, str]):
+    def __init__(self, path: str, less: dict[str, str]):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         rule = spec.get("pre_tokenizer") or {}
@@ -85,17 +75,80 @@ class ByteLevelRule:
             raise ValueError("a byte-level vocabulary without prefix space and normalizer is needed")
         self.marks = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.marks)) + ")") if self.marks else None
-        self.rule = regex.compile(byte_level_rule(others), regex.V1)
+        self.usual = self._rule(r"\p{L}", r"\p{N}")
+        self.exact = self._rule(*(rf"[\p{{{k}}}--[{ranges(less[k])}]]" if less[k] else rf"\p{{{k}}}" for k in "LN"))
+        self.odd = frozenset(less["L"] + less["N"])
+
+    @staticmethod
+    def _rule(letter: str, number: str) -> regex.Pattern:
+        # English endings, then words, numbers and signs with one space before them, then white space.
+        space = r"\p{White_Space}"
+        sign = rf"[^{space}{letter}{number}]"
+        rule = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{sign}+|{space}+(?!\P{{White_Space}})|{space}+"
+        return regex.compile(rule, regex.V1)
 
     def cut(self, text: str) -> list[str]:
-        if self.special is None or not any(m in text for m in self.marks):
-            return self.rule.findall(text)
+        rule = self.usual if text.isascii() or self.odd.isdisjoint(text) else self.exact
+        if not any(m in text for m in self.marks):
+            return rule.findall(text)
         out: list[str] = []
         for i, part in enumerate(self.special.split(text)):
-            out += [part] if i % 2 else self.rule.findall(part)
+            out += [part] if i % 2 else rule.findall(part)
         return out
 
 
+WIDE = re.compile(r"^\s|\s$| \s|\s ")
+
+
+def chunks(text: str) -> list[str]:
+    """Cuts where a pre-token surely begins: at a space between two characters that aren't white space."""
+    parts = text.split(" ")
+    if not WIDE.search(text):
+        return [parts[0], *(" " + p for p in parts[1:])]
+    out, own, open_end = [], [parts[0]], not parts[0] or parts[0][-1].isspace()
+    for p in parts[1:]:
+        if open_end or not p or p[0].isspace():
+            own.append(p)
+        else:
+            out.append(" ".join(own))
+            own = ["", p]
+        open_end = not p or p[-1].isspace()
+    out.append(" ".join(own))
+    return out
+
+
+class PreTokens:
+    """Numbers of the pre-tokens of texts, by way of the distinct chunks of a task, and their numbers of pieces."""
+
+    def __init__(self, path: str, less: dict[str, str]):
+        self.tokeniser, self.rule = load(path), ByteLevelRule(path, less)
+        self.clear()
+
+    def clear(self) -> None:
+        self.chunks, self.lexicon = Lexicon(), Lexicon()
+        self.starts = self.lengths = self.codes_of = np.zeros(0, np.int64)
+        self.pieces = np.zeros(0, np.int64)
+
+    def codes(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.chunks) > LEXICON_WORDS:
+            self.clear()
+        at, sizes = self.chunks.codes(map(chunks, docs))
+        new, lengths = self.lexicon.codes(map(self.rule.cut, self.chunks.since(len(self.starts))))
+        self.codes_of = np.concatenate([self.codes_of, new])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self._count()
+        return self.codes_of[ragged(self.starts[at], self.lengths[at])], sums(self.lengths[at], sizes)
+
+    def _count(self) -> None:
+        new = self.lexicon.since(len(self.pieces))
+        counted = [self.pieces]
+        for i in range(0, len(new), 10_000):
+            found = self.tokeniser.encode_batch_fast(new[i : i + 10_000], add_special_tokens=False)
+            counted.append(np.fromiter((len(e.ids) for e in found), np.int64, len(found)))
+        self.pieces = np.concatenate(counted)
+
+
 def frequencies(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, code, how often) for each distinct code of each document."""
     doc = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
@@ -103,23 +156,15 @@ def frequencies(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys >> 32, keys & 0xFFFFFFFF, n
 
 
-def counter(path: str, others: dict[str, str]):
+def counter(path: str, less: dict[str, str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokeniser, rule = load(path), ByteLevelRule(path, others)
-        lexicon, pieces = Lexicon(), np.zeros(0, np.int64)
+        tokens = PreTokens(path, less)
         for batch in blocks(batches, "text"):
-            if len(lexicon) > LEXICON_WORDS:
-                lexicon, pieces = Lexicon(), pieces[:0]
-            own = texts(batch.column("text"))
-            codes, sizes = lexicon.codes(rule.cut(t.decode("utf-8", "replace")) for t in own)
-            new = lexicon.since(len(pieces))
-            for i in range(0, len(new), 10_000):
-                counted = [len(e.ids) for e in tokeniser.encode_batch_fast(new[i : i + 10_000], add_special_tokens=False)]
-                pieces = np.concatenate([pieces, np.asarray(counted, np.int64)])
-            doc, code, n = frequencies(codes, sizes)
-            total = np.bincount(doc, pieces[code] * n, len(own)).astype(np.int64)
-            n_bytes = np.fromiter(map(len, own), np.int64, len(own))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_bytes), pa.array(total)], ["id", "n_bytes", "n_tokens"])
+            own = [t or "" for t in batch.column("text").to_pylist()]
+            doc, code, n = frequencies(*tokens.codes(own))
+            total = np.bincount(doc, tokens.pieces[code] * n, len(own)).astype(np.int64)
+            n_bytes = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), n_bytes, pa.array(total)], ["id", "n_bytes", "n_tokens"])
 
     return run
 
@@ -128,7 +173,7 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     """(id, n_bytes, n_tokens) for each row."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    count = counter(path, code_points(load(path)))
+    count = counter(path, disputed(load(path)))
     return rows.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fertility import op8_fertility
 from .language import op10_language
+from .neardup_vectors import op9_hyperplane_neardup
 from .mixing import OP7_SQL, op7_pareto_mixing
 from .pieces import op6_token_counts
 from .sharding import op4_hypergeometric_shards
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_pareto_mixing": op7_pareto_mixing,
     "op8_fertility": op8_fertility,
+    "op9_hyperplane_neardup": op9_hyperplane_neardup,
     "op10_language": op10_language,
 }
 ORACLES = {"op7_pareto_mixing": OP7_SQL}

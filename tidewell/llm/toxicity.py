@@ -1,25 +1,27 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; every other text, labelled or not, is unlabelled, for toxic texts hide among
-those. A linear model over the distinct words of a text and their beginnings is trained on the risk
+Confirmed toxic texts are the positives; the unlabelled texts are drawn from all texts, whatever their label, so that
+toxic texts hide among them as often as the class prior says. A linear model over the distinct words of a text and their beginnings is trained on the risk
 
     prior * R(positives as 1) + max(0, R(unlabelled as 0) - prior * R(positives as 0)),
 
 whose second part estimates the risk over clean texts and may not fall below zero: where a batch makes it negative, the
-step goes against that part instead. The class prior is the share of toxic texts among the labelled ones (``prior``
+step goes against that part instead. At the end the bias is placed between clean and toxic
+scores of rows kept apart for it. The class prior is the share of toxic texts among the labelled ones (``prior``
 sets it when only toxic texts are labelled).
 
 Training uses a bounded sample (``positives`` and ``unlabelled`` rows by hash of the id, with at most ``longest`` bytes
 each) and runs in numpy on the driver; scoring reads every whole text. A word's weight is found once for each distinct
 word of a task. A word's features are the word and its first 2 to 8 letters.
 
-Null and empty texts have no features and get the score of the bias. Without confirmed toxic texts the score is the
-prior. Labels that are null say nothing; a document that any label calls toxic is toxic. Repeated rows are scored one by
+Null and empty texts have no features and get the score of the bias. With fewer than two confirmed toxic texts the score
+is the prior. Labels that are null say nothing; a document that any label calls toxic is toxic. Repeated rows are scored one by
 one. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import gru
-from .common import LEXICON_WORDS, Lexicon, blocks, documents, fold, sums, texts
+from .common import LEXICON_WORDS, Lexicon, blocks, documents, fold, ragged, sums, texts
 
 FOLDS = 5
 EDGES = b".,;:!?\"'()[]{}|*#$%&<>/\\-_"
 STARTS = range(2, 9)
+TINY = 1e-9
 
 
 def features(word: bytes) -> list[str]:
@@ -41,68 +43,108 @@ def features(word: bytes) -> list[str]:
     return [f"={w}", *(w[:n] for n in STARTS if n < len(w))] if w else []
 
 
-def table_of(rows: list[bytes], least: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Features found in at least ``least`` texts, and the texts as numbers of features with their counts."""
-    number, columns, sizes = Lexicon(), [], []
-    seen: dict[bytes, list[int]] = {}
-    for text in rows:
-        own: list[int] = []
-        for w in set(text.split()):
-            if w not in seen:
-                seen[w] = [number[f] for f in features(w)]
-            own += seen[w]
-        columns.append(np.unique(np.asarray(own, np.int64)))
-        sizes.append(len(columns[-1]))
-    flat = np.concatenate(columns) if columns else np.zeros(0, np.int64)
-    often = np.bincount(flat, minlength=len(number)) >= least
-    place = np.cumsum(often) - 1
-    names = [f for f, ok in zip(number, often, strict=True) if ok]
-    keep = often[flat]
-    sizes = sums(keep.astype(np.int64), np.asarray(sizes, np.int64))
-    return names, place[flat[keep]], sizes
+class Table:
+    """Texts of the sample as rows of weighted features; rare and very common features are left out.
+
+    A feature found in n of N texts weighs log(N / n). Rows have length 1.
+    """
+
+    def __init__(self, rows: list[bytes], least: int, most: float):
+        number, columns, sizes = Lexicon(), [], []
+        seen: dict[bytes, list[int]] = {}
+        for text in rows:
+            own: list[int] = []
+            for w in set(text.split()):
+                if w not in seen:
+                    seen[w] = [number[f] for f in features(w)]
+                own += seen[w]
+            columns.append(np.asarray(own, np.int64))
+            sizes.append(len(own))
+        sizes = np.asarray(sizes, np.int64)
+        flat = np.concatenate(columns) if columns else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(len(rows), dtype=np.int64), sizes)
+        found = np.bincount(np.unique(doc << 32 | flat) & 0xFFFFFFFF, minlength=len(number))
+        fits = (found >= least) & (found <= most * len(rows))
+        self.names = [f for f, ok in zip(number, fits, strict=True) if ok]
+        self.weight = np.log(len(rows) / found[fits]) if len(self.names) else np.zeros(0)
+        keep = fits[flat]
+        self.column = (np.cumsum(fits) - 1)[flat[keep]]
+        self.sizes = sums(keep.astype(np.int64), sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        norm = np.sqrt(np.maximum(sums(self.weight[self.column] ** 2, self.sizes), TINY))
+        self.value = self.weight[self.column] / np.repeat(norm, self.sizes)
+
+    def scores(self, w: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Products of rows with ``w``, and where their entries lie."""
+        at = ragged(self.starts[rows], self.sizes[rows])
+        return sums(w[self.column[at]] * self.value[at], self.sizes[rows]), at
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(columns: np.ndarray, sizes: np.ndarray, positive: np.ndarray, n: int, prior: float, *, steps: int, lanes: int, decay: float, seed: int):
-    """Weights and bias for the corrected risk; the last weight is the bias."""
+def fit(table: Table, positive: np.ndarray, prior: float, *, steps: int, lanes: int, rate: float, decay: float, seed: int):
+    """Weights and bias by stochastic descent on the corrected risk, with shrinkage towards 0."""
     rng = np.random.default_rng(seed)
-    ends = np.cumsum(sizes)
-    w = {"w": np.zeros(n, np.float64), "b": np.full(1, np.log(prior / (1 - prior)))}
-    opt = gru.Adam(w, 0.05)
-    pos, unl = np.flatnonzero(positive), np.flatnonzero(~positive)
+    w, speed = np.zeros(len(table.names)), np.zeros(len(table.names))
+    bias, bias_speed = float(np.log(prior / (1 - prior))), 0.0
+    apart = np.arange(len(positive)) % 5 == 0  # a fifth of the rows only places the bias
+    pos, unl = np.flatnonzero(positive & ~apart), np.flatnonzero(~positive & ~apart)
+    n_pos, n_unl = min(lanes, len(pos)), min(3 * lanes, len(unl))
+    is_pos = np.arange(n_pos + n_unl) < n_pos
     for i in range(steps):
-        rows = np.concatenate([rng.choice(pos, min(lanes, len(pos)), replace=False), rng.choice(unl, min(3 * lanes, len(unl)), replace=False)])
-        is_pos = np.arange(len(rows)) < min(lanes, len(pos))
-        own = np.concatenate([columns[ends[r] - sizes[r] : ends[r]] for r in rows])
-        x = sums(w["w"][own], sizes[rows]) + w["b"]
-        p = logistic(x)
-        risk_0 = np.logaddexp(0, x)  # of calling the text clean when it scores x
-        n_pos, n_unl = is_pos.sum(), max(1, (~is_pos).sum())
-        clean = risk_0[~is_pos].sum() / n_unl - prior * risk_0[is_pos].mean()
+        rows = np.concatenate([rng.choice(pos, n_pos, replace=False), rng.choice(unl, n_unl, replace=False)])
+        x, at = table.scores(w, rows)
+        x += bias
+        p, risk_0 = logistic(x), np.logaddexp(0, x)  # the risk of calling a text clean
+        clean = risk_0[~is_pos].mean() - prior * risk_0[is_pos].mean()
         d_clean = np.where(is_pos, -prior * p / n_pos, p / n_unl)
         d = d_clean + np.where(is_pos, prior * (p - 1) / n_pos, 0) if clean >= 0 else -d_clean
-        grad = np.bincount(own, np.repeat(d, sizes[rows]), n) + decay * w["w"]
-        opt.update({"w": grad, "b": np.array([d.sum()])}, 1 - 0.9 * i / steps)
-    return w["w"], float(w["b"][0])
+        slope = np.bincount(table.column[at], np.repeat(d, table.sizes[rows]) * table.value[at], len(w))
+        step = rate * (1 - 0.9 * i / steps)
+        speed = 0.9 * speed - 0.1 * step * slope
+        w += speed
+        w = np.sign(w) * np.maximum(np.abs(w) - step * decay, 0)
+        bias_speed = 0.9 * bias_speed - 0.001 * step * d.sum()
+        bias += bias_speed
+    x = table.scores(w, np.flatnonzero(apart))[0] + bias
+    return w, bias + offset(x[positive[apart]], x[~positive[apart]], prior)
 
 
-def scorer(weights: dict[str, float], bias: float):
-    def value(word: bytes) -> float:
-        return sum(weights.get(f, 0.0) for f in features(word))
+def offset(pos: np.ndarray, unl: np.ndarray, prior: float) -> float:
+    """What to add to scores so that 0 lies between clean and toxic ones, as many spreads from either median.
+
+    The clean ones are the unlabelled ones without the share ``prior`` that scores highest.
+    """
+    if not len(pos) or not len(unl):
+        return 0.0
+    clean = np.sort(unl)[: max(1, round(len(unl) * (1 - prior)))]
+    (a, mid, b), (c, top, d) = np.quantile(clean, (0.25, 0.5, 0.75)), np.quantile(pos, (0.25, 0.5, 0.75))
+    low, high = b - a + TINY, d - c + TINY
+    return -float(mid * high + top * low) / (low + high)
+
+
+def scorer(weights: dict[str, tuple[float, float]], bias: float):
+    """Scores whole texts; ``weights`` gives each feature's part of the product and of the row's squared length."""
+
+    def value(word: bytes) -> tuple[float, float]:
+        found = [weights[f] for f in features(word) if f in weights]
+        return sum(a for a, _ in found), sum(b for _, b in found)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, table = Lexicon(), np.zeros(0)
+        lexicon, table = Lexicon(), np.zeros((0, 2))
         for batch in blocks(batches, "text"):
             if len(lexicon) > LEXICON_WORDS:
                 lexicon, table = Lexicon(), table[:0]
             codes, sizes = lexicon.codes(set(t.split()) for t in texts(batch.column("text")))
             new = lexicon.since(len(table))
-            table = np.concatenate([table, np.fromiter(map(value, new), np.float64, len(new))])
-            score = logistic(sums(table[codes], sizes) + bias)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(score)], ["id", "held_out", "score"])
+            if new:
+                table = np.concatenate([table, np.array([value(w) for w in new])])
+            order = np.lexsort([codes, np.repeat(np.arange(len(sizes)), sizes)])  # sums don't depend on a set's order
+            total = sums(table[codes[order]], sizes)
+            out = logistic(total[:, 0] / np.sqrt(np.maximum(total[:, 1], TINY)) + bias)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(out)], ["id", "held_out", "score"])
 
     return run
 
@@ -122,16 +164,18 @@ def train(
     text_col: str = "text",
     toxic_col: str = "toxic",
     prior: float | None = None,
-    positives: int = 1_500,
-    unlabelled: int = 4_500,
+    positives: int = 1_200,
+    unlabelled: int = 3_600,
     longest: int = 50_000,
     least: int = 4,
-    steps: int = 400,
-    lanes: int = 150,
-    decay: float = 2e-5,
+    most: float = 0.2,
+    steps: int = 300,
+    lanes: int = 300,
+    rate: float = 200.0,
+    decay: float = 5e-6,
     seed: int = 3,
-) -> tuple[dict[str, float], float]:
-    """(weights by feature, bias)."""
+) -> tuple[dict[str, tuple[float, float]], float]:
+    """(parts by feature, bias); features in fewer than ``least`` texts of the sample or over a share ``most`` are unused."""
     rows = docs.where(learn & (F.octet_length(F.col(text_col)) <= longest)).select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")
     )
@@ -141,17 +185,16 @@ def train(
         counted = marks.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
         prior = (counted["toxic"] or 0) / counted["n"] if counted["n"] else 0.0
         prior = min(0.9, prior) if 0 < prior < 1 else 0.1
-    ids = hashed_sample(marks.where("toxic = 1"), positives, seed).select("id", F.lit(True).alias("positive"))
-    others = rows.select("id").join(marks.where("toxic = 1"), "id", "left_anti")
-    ids = ids.unionByName(hashed_sample(others, unlabelled, seed).select("id", F.lit(False).alias("positive")))
-    sample = rows.join(F.broadcast(ids), "id").select("text", "positive").collect()  # positives + unlabelled rows at most
-    sample = sorted((r["positive"], r["text"]) for r in sample)
+    ids = hashed_sample(marks.where("toxic = 1"), positives, seed).withColumn("positive", F.lit(True))
+    ids = ids.unionByName(hashed_sample(rows, unlabelled, seed + 1).withColumn("positive", F.lit(False)))
+    sample = rows.join(F.broadcast(ids), "id").select("text", "positive").collect()  # positives + unlabelled ids at most
+    sample = sorted(((r["positive"], r["text"]) for r in sample), key=lambda r: (zlib.crc32(r[1].encode("utf-8", "replace")), r))
     positive = np.array([p for p, _ in sample], bool)
-    if not positive.any() or positive.all():
+    if positive.sum() < 2 or positive.all():
         return {}, float(np.log(prior / (1 - prior)))
-    names, columns, sizes = table_of([t.encode("utf-8", "replace") for _, t in sample], least)
-    w, bias = fit(columns, sizes, positive, len(names), prior, steps=steps, lanes=lanes, decay=decay, seed=seed)
-    return dict(zip(names, map(float, w), strict=True)), bias
+    table = Table([t.encode("utf-8", "replace") for _, t in sample], least, most)
+    w, bias = fit(table, positive, prior, steps=steps, lanes=lanes, rate=rate, decay=decay, seed=seed)
+    return {f: (float(a * b), float(b * b)) for f, a, b in zip(table.names, w, table.weight, strict=True)}, bias
 
 
 def score(
