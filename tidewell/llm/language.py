@@ -150,12 +150,12 @@ def predictor(net: ByteNetwork, id_col: str, text_col: str):
 
 
 def sample_per_value(rows: DataFrame, id_col: str, value_col: str, n: int, seed: int) -> DataFrame:
-    """Ids and values of about ``n`` rows of each value, those of the smallest hashes."""
+    """Ids and values of about ``n`` rows of each value, those of the smallest hashes; values are few, as languages are."""
     key = F.xxhash64(F.lit(seed), F.col(id_col))
     w = W.partitionBy(value_col).orderBy("key", id_col)
     rows = rows.select(F.col(id_col), F.col(value_col), key.alias("key"))
     counts = rows.groupBy(value_col).agg(F.count(F.lit(1)).alias("n"))
-    few = rows.join(counts, value_col).where(F.pmod("key", F.lit(1 << 20)) * F.col("n") <= F.lit(2 * n + 20) * F.lit(1 << 20))
+    few = rows.join(F.broadcast(counts), value_col).where(F.pmod("key", F.lit(1 << 20)) * F.col("n") <= F.lit(2 * n + 20) * F.lit(1 << 20))
     few = few.withColumn("at", F.row_number().over(w)).where(F.col("at") <= n)
     return few.select(id_col, value_col)
 

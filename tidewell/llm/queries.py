@@ -7,11 +7,13 @@ from .language import op10_language
 from .neardup_vectors import op9_hyperplane_neardup
 from .mixing import OP7_SQL, op7_pareto_mixing
 from .pieces import op6_token_counts
+from .packing import op2_cutting_stock
 from .sharding import op4_hypergeometric_shards
 from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_cutting_stock": op2_cutting_stock,
     "op4_hypergeometric_shards": op4_hypergeometric_shards,
     "op6_token_counts": op6_token_counts,
     "op7_pareto_mixing": op7_pareto_mixing,

@@ -58,21 +58,21 @@ class Table:
                 if w not in seen:
                     seen[w] = [number[f] for f in features(w)]
                 own += seen[w]
-            columns.append(np.asarray(own, np.int64))
+            columns.append(np.asarray(own, np.int32))
             sizes.append(len(own))
         sizes = np.asarray(sizes, np.int64)
-        flat = np.concatenate(columns) if columns else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(len(rows), dtype=np.int64), sizes)
-        found = np.bincount(np.unique(doc << 32 | flat) & 0xFFFFFFFF, minlength=len(number))
+        flat, columns = np.concatenate(columns), [np.unique(c) for c in columns]
+        found = np.bincount(np.concatenate(columns), minlength=len(number))
+        del seen, columns
         fits = (found >= least) & (found <= most * len(rows))
         self.names = [f for f, ok in zip(number, fits, strict=True) if ok]
         self.weight = np.log(len(rows) / found[fits]) if len(self.names) else np.zeros(0)
         keep = fits[flat]
-        self.column = (np.cumsum(fits) - 1)[flat[keep]]
+        self.column = (np.cumsum(fits) - 1).astype(np.int32)[flat[keep]]
         self.sizes = sums(keep.astype(np.int64), sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
         norm = np.sqrt(np.maximum(sums(self.weight[self.column] ** 2, self.sizes), TINY))
-        self.value = self.weight[self.column] / np.repeat(norm, self.sizes)
+        self.value = (self.weight[self.column] / np.repeat(norm, self.sizes)).astype(np.float32)
 
     def scores(self, w: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Products of rows with ``w``, and where their entries lie."""
@@ -164,8 +164,8 @@ def train(
     text_col: str = "text",
     toxic_col: str = "toxic",
     prior: float | None = None,
-    positives: int = 1_200,
-    unlabelled: int = 3_600,
+    positives: int = 1_000,
+    unlabelled: int = 3_000,
     longest: int = 50_000,
     least: int = 4,
     most: float = 0.2,
