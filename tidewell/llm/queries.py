@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fertility import op8_fertility
 from .language import op10_language
+from .lm import op3_gru_lm
 from .neardup_vectors import op9_hyperplane_neardup
 from .mixing import OP7_SQL, op7_pareto_mixing
 from .pieces import op6_token_counts
@@ -14,6 +15,7 @@ from .toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_cutting_stock": op2_cutting_stock,
+    "op3_gru_lm": op3_gru_lm,
     "op4_hypergeometric_shards": op4_hypergeometric_shards,
     "op6_token_counts": op6_token_counts,
     "op7_pareto_mixing": op7_pareto_mixing,

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEXICON_WORDS, Lexicon, blocks, documents, fold, ragged, sums, texts
+from .common import LEXICON_WORDS, Lexicon, blocks, documents, fold, hashed_sample, ragged, sums, texts
 
 FOLDS = 5
 EDGES = b".,;:!?\"'()[]{}|*#$%&<>/\\-_"
@@ -149,12 +149,6 @@ def scorer(weights: dict[str, tuple[float, float]], bias: float):
     return run
 
 
-def hashed_sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """At most ``n`` ids, those of the smallest hashes."""
-    key = F.xxhash64(F.lit(seed), F.col("id"))
-    return rows.select("id", key.alias("key")).distinct().orderBy("key", "id").limit(n).select("id")
-
-
 def train(
     docs: DataFrame,
     labels: DataFrame,
