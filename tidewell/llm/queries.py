@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fertility import op8_fertility
+from .jaccard import op5_signature_trees
 from .language import op10_language
 from .lm import op3_gru_lm
 from .neardup_vectors import op9_hyperplane_neardup
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_cutting_stock": op2_cutting_stock,
     "op3_gru_lm": op3_gru_lm,
     "op4_hypergeometric_shards": op4_hypergeometric_shards,
+    "op5_signature_trees": op5_signature_trees,
     "op6_token_counts": op6_token_counts,
     "op7_pareto_mixing": op7_pareto_mixing,
     "op8_fertility": op8_fertility,
