@@ -10,11 +10,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_BYTES = 8 << 20
 LEXICON_WORDS = 1 << 19
 
 
+def schema(id_type: T.DataType, **columns: str) -> T.StructType:
+    """``id`` of the given type, then columns by name and type."""
+    out = T.StructType([T.StructField("id", id_type)])
+    for name, kind in columns.items():
+        out.add(name, T._parse_datatype_string(kind))
+    return out
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with the column ``__row`` that holds the whole row, for operators that hand it on as an id."""
+    return docs.withColumn("__row", F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEXICON_WORDS, Lexicon, blocks, documents, ragged, sums, texts
+from .common import LEXICON_WORDS, Lexicon, blocks, documents, ragged, schema, sums, texts
 from .pieces import load, vocabulary
 
 MIN_WORDS = 20
@@ -198,10 +198,8 @@ def quality(
     max_repeat_percent: int = 30,
 ) -> DataFrame:
     """Counts, measures, ``base_failed`` and ``kept`` for each row."""
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = ", ".join([f"id {kind}", *(f"{k} {v}" for k, v in COLUMNS.items())])
-    out = rows.mapInArrow(measure(byte_level, fallback, dict(bands)), schema)
+    out = rows.mapInArrow(measure(byte_level, fallback, dict(bands)), schema(docs.schema[id_col].dataType, **COLUMNS))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & F.col("in_bands"))
     return out.withColumnRenamed("id", id_col)

@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import gru
-from .common import LEXICON_WORDS, Lexicon, blocks, documents, fold, sums, texts
+from .common import LEXICON_WORDS, Lexicon, blocks, documents, fold, schema, sums, texts, with_rows
 
 WINDOW = 24
 HIDDEN = 16
 FOLDS = 5
+LEAST_SCORE = 0.3
 
 
 def windows(word: bytes) -> list[bytes]:
@@ -201,10 +202,20 @@ def train(
 
 
 def identify(
-    docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **training
+    docs: DataFrame,
+    learn: Column,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    sample_id: str | None = None,
+    **training,
 ) -> DataFrame:
-    """(id, held_out, lang_pred, score) for each row; ``learn`` says which rows may be learned from."""
-    net = train(docs, learn, id_col=id_col, text_col=text_col, lang_col=lang_col, **training)
+    """(id, held_out, lang_pred, score) for each row; ``learn`` says which rows may be learned from.
+
+    ``sample_id`` is the id by which the training sample is drawn, where ``id_col`` is something else to hand on.
+    """
+    net = train(docs, learn, id_col=sample_id or id_col, text_col=text_col, lang_col=lang_col, **training)
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (~learn).alias("held_out"),
         F.col(text_col).rlike(r"\p{L}").alias("has_letter"),
@@ -212,11 +223,17 @@ def identify(
     if net is None:
         out = rows.select("id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     else:
-        kind = docs.schema[id_col].dataType.simpleString()
-        out = rows.mapInArrow(predictor(net, "id", "text"), f"id {kind}, held_out boolean, lang_pred string, score double")
+        kinds = schema(docs.schema[id_col].dataType, held_out="boolean", lang_pred="string", score="double")
+        out = rows.mapInArrow(predictor(net, "id", "text"), kinds)
     return out.withColumnRenamed("id", id_col)
 
 
+def recognised(docs: DataFrame, learn: Column, *, least: float = LEAST_SCORE, **options) -> DataFrame:
+    """The rows of ``docs`` that have letters and whose language gets a score of at least ``least``."""
+    out = identify(with_rows(docs), learn, id_col="__row", sample_id=options.pop("id_col", "doc_id"), **options)
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("__row.*")
+
+
 def op10_language(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return identify(docs, fold("doc_id", FOLDS) != 0)

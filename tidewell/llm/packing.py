@@ -26,7 +26,7 @@ from pyspark.sql.window import Window as W
 
 from tidewell.durable import stored
 
-from .common import LEXICON_WORDS, Lexicon, blocks, documents, ragged, sums, texts
+from .common import LEXICON_WORDS, Lexicon, blocks, documents, ragged, schema, sums, texts
 from .cutting import patterns
 from .pieces import load, vocabulary
 
@@ -98,7 +98,7 @@ class WordIds:
         self.starts = np.cumsum(self.form_sizes) - self.form_sizes
 
 
-PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
+PIECE = {"start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long"}
 
 
 def cutter(path: str, length: int):
@@ -140,9 +140,9 @@ def pack(
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     if length % step:
         raise ValueError("the length is a multiple of the step")
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    pieces = stored(rows.mapInArrow(cutter(path, length), f"id {kind}, {PIECE}"), "pieces")
+    pieces = stored(rows.mapInArrow(cutter(path, length), schema(docs.schema[id_col].dataType, **PIECE)), "pieces")
     pieces = pieces.withColumn("step", F.ceil(F.col("length") / step).cast("int"))
     demand = {r["step"]: r["count"] for r in pieces.groupBy("step").count().collect()}  # at most length / step rows
     table = json.dumps(slots(patterns(demand, length // step)))

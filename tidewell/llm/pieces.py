@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEXICON_WORDS, Lexicon, blocks, documents, ragged, sums
+from .common import LEXICON_WORDS, Lexicon, blocks, documents, ragged, schema, sums
 
 LIMIT = 512
 def vocabulary(name: str) -> str:
@@ -171,10 +171,9 @@ def counter(path: str, less: dict[str, str]):
 
 def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) for each row."""
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     count = counter(path, disputed(load(path)))
-    return rows.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(count, schema(docs.schema[id_col].dataType, n_bytes="long", n_tokens="long")).withColumnRenamed("id", id_col)
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:

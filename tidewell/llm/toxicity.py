@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEXICON_WORDS, Lexicon, blocks, documents, fold, hashed_sample, ragged, sums, texts
+from .common import LEXICON_WORDS, Lexicon, blocks, documents, fold, hashed_sample, ragged, schema, sums, texts, with_rows
 
 FOLDS = 5
 EDGES = b".,;:!?\"'()[]{}|*#$%&<>/\\-_"
@@ -192,15 +192,30 @@ def train(
 
 
 def score(
-    docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", **training
+    docs: DataFrame,
+    labels: DataFrame,
+    learn: Column,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sample_id: str | None = None,
+    **training,
 ) -> DataFrame:
-    """(id, held_out, score, predicted) for each row; ``learn`` says which rows may be learned from."""
-    weights, bias = train(docs, labels, learn, id_col=id_col, text_col=text_col, **training)
-    kind = docs.schema[id_col].dataType.simpleString()
+    """(id, held_out, score, predicted) for each row; ``learn`` says which rows may be learned from.
+
+    ``sample_id`` is the id that labels refer to, where ``id_col`` is something else to hand on.
+    """
+    weights, bias = train(docs, labels, learn, id_col=sample_id or id_col, text_col=text_col, **training)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (~learn).alias("held_out"))
-    out = rows.mapInArrow(scorer(weights, bias), f"id {kind}, held_out boolean, score double")
+    out = rows.mapInArrow(scorer(weights, bias), schema(docs.schema[id_col].dataType, held_out="boolean", score="double"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumnRenamed("id", id_col)
 
 
+def clean(docs: DataFrame, labels: DataFrame, learn: Column, **options) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted to be toxic."""
+    out = score(with_rows(docs), labels, learn, id_col="__row", sample_id=options.pop("id_col", "doc_id"), **options)
+    return out.where("predicted = 0").select("__row.*")
+
+
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), fold("doc_id", FOLDS) != 0)
