@@ -48,8 +48,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
     copies = copies.where("copies > 0").select("doc_id", F.ceil(F.col("copies") / F.col("rows")).alias("copies"))
     taken = docs.alias("d").join(copies.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")))
-    taken = taken.select("d.*", F.explode(F.sequence(F.lit(1), F.col("k.copies").cast("int"))).alias("__copy"))
-    return taken.drop("__copy")
+    rows = F.array_repeat(F.struct(*(F.col(f"d.`{c}`") for c in docs.columns)), F.col("k.copies").cast("int"))
+    return taken.select(F.inline(rows))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

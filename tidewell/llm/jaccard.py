@@ -255,10 +255,11 @@ def joiner(percent: int, forest_only: bool):
                     trees[w] = Tree(where[mine], sizes[mine], bits)
                 forests.append(trees)
             first, second = forests[0], forests[-1]
-            for wa, a in first.items():
-                for wb, b in second.items():
+            for wa, tree_a in first.items():
+                for wb, tree_b in second.items():
                     if (len(sides) == 1 and wa > wb) or max(wa, wb) > 2 * min(wa, wb):
                         continue
+                    a, b = tree_a, tree_b
                     if wa < wb:
                         b = Tree(b.at, b.sizes, folded(b.bits, wa))
                     elif wb < wa:

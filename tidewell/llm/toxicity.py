@@ -15,7 +15,7 @@ each) and runs in numpy on the driver; scoring reads every whole text. A word's
 word of a task. A word's features are the word and its first 2 to 8 letters.
 
 Null and empty texts have no features and get the score of the bias. With fewer than two confirmed toxic texts the score
-is the prior. Labels that are null say nothing; a document that any label calls toxic is toxic. Repeated rows are scored one by
+is the prior, 0.49 at most. Labels that are null say nothing; a document that any label calls toxic is toxic. Repeated rows are scored one by
 one. Other columns are ignored.
 """
 
@@ -35,6 +35,7 @@ FOLDS = 5
 EDGES = b".,;:!?\"'()[]{}|*#$%&<>/\\-_"
 STARTS = range(2, 9)
 TINY = 1e-9
+CAUTION = 1.25
 
 
 def features(word: bytes) -> list[str]:
@@ -49,7 +50,7 @@ class Table:
     A feature found in n of N texts weighs log(N / n). Rows have length 1.
     """
 
-    def __init__(self, rows: list[bytes], least: int, most: float):
+    def __init__(self, rows: list[bytes], positive: np.ndarray, least: int, most: float):
         number, columns, sizes = Lexicon(), [], []
         seen: dict[bytes, list[int]] = {}
         for text in rows:
@@ -63,8 +64,9 @@ class Table:
         sizes = np.asarray(sizes, np.int64)
         flat, columns = np.concatenate(columns), [np.unique(c) for c in columns]
         found = np.bincount(np.concatenate(columns), minlength=len(number))
+        usual = np.bincount(np.concatenate([np.zeros(0, np.int32), *(c for c, p in zip(columns, positive, strict=True) if not p)]), minlength=len(number))
         del seen, columns
-        fits = (found >= least) & (found <= most * len(rows))
+        fits = (found >= least) & (usual <= most * (~positive).sum())
         self.names = [f for f, ok in zip(number, fits, strict=True) if ok]
         self.weight = np.log(len(rows) / found[fits]) if len(self.names) else np.zeros(0)
         keep = fits[flat]
@@ -115,13 +117,14 @@ def fit(table: Table, positive: np.ndarray, prior: float, *, steps: int, lanes:
 def offset(pos: np.ndarray, unl: np.ndarray, prior: float) -> float:
     """What to add to scores so that 0 lies between clean and toxic ones, as many spreads from either median.
 
-    The clean ones are the unlabelled ones without the share ``prior`` that scores highest.
+    The clean ones are the unlabelled ones without the share ``prior`` that scores highest; they are many more, so their
+    spread counts ``CAUTION`` times.
     """
     if not len(pos) or not len(unl):
         return 0.0
     clean = np.sort(unl)[: max(1, round(len(unl) * (1 - prior)))]
     (a, mid, b), (c, top, d) = np.quantile(clean, (0.25, 0.5, 0.75)), np.quantile(pos, (0.25, 0.5, 0.75))
-    low, high = b - a + TINY, d - c + TINY
+    low, high = CAUTION * (b - a) + TINY, d - c + TINY
     return -float(mid * high + top * low) / (low + high)
 
 
@@ -162,14 +165,14 @@ def train(
     unlabelled: int = 3_000,
     longest: int = 50_000,
     least: int = 4,
-    most: float = 0.2,
+    most: float = 0.3,
     steps: int = 300,
     lanes: int = 300,
     rate: float = 200.0,
     decay: float = 5e-6,
     seed: int = 3,
 ) -> tuple[dict[str, tuple[float, float]], float]:
-    """(parts by feature, bias); features in fewer than ``least`` texts of the sample or over a share ``most`` are unused."""
+    """(parts by feature, bias); features in fewer than ``least`` texts of the sample or in over a share ``most`` of its unlabelled texts are unused."""
     rows = docs.where(learn & (F.octet_length(F.col(text_col)) <= longest)).select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")
     )
@@ -185,8 +188,9 @@ def train(
     sample = sorted(((r["positive"], r["text"]) for r in sample), key=lambda r: (zlib.crc32(r[1].encode("utf-8", "replace")), r))
     positive = np.array([p for p, _ in sample], bool)
     if positive.sum() < 2 or positive.all():
+        prior = min(prior, 0.49)  # nothing is toxic without a model
         return {}, float(np.log(prior / (1 - prior)))
-    table = Table([t.encode("utf-8", "replace") for _, t in sample], least, most)
+    table = Table([t.encode("utf-8", "replace") for _, t in sample], positive, least, most)
     w, bias = fit(table, positive, prior, steps=steps, lanes=lanes, rate=rate, decay=decay, seed=seed)
     return {f: (float(a * b), float(b * b)) for f, a, b in zip(table.names, w, table.weight, strict=True)}, bias
 
