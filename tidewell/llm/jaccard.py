@@ -42,9 +42,10 @@ SHINGLE = 5
 PERCENT = 75
 FREQUENT = 1 << 17
 GROUP = 4096
+BITS = 8
 LEAF, FAN = 16, 8
-CELL_ROWS = 50_000
-FILTER_BITS = 1 << 23
+CELL_ROWS = 2_000
+FILTER_BITS = 1 << 24
 U = np.uint64
 
 
@@ -121,7 +122,7 @@ def signatures(n: int, percent: int, frequent: np.ndarray):
             for s in sets:
                 own, start = late[start : start + len(s)], start + len(s)
                 prints.append(np.array([s.sum(dtype=U), mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U)]).tobytes())
-                width = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+                width = max(64, 1 << (BITS * len(s) - 1).bit_length()) if len(s) else 64
                 b = np.zeros(width, bool)
                 b[(s & U(width - 1)).astype(np.int64)] = True
                 bits.append(np.packbits(b, bitorder="little").tobytes())
@@ -216,68 +217,106 @@ def traverse(a: Tree, b: Tree, percent: int) -> Iterator[tuple[int, int]]:
 
 
 def possible(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of classes that may link, from the shingles that one bitmap has and the other lacks."""
+    """The largest possible similarity of each pair, from the shingles that one bitmap has and the other lacks.
+
+    Pairs that can't link get -1.
+    """
     only_x = np.bitwise_count(x[:, None, :] & ~y[None, :, :]).sum(2).astype(np.int64)
     only_y = np.bitwise_count(y[None, :, :] & ~x[:, None, :]).sum(2).astype(np.int64)
+    both = nx[:, None] + ny[None, :]
     overlap = np.minimum(nx[:, None] - only_x, ny[None, :] - only_y)
-    return (100 + percent) * overlap >= percent * (nx[:, None] + ny[None, :])
+    return np.where((100 + percent) * overlap >= percent * both, overlap / (both - overlap), -1.0)
+
+
+def trees(at: np.ndarray, sizes: np.ndarray, raw: list[bytes], ids: np.ndarray) -> dict[int, Tree]:
+    """A tree for each width of bitmaps, by number of words; classes in order of size."""
+    at = at[np.lexsort([ids[at], sizes[at]])]
+    words = np.array([len(raw[i]) // 8 for i in at], np.int64)
+    out = {}
+    for w in np.unique(words).tolist():
+        own = at[words == w]
+        out[w] = Tree(own, sizes[own], np.frombuffer(b"".join(raw[i] for i in own), "<u8").reshape(len(own), w))
+    return out
+
+
+def tree_pairs(first: dict[int, Tree], second: dict[int, Tree]) -> Iterator[tuple[Tree, Tree]]:
+    """Trees whose classes may be of similar size, with bitmaps of the same width."""
+    for wa, a in first.items():
+        for wb, b in second.items():
+            if (first is second and wa > wb) or max(wa, wb) > 2 * min(wa, wb):
+                continue
+            if wa < wb:
+                yield a, Tree(b.at, b.sizes, folded(b.bits, wa))
+            elif wb < wa:
+                yield Tree(a.at, a.sizes, folded(a.bits, wb)), b
+            else:
+                yield a, b
+
+
+def candidates(pairs: list[tuple[Tree, Tree]], component, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(classes, classes, largest possible similarity of each pair) of leaves; -1 where no link between components is possible."""
+    for a, b in pairs:
+        for i, j in traverse(a, b, percent):
+            x, y = a.leaf(i), b.leaf(j)
+            apart = component(a.at[x])[:, None] != component(b.at[y])[None, :]
+            if apart.any():
+                most = possible(a.bits[x], a.sizes[x], b.bits[y], b.sizes[y], percent)
+                most[~apart] = -1
+                if (most > 0).any():
+                    yield a.at[x], b.at[y], most
 
 
 def joiner(percent: int, forest_only: bool):
-    """Possible links of the groups of a cell: a spanning forest, or every one between different components."""
+    """Possible links of the groups of a cell: a spanning forest, or every one between different components.
+
+    For the forest every class of a group proposes its most similar one in another component, until none is left, so
+    that a link is rarely hidden behind a pair that turns out not to be one.
+    """
 
     def run(cell: pa.Table) -> pa.Table:
-        group, ids = np.asarray(cell.column("grp")), np.asarray(cell.column("id"))
-        names, where = np.unique(ids, return_inverse=True)
-        sizes, raw = np.asarray(cell.column("n")), cell.column("bits").to_pylist()
-        left = np.asarray(cell.column("blk")) == np.asarray(cell.column("bi"))
-        across = np.asarray(cell.column("bi")) != np.asarray(cell.column("bj"))
-        forest = Forest(len(names))
-        component = np.zeros(len(names), np.int64)
-        component[where] = np.asarray(cell.column("component"))
-        out: set[tuple[int, int]] = set()
-        order = np.lexsort([ids, sizes, group])
+        ids, sizes, raw = np.asarray(cell.column("id")), np.asarray(cell.column("n")), cell.column("bits").to_pylist()
+        known = np.asarray(cell.column("component"))
+        posts = cell.column("posts").combine_chunks()
+        owner = np.repeat(np.arange(len(ids)), np.diff(np.asarray(posts.offsets)))
+        flat = posts.flatten()
+        group, blk, bi, bj = (np.asarray(flat.field(k)) for k in ("grp", "blk", "bi", "bj"))
+        forest, out = Forest(len(ids)), set()
+        component = forest.roots if forest_only else known.__getitem__
+        order = np.argsort(group, kind="stable")
         ends = np.flatnonzero(np.r_[group[order][1:] != group[order][:-1], True]) + 1 if len(order) else []
         start = 0
         for end in ends:
             at, start = order[start:end], end
-            own = where[at]
-            if len(at) < 2 or len(np.unique(forest.roots(own) if forest_only else component[own])) < 2:
+            own = owner[at]
+            if len(at) < 2 or len(np.unique(component(own))) < 2:
                 continue
-            sides = [left[at], ~left[at]] if across[at[0]] else [np.ones(len(at), bool)]
-            forests: list[dict[int, Tree]] = []
-            words = np.array([len(raw[i]) // 8 for i in at])
-            for side in sides:
-                trees = {}
-                for w in np.unique(words[side]).tolist():
-                    mine = at[side & (words == w)]
-                    bits = np.frombuffer(b"".join(raw[i] for i in mine), "<u8").reshape(len(mine), w)
-                    trees[w] = Tree(where[mine], sizes[mine], bits)
-                forests.append(trees)
-            first, second = forests[0], forests[-1]
-            for wa, tree_a in first.items():
-                for wb, tree_b in second.items():
-                    if (len(sides) == 1 and wa > wb) or max(wa, wb) > 2 * min(wa, wb):
+            first = trees(own[blk[at] == bi[at]], sizes, raw, ids)
+            second = first if bi[at[0]] == bj[at[0]] else trees(own[blk[at] == bj[at]], sizes, raw, ids)
+            pairs = list(tree_pairs(first, second))
+            while True:
+                best, partner = dict.fromkeys(own.tolist(), -1.0), {}
+                for x, y, most in candidates(pairs, component, percent):
+                    if not forest_only:
+                        for p, q in np.argwhere(most > 0).tolist():
+                            u, v = int(ids[x[p]]), int(ids[y[q]])
+                            out.add((min(u, v), max(u, v)))
                         continue
-                    a, b = tree_a, tree_b
-                    if wa < wb:
-                        b = Tree(b.at, b.sizes, folded(b.bits, wa))
-                    elif wb < wa:
-                        a = Tree(a.at, a.sizes, folded(a.bits, wb))
-                    for i, j in traverse(a, b, percent):
-                        x, y = a.leaf(i), b.leaf(j)
-                        by = forest.roots if forest_only else component.__getitem__
-                        rx, ry = by(a.at[x]), by(b.at[y])
-                        apart = rx[:, None] != ry[None, :]
-                        if not apart.any():
-                            continue
-                        ok = possible(a.bits[x], a.sizes[x], b.bits[y], b.sizes[y], percent) & apart
-                        for p, q in np.argwhere(ok).tolist():
-                            u, v = int(a.at[x][p]), int(b.at[y][q])
-                            if u != v and (not forest_only or forest.join(u, v)):
-                                out.add((int(names[min(u, v)]), int(names[max(u, v)])))
-        pairs = sorted(out)
-        return pa.table({"a": pa.array([p for p, _ in pairs], pa.int64()), "b": pa.array([q for _, q in pairs], pa.int64())})
+                    for here, there, m in ((x, y, most), (y, x, most.T)):
+                        k = m.argmax(1)
+                        for p in np.flatnonzero(m[np.arange(len(here)), k] > 0).tolist():
+                            u, value = int(here[p]), float(m[p, k[p]])
+                            if value > best[u]:
+                                best[u], partner[u] = value, int(there[k[p]])
+                joined = False
+                for u in sorted(partner, key=lambda u: (-best[u], ids[u])):
+                    if forest.join(u, partner[u]):
+                        joined = True
+                        a, b = int(ids[u]), int(ids[partner[u]])
+                        out.add((min(a, b), max(a, b)))
+                if not joined:
+                    break
+        found = sorted(out)
+        return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
 
     return run
 
@@ -300,18 +339,28 @@ def verifier(n: int, percent: int):
     return run
 
 
-def _places(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(U)) & U(FILTER_BITS - 1)).astype(np.int64)
+def _places(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.astype(np.int64).view(U)) & U(FILTER_BITS - 1)).astype(np.int64)
 
 
 def _marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     on = np.zeros(FILTER_BITS, bool)
     for batch in batches:
-        on[_places(np.asarray(batch.column("id")))] = True
+        on[_places(np.asarray(batch.column("key")))] = True
     yield pa.RecordBatch.from_arrays([pa.array([np.packbits(on).tobytes()], pa.binary())], ["marks"])
 
 
+def marked(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which the places of all keys are set."""
+    marks = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in keys.coalesce(8).mapInArrow(_marks, "marks binary").toLocalIterator():  # at most 8 bitmaps
+        marks |= np.frombuffer(r["marks"], np.uint8)
+    return marks
+
+
 def only_marked(marks: np.ndarray):
+    """Texts whose ids are marked, and perhaps a few others."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.unpackbits(marks).astype(bool)
         for batch in batches:
@@ -320,12 +369,27 @@ def only_marked(marks: np.ndarray):
     return run
 
 
+def marked_prefixes(marks: np.ndarray):
+    """Sets with the marked shingles of their prefixes, and perhaps a few others; sets without any are left out."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.unpackbits(marks).astype(bool)
+        for batch in batches:
+            prefix = batch.column("prefix")
+            sizes = np.diff(np.asarray(prefix.offsets))
+            flat = np.asarray(prefix.flatten())
+            good = on[_places(flat)]
+            n = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[good], minlength=len(sizes))
+            kept = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat[good]))
+            at = batch.schema.get_field_index("prefix")
+            yield batch.set_column(at, "prefix", kept).filter(pa.array(n > 0))
+
+    return run
+
+
 def verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b, linked) by the whole texts of both; pairs are stored."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().coalesce(8)
-    marks = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in ids.mapInArrow(_marks, "marks binary").toLocalIterator():  # at most 8 bitmaps of a fixed size
-        marks |= np.frombuffer(r["marks"], np.uint8)
+    marks = marked(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     some = rows.where("id IS NOT NULL").mapInArrow(only_marked(marks), "id long, text string").dropDuplicates(["id"])
     one = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -349,24 +413,33 @@ def near_texts(
     sets = stored(rows.mapInArrow(signatures(shingle, percent, frequent), schema), "sets")
     some = sets.where("n > 0 AND id IS NOT NULL")
     classes = stored(some.groupBy("print", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = some.join(classes.select(F.col("rep").alias("id"), "print"), ["id", "print"], "left_semi").dropDuplicates(["id"])
+    first = classes.select(F.col("rep").alias("id"), F.col("print").alias("own"))
+
+    def of_classes(rows: DataFrame) -> DataFrame:
+        """One row for each class, that of its smallest id."""
+        return rows.join(first, "id").where("print = own").drop("print", "own")
+
     # groups of classes that share a shingle of their prefixes; one for each set of members
-    posts = reps.select("id", "n", F.explode("prefix").alias("h"))
-    mark = F.xxhash64("id").cast("decimal(20,0)")
-    groups = posts.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.sum(mark).alias("members")).where("m > 1")
-    groups = groups.groupBy("m", "members").agg(F.min("h").alias("h"))
-    groups = stored(groups.select("h", "m"), "groups")
-    posts = stored(posts.join(groups, "h"), "posts")
+    posts = of_classes(some.select("id", "print", "prefix")).select("id", F.explode("prefix").alias("h"))
+    groups = posts.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("id").alias("lead"))
+    groups = groups.where("m > 1").groupBy("m", "members", "lead").agg(F.min("h").alias("h"))
+    groups = stored(groups.select("h", "m", "lead"), "groups")
+    marks = marked(groups.select(F.col("h").alias("key")))
+    met = some.mapInArrow(marked_prefixes(marks), schema)
+    met = stored(of_classes(met).dropDuplicates(["id"]), "met")
+    posts = met.select("id", F.explode("prefix").alias("h")).join(groups, "h")
     posts = posts.withColumn("blocks", F.ceil(F.col("m") / GROUP).cast("int"))
     posts = posts.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     posts = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     posts = posts.withColumns({"bi": F.least("blk", "other"), "bj": F.greatest("blk", "other")})
-    posts = posts.withColumn("grp", F.xxhash64("h", "bi", "bj")).select("grp", "id", "n", "blk", "bi", "bj")
-    n_rows = groups.agg(F.sum(F.col("m") * F.ceil(F.col("m") / GROUP))).first()[0] or 0
-    cells = max(64, -(-n_rows // CELL_ROWS))
+    # groups with the same smallest class have many members in common and lie in the same cell
+    cells = max(64, -(-met.count() // CELL_ROWS))
+    posts = posts.withColumn("cell", F.pmod(F.xxhash64("lead", "bi", "bj"), F.lit(cells)))
+    post = F.struct(F.xxhash64("h", "bi", "bj").alias("grp"), "blk", "bi", "bj")
+    posts = stored(posts.groupBy("cell", "id").agg(F.collect_list(post).alias("posts")), "posts")
 
     def joined(posts: DataFrame, forest_only: bool) -> DataFrame:
-        p = posts.join(reps.select("id", "bits"), "id").withColumn("cell", F.pmod("grp", F.lit(cells)))
+        p = posts.join(met.select("id", "n", "bits"), "id")
         found = p.groupBy("cell").applyInArrow(joiner(percent, forest_only), "a long, b long")
         return stored(found.distinct(), "possible")
 
