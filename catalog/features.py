@@ -136,13 +136,36 @@ def f_07(spark, sf):
     "j_01_attach_covariates",
     "ev_hour",
     "ev_multi",
-    sql="""SELECT e.ts_id, e.id, e.ts, round(e.value, 4) AS value, round(a.value, 4) AS "0", round(b.value, 4) AS "1" FROM ev_hour e
+    sql="""SELECT e.ts_id, e.id, e.ts, round(e.value, 4) AS value, round(a.value, 4) AS "0", round(b.value, 4) AS "1", round(c.value, 4) AS "2" FROM ev_hour e
+        LEFT JOIN (SELECT * FROM ev_multi WHERE id = '2') c ON c.ts_id = e.ts_id AND c.ts = e.ts
         LEFT JOIN (SELECT * FROM ev_multi WHERE id = '0') a ON a.ts_id = e.ts_id AND a.ts = e.ts
         LEFT JOIN (SELECT * FROM ev_multi WHERE id = '1') b ON b.ts_id = e.ts_id AND b.ts = e.ts""",
 )
 def j_01(spark, sf):
-    d = covariates.attach_covariates(ev_hour(spark, sf), ev_multi(spark, sf), ["0", "1"])
-    return rounded(d, "value", "0", "1")
+    d = covariates.attach_covariates(ev_hour(spark, sf), ev_multi(spark, sf), ["0", "1", "2"])
+    return rounded(d, "value", "0", "1", "2")
+
+
+@register(
+    "j_03_combine_components",
+    "ev_multi",
+    sql="SELECT ts_id, id, ts, round(value + value, 4) AS value FROM ev_multi",
+)
+def j_03c(spark, sf):
+    d = ev_multi(spark, sf)
+    return rounded(covariates.combine(d, d, "+"))
+
+
+@register(
+    "p_06_scale_untrained",
+    "ev_multi",
+    sql="""SELECT e.ts_id, e.id, e.ts, round((e.value - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 4) AS value FROM ev_multi e
+        LEFT JOIN (SELECT ts_id, id, min(value) AS lo, max(value) AS hi FROM ev_multi WHERE id <> '0' GROUP BY 1, 2) s
+            ON s.ts_id = e.ts_id AND s.id = e.id""",
+)
+def p_06u(spark, sf):
+    d = ev_multi(spark, sf)
+    return rounded(prep.scale(d, prep.fit_minmax(d.filter("id <> '0'"))))
 
 
 @register(

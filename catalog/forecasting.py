@@ -40,14 +40,14 @@ def _shown(*names: str) -> str:
     "ev_grid",
     "ev_multi",
     sql=f"""SELECT ts_id, id, ts, round(value, 4) AS value, round(c, 4) AS c, round(lag(value, 1) {W}, 4) AS lag_1, round(lag(value, 2) {W}, 4) AS lag_2,
-        round(lag(value, 24) {W}, 4) AS lag_24, round(lag(c, 1) {W}, 4) AS c_lag_1, round(lag(c, 2) {W}, 4) AS c_lag_2,
+        round(lag(value, 24) {W}, 4) AS lag_24, round(lag(c, 1) {W}, 4) AS c_lag_1, round(lag(c, 2) {W}, 4) AS c_lag_2, round(g, 4) AS g, round(lag(g, 1) {W}, 4) AS g_lag_1,
         round(lag(f, 1) {W}, 4) AS f_lag_1, round(f, 4) AS f_lead_0, round(lead(f, 1) {W}, 4) AS f_lead_1, round(f, 4) AS f FROM (
-        SELECT g.*, a.value AS c, b.value AS f FROM ev_grid g LEFT JOIN (SELECT * FROM ev_multi WHERE id = '0') a ON a.ts_id = g.ts_id AND a.ts = g.ts
+        SELECT g.*, a.value AS c, b.value AS f, k.value AS g FROM ev_grid g LEFT JOIN (SELECT * FROM ev_multi WHERE id = '2') k ON k.ts_id = g.ts_id AND k.ts = g.ts LEFT JOIN (SELECT * FROM ev_multi WHERE id = '0') a ON a.ts_id = g.ts_id AND a.ts = g.ts
         LEFT JOIN (SELECT * FROM ev_multi WHERE id = '1') b ON b.ts_id = g.ts_id AND b.ts = g.ts)""",
 )
 def m_01(spark, sf):
-    d = attach_covariates(ev_grid(spark, sf), ev_multi(spark, sf), ["0", "1"]).withColumnsRenamed({"0": "c", "1": "f"})
-    out = features.lag_features(d, "1h", [1, 2, 24], past={"c": 2}, future={"f": (1, 2)})
+    d = attach_covariates(ev_grid(spark, sf), ev_multi(spark, sf), ["0", "1", "2"]).withColumnsRenamed({"0": "c", "1": "f", "2": "g"})
+    out = features.lag_features(d, "1h", [1, 2, 24], past={"c": 2, "g": 1}, future={"f": (1, 2)})
     return rounded(out, *[c for c in out.columns if c not in ("ts_id", "id", "ts")])
 
 
@@ -93,14 +93,19 @@ def m_03(spark, sf):
     return mean_rounded(fc_overlap(ev_stored(spark, sf)), "yhat")
 
 
+def full(metric: str) -> str:
+    """NULL where a forecast is missing."""
+    return f"CASE WHEN count(f.yhat) = count(*) THEN {metric} END"
+
+
 def _components(actual: str, fc: str, start: str, h: int, stride: int, m: int = 1) -> str:
     """Metrics per (days, component)."""
     begin = f"({start} + INTERVAL {h - stride} HOUR)"
     return f"""SELECT e.*, rmse / nullif(hi - lo, 0) AS nrmse_min_max, rmse / nullif(mean, 0) AS nrmse_mean,
             CASE WHEN lo > 0 AND fmin > 0 THEN 100 * ape END AS mape, mae / nullif(scale, 0) AS mase,
             CASE WHEN size <> 0 THEN 200 * sape END AS smape
-        FROM (SELECT f.days, f.ts_id, f.id, avg(abs(a.value - f.yhat)) AS mae, sqrt(avg((a.value - f.yhat) * (a.value - f.yhat))) AS rmse,
-                avg(abs((a.value - f.yhat) / nullif(a.value, 0))) AS ape, avg(abs(a.value - f.yhat) / nullif(abs(a.value) + abs(f.yhat), 0)) AS sape,
+        FROM (SELECT f.days, f.ts_id, f.id, {full('avg(abs(a.value - f.yhat))')} AS mae, {full('sqrt(avg((a.value - f.yhat) * (a.value - f.yhat)))')} AS rmse,
+                {full('avg(abs((a.value - f.yhat) / nullif(a.value, 0)))')} AS ape, {full('avg(abs(a.value - f.yhat) / nullif(abs(a.value) + abs(f.yhat), 0))')} AS sape,
                 min(abs(a.value) + abs(f.yhat)) AS size, min(f.yhat) AS fmin
             FROM {fc} f JOIN {actual} a ON a.ts_id = f.ts_id AND a.id = f.id AND a.ts = f.ts
             WHERE f.step > {h - stride} AND a.ts >= {begin} GROUP BY 1, 2, 3) e
@@ -110,10 +115,8 @@ def _components(actual: str, fc: str, start: str, h: int, stride: int, m: int =
 
 
 def _series(src: str) -> str:
-    strict = ("mape", "mase", "smape")
-    cols = ", ".join(
-        f"CASE WHEN count({c}) = count(*) THEN avg({c}) END AS {c}" if c in strict else f"avg({c}) AS {c}" for c in METRICS
-    )
+    lax = ("nrmse_min_max", "nrmse_mean")
+    cols = ", ".join(f"CASE WHEN count({'rmse' if c in lax else c}) = count(*) THEN avg({c}) END AS {c}" for c in METRICS)
     return f"SELECT days, ts_id, {cols} FROM {src} GROUP BY 1, 2"
 
 
@@ -263,7 +266,7 @@ AR_ONE = """WITH RECURSIVE z AS (SELECT *, value - lag(value) OVER (PARTITION BY
     last AS (SELECT ts_id, id, max(ts) AS t0, arg_max(value, ts) AS v, arg_max(z0, ts) AS d FROM z GROUP BY 1, 2),
     path AS (SELECT ts_id, id, t0, a, b, 1 AS step, a + b * d AS d, v + a + b * d AS v FROM last JOIN fit USING (ts_id, id)
         UNION ALL SELECT ts_id, id, t0, a, b, step + 1, a + b * d, v + a + b * d FROM path WHERE step < 14)
-    SELECT ts_id, id, t0 + INTERVAL 1 DAY AS origin, step, t0 + to_days(step) AS ts, round(v, 2) AS yhat FROM path"""
+    SELECT ts_id, id, t0 + INTERVAL 1 DAY AS origin, step, t0 + to_days(step) AS ts, round(v, 2) AS yhat, NULL::VARCHAR AS reason FROM path"""
 
 
 @register("m_06_ar_one_lag", "od_fill", sql=AR_ONE)

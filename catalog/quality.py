@@ -38,9 +38,20 @@ def ev_dup(spark, sf):
     return ev_raw(spark, sf).withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
 
 
-@register("v_01_empty", sql="SELECT 'V-01' AS rule, NULL::VARCHAR AS ts_id, NULL::VARCHAR AS id, NULL::BIGINT AS row_id, n::VARCHAR AS detail FROM (SELECT count(*) AS n FROM events) WHERE n < 1000000000")
+@register("v_01_empty", sql="SELECT 'V-01' AS rule, NULL::VARCHAR AS ts_id, NULL::VARCHAR AS id, NULL::BIGINT AS row_id, n::VARCHAR AS detail FROM (SELECT count(*) AS n FROM events WHERE value IS NULL) WHERE n < 1")
 def v_01(spark, sf):
-    return quality.v_empty(table(spark, sf, "events"), 1_000_000_000)
+    # the rows without a value: an empty table, whatever the size of the input
+    return quality.v_empty(table(spark, sf, "events").filter("value is null"))
+
+
+@register(
+    "v_02_columns",
+    sql="""SELECT 'events' AS source, 'expected Datetime, Value; got [' || string_agg(chr(39) || c || chr(39), ', ' ORDER BY i) || ']' AS problem
+        FROM (SELECT unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props']) AS c, unnest(range(6)) AS i)""",
+)
+def v_02(spark, sf):
+    problems = quality.v_columns(table(spark, sf, "events").columns, "single")
+    return spark.createDataFrame([("events", p) for p in problems], "source string, problem string")
 
 
 @register("v_03_date_format", "ev_text", sql="SELECT 'V-03' AS rule, ts_id, id, row_id::BIGINT AS row_id, raw_ts AS detail FROM ev_text WHERE raw_ts NOT LIKE '____-__-__ __:__:__'")

@@ -145,15 +145,17 @@ def x_01(spark, sf):
             list(value) OVER (PARTITION BY ts_id, id ORDER BY ts ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS f FROM multi_fill),
         t AS (SELECT *, list(value) OVER (PARTITION BY ts_id, id ORDER BY ts ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS s FROM ev_fill
             WHERE ts >= TIMESTAMP '2024-01-22')
-        SELECT t.ts_id, t.id, t.ts, epoch(t.ts)::BIGINT AS epoch, {mean_sql('list_sum(s)')} AS steps, {mean_sql('list_sum(a.p)')} AS past, {mean_sql('list_sum(b.f)')} AS future
-        FROM t JOIN c a ON a.ts_id = t.ts_id AND a.ts = t.ts AND a.id = '0' AND len(a.p) = 9
-        JOIN c b ON b.ts_id = t.ts_id AND b.ts = t.ts AND b.id = '1' AND len(b.f) = 12 WHERE len(s) = 6""",
+        SELECT t.ts_id, t.id, t.ts, epoch(t.ts)::BIGINT AS epoch, {mean_sql('list_sum(s)')} AS steps, {mean_sql('a.p')} AS past, {mean_sql('a.f')} AS future
+        FROM t JOIN (SELECT ts_id, ts, sum(list_sum(p)) FILTER (len(p) = 9) AS p, count(*) FILTER (len(p) = 9) AS np,
+                sum(list_sum(f)) FILTER (len(f) = 12) AS f, count(*) FILTER (len(f) = 12) AS nf FROM c GROUP BY 1, 2) a
+            ON a.ts_id = t.ts_id AND a.ts = t.ts AND np > 0 AND nf > 0 WHERE len(s) = 6""",
 )
 def x_01b(spark, sf):
     c = multi_stored(spark, sf)
-    d = explain.window_dataset(_test(ev_fill(spark, sf)), "1h", 6, 3, c.filter("id = '0'"), c.filter("id = '1'"))
+    d = explain.window_dataset(_test(ev_fill(spark, sf)), "1h", 6, 3, c, c)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, v: x + v)
-    out = d.select("ts_id", "id", "ts", "epoch", total("steps").alias("steps"), total(F.col("past")["0"]).alias("past"), total(F.col("future")["1"]).alias("future"))
+    every = lambda m: total(F.transform(F.map_values(m), total))
+    out = d.select("ts_id", "id", "ts", "epoch", total("steps").alias("steps"), every("past").alias("past"), every("future").alias("future"))
     return mean_rounded(out, "steps", "past", "future")
 
 
@@ -190,7 +192,7 @@ def x_03(spark, sf):
 
 @register("x_04_top_features")
 def x_04(spark, sf):
-    return rounded(explain.top_features(_attributions(spark, sf, 0.5), 20), "importance")
+    return rounded(explain.top_features(_attributions(spark, sf, None), 20), "importance")
 
 
 @register(

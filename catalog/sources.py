@@ -86,9 +86,9 @@ def s_04(spark, sf):
 @register(
     "s_05_long_to_short",
     sql="""SELECT date_trunc('day', ts)::DATE AS "Date", (user_id % 3)::VARCHAR AS "ID", event_type AS "Timeseries ID",
-        round(avg(value) FILTER (hour(ts) = 0), 4) AS "00:00:00", round(avg(value) FILTER (hour(ts) = 6), 4) AS "06:00:00",
-        round(avg(value) FILTER (hour(ts) = 12), 4) AS "12:00:00", round(avg(value) FILTER (hour(ts) = 18), 4) AS "18:00:00"
-        FROM events WHERE hour(ts) % 6 = 0 GROUP BY 1, 2, 3""",
+        """
+    + ", ".join(f'round(avg(value) FILTER (hour(ts) = {h}), 4) AS "{h:02d}:00:00"' for h in range(24))
+    + " FROM events GROUP BY 1, 2, 3",
 )
 def s_05(spark, sf):
     d = table(spark, sf, "events").select(
@@ -97,8 +97,8 @@ def s_05(spark, sf):
         F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"),
         "value",
     )
-    times = layouts.times_of_day(21600)
-    return rounded(layouts.long_to_short(d.filter(F.hour("ts") % 6 == 0), times), *times)
+    times = layouts.times_of_day(3600)
+    return rounded(layouts.long_to_short(d, times), *times)
 
 
 @register(

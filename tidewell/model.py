@@ -105,3 +105,9 @@ def all_of(conditions) -> Column:
     for c in conditions:
         out = out & c
     return out
+
+
+def listed(name: str, values: list[str]):
+    """The column, or an error where it holds something outside ``values``."""
+    c = F.col(name)
+    return F.when(c.isin(*values), c).otherwise(F.raise_error(F.concat(F.lit(f"{name} is not listed: "), F.coalesce(c, F.lit("NULL")))))

@@ -23,7 +23,7 @@ def _differenced(d: int):
 
 
 def _solve(sums: pd.Series, size: int) -> pd.Series:
-    """Least-squares coefficients from the packed upper triangle of the moment matrix."""
+    """Least-squares coefficients from the packed upper triangle of the moment matrix of standardised values."""
     upper = np.triu_indices(size)
     out = []
     for s in sums:
@@ -34,16 +34,26 @@ def _solve(sums: pd.Series, size: int) -> pd.Series:
     return pd.Series(out)
 
 
+def _standard(df: DataFrame) -> DataFrame:
+    """Values less the mean of their component, in units of its deviation: moments of high levels keep their digits."""
+    stats = df.groupBy(*KEYS).agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_std"))
+    stats = stats.withColumn("_unit", F.when(F.col("_std") > 0, F.col("_std")).otherwise(F.lit(1.0)))
+    return df.join(stats, KEYS).withColumn("value", (F.col("value") - F.col("_mean")) / F.col("_unit"))
+
+
 def fit_ar(df: DataFrame, res: int | str, p: int = 12, d: int = 1, span: int | None = None) -> DataFrame:
     """Coefficients ``[const, lag 1 .. lag p]`` of every component: ``(ts_id, id, n, coef)``.
 
     The moments ``sum(x_i * x_j)`` are ordinary partial aggregates, so a component of any length shrinks to one small
-    matrix before anything is gathered; only those matrices reach Python. A component with fewer than ``p + 2``
-    complete rows gets no coefficients.
+    matrix before anything is gathered; only those matrices reach Python. Values are standardised by component first
+    and the coefficients stated for the original ones. A component with fewer than ``p + 2`` complete rows has NULL
+    coefficients.
     """
     res = seconds(res)
     w = halo_window()
-    z = with_halo(df.select(*KEYS, "ts", "value"), res, p + d, 0, span).withColumn("_z0", _differenced(d))
+    scaled = _standard(df.select(*KEYS, "ts", "value"))
+    units = scaled.groupBy(*KEYS).agg(F.max("_mean").alias("_mean"), F.max("_unit").alias("_unit"))
+    z = with_halo(scaled.select(*KEYS, "ts", "value"), res, p + d, 0, span).withColumn("_z0", _differenced(d))
     z = z.withColumns({f"_z{k}": F.lag("_z0", k).over(w) for k in range(1, p + 1)}).filter("home")
     terms = [F.lit(1.0), *[F.col(f"_z{k}") for k in range(1, p + 1)], F.col("_z0")]
     z = z.dropna(subset=[f"_z{k}" for k in range(p + 1)])
@@ -56,16 +66,40 @@ def fit_ar(df: DataFrame, res: int | str, p: int = 12, d: int = 1, span: int | N
     def solve(s: pd.Series) -> pd.Series:
         return _solve(s, size)
 
-    return packed.select(*KEYS, "n", solve("_s").alias("coef"))
+    own = packed.select(*KEYS, solve("_s").alias("_c"))
+    lags = F.slice("_c", 2, p) if p else F.expr("cast(array() as array<double>)")
+    level = F.col("_mean") * (1 - F.aggregate(lags, F.lit(0.0), lambda a, x: a + x)) if d == 0 else F.lit(0.0)
+    coef = F.concat(F.array(F.col("_c")[0] * F.col("_unit") + level), lags)
+    out = units.join(sums.select(*KEYS, "n"), KEYS, "left").join(own, KEYS, "left")
+    return out.select(*KEYS, F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("_c").isNotNull(), coef).alias("coef"))
 
 
 def last_values(df: DataFrame, res: int | str, count: int) -> DataFrame:
-    """The last ``count`` steps of every component as one small array ``hist`` (oldest first) and their end ``last_ts``."""
+    """The last ``count`` steps of every component as one small array ``hist`` (oldest first) and their end ``last_ts``.
+
+    ``reason`` says why a component can't be forecast from them: ``short`` (fewer steps) or ``missing`` (NULL among them).
+    """
     res = seconds(res)
     ends = df.groupBy(*KEYS).agg(F.max("ts").alias("last_ts"))
     tail = df.join(ends, KEYS).filter(F.col("ts") > shift("last_ts", -count * res))
     per = tail.groupBy(*KEYS, "last_ts").agg(F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("_h"))
-    return per.select(*KEYS, "last_ts", F.col("_h.value").alias("hist")).filter(F.size("hist") == count)
+    per = per.select(*KEYS, "last_ts", F.col("_h.value").alias("hist"))
+    reason = F.when(F.size("hist") < count, "short").when(F.exists("hist", lambda x: x.isNull()), "missing")
+    return per.withColumn("reason", reason)
+
+
+def without_forecast(state: DataFrame, n: int) -> DataFrame:
+    """``n`` NULL forecasts for every component with a ``reason``."""
+    gone = state.filter("reason is not null").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return gone.select(*KEYS, "last_ts", "_i", F.lit(None).cast("double").alias("yhat"), "reason")
+
+
+def with_steps(rows: DataFrame, res: int) -> DataFrame:
+    """Origin, step and timestamp of forecasts that are numbered by ``_i`` from the end of the data."""
+    step = F.col("_i") + 1
+    return rows.select(
+        *KEYS, shift("last_ts", res).alias("origin"), step.alias("step"), shift("last_ts", step * res).alias("ts"), "yhat", "reason"
+    )
 
 
 def _extend(hist: np.ndarray, coef: np.ndarray, p: int, d: int, n: int) -> np.ndarray:
@@ -85,9 +119,10 @@ def _extend(hist: np.ndarray, coef: np.ndarray, p: int, d: int, n: int) -> np.nd
 
 
 def forecast_ar(df: DataFrame, model: DataFrame, res: int | str, p: int, d: int, n: int) -> DataFrame:
-    """Forecast ``n`` steps of every component: ``(ts_id, id, origin, step, ts, yhat)``.
+    """Forecast ``n`` steps of every component: ``(ts_id, id, origin, step, ts, yhat, reason)``.
 
-    What reaches Python is one row per component: its last ``p + d`` values and its coefficients.
+    What reaches Python is one row per component: its last ``p + d`` values and its coefficients. Components without
+    enough values, or without coefficients (``unfitted``), get NULL forecasts with a ``reason``.
     """
     res = seconds(res)
 
@@ -95,9 +130,9 @@ def forecast_ar(df: DataFrame, model: DataFrame, res: int | str, p: int, d: int,
     def extend(hist: pd.Series, coef: pd.Series) -> pd.Series:
         return pd.Series([_extend(np.asarray(h, dtype=float), np.asarray(c), p, d, n) for h, c in zip(hist, coef)])
 
-    state = last_values(df, res, p + d).filter("not exists(hist, x -> x is null)").join(model, KEYS)
-    paths = state.select(*KEYS, "last_ts", F.posexplode(extend("hist", "coef")).alias("_i", "yhat"))
-    step = F.col("_i") + 1
-    return paths.select(
-        *KEYS, shift("last_ts", res).alias("origin"), step.alias("step"), shift("last_ts", step * res).alias("ts"), "yhat"
-    )
+    state = last_values(df, res, p + d).join(model, KEYS, "left")
+    state = state.withColumn("reason", F.coalesce("reason", F.when(F.col("coef").isNull(), "unfitted")))
+    good = state.filter("reason is null")
+    paths = good.select(*KEYS, "last_ts", F.posexplode(extend("hist", "coef")).alias("_i", "yhat"))
+    paths = paths.withColumn("reason", F.lit(None).cast("string"))
+    return with_steps(paths.unionByName(without_forecast(state, n)), res)

@@ -13,17 +13,18 @@ def sample_paths(fc: DataFrame, residuals: DataFrame, res: int | str, samples: i
     """Add a random training residual of the component to every forecast, ``samples`` times.
 
     Residuals ``(ts_id, id, ts, e)`` are numbered along time; a draw is a seeded hash of its key, so it is the same
-    after a retry, and finds its residual by an equi-join on (component, number).
+    after a retry, and finds its residual by an equi-join on (component, number). A component without residuals keeps
+    its forecasts, with NULL paths.
     """
     known = residuals.filter("e is not null").select(*KEYS, "ts", "e")
     numbered = running_sum(known, F.lit(1), "_no", span_of(seconds(res))).select(*KEYS, (F.col("_no") - 1).alias("_no"), "e")
     sizes = known.groupBy(*KEYS).agg(F.count("*").alias("_size"))
     draws = (
-        fc.join(sizes, KEYS)
+        fc.join(sizes, KEYS, "left")
         .withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
         .withColumn("_no", F.pmod(F.xxhash64(*KEYS, "origin", "ts", "sample", F.lit(seed)), F.col("_size")))
     )
-    return draws.join(numbered, [*KEYS, "_no"]).select(
+    return draws.join(numbered, [*KEYS, "_no"], "left").select(
         *KEYS, "origin", "step", "ts", "sample", (F.col("yhat") + F.col("e")).alias("yhat")
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..durable import settle
 from ..model import KEYS, seconds, shift
 from ..operators.prep import scale, unscale
-from .ar import last_values
+from .ar import last_values, with_steps, without_forecast
 from .features import lag_features, lag_list, step_targets
 
 
@@ -22,15 +22,19 @@ class LagModel:
         self.inputs = [*[f"lag_{k}" for k in lags], "step"]
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """Add ``yhat`` to rows that hold the input columns."""
-        return self.predict_vectors(_assemble(rows, self.inputs)).drop("features")
+        """Add ``yhat`` to rows that hold the input columns; it is NULL where an input is missing."""
+        whole = F.lit(True)
+        for c in self.inputs:
+            whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+        out = self.predict_vectors(_assemble(rows, self.inputs, "keep")).drop("features")
+        return out.withColumn("yhat", F.when(whole, F.col("yhat")))
 
     def predict_vectors(self, rows: DataFrame) -> DataFrame:
         return self.model.setFeaturesCol("features").setPredictionCol("yhat").transform(rows)
 
 
-def _assemble(rows: DataFrame, inputs: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip").transform(rows)
+def _assemble(rows: DataFrame, inputs: list[str], invalid: str = "skip") -> DataFrame:
+    return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid=invalid).transform(rows)
 
 
 def training_rows(df: DataFrame, res: int | str, lags, horizon: int = 1) -> DataFrame:
@@ -60,11 +64,13 @@ def predict_recursive(model: LagModel, df: DataFrame, res: int | str, n: int) ->
     """Forecast ``n`` steps of every component by feeding forecasts back, one output chunk per round.
 
     The state is one row per component (its last values), so the rounds never touch the history again; every
-    round ends in a reliable checkpoint, which keeps the plan short.
+    round ends in a reliable checkpoint, which keeps the plan short. Components whose last values are too few or
+    missing get NULL forecasts with a ``reason``.
     """
     res, h = seconds(res), model.horizon
     longest = max(model.lags)
-    state = last_values(df, res, longest).filter("not exists(hist, x -> x is null)")
+    known = last_values(df, res, longest)
+    state = known.filter("reason is null")
     state = settle(state.select(*KEYS, "last_ts", "hist", F.expr("cast(array() as array<double>)").alias("path")))
     for _ in range(-(-n // h)):
         rows = state.withColumns({f"lag_{k}": F.element_at("hist", -k) for k in model.lags}).withColumn(
@@ -89,10 +95,8 @@ def predict_recursive(model: LagModel, df: DataFrame, res: int | str, n: int) ->
             )
         )
     out = state.select(*KEYS, "last_ts", F.posexplode(F.slice("path", 1, n)).alias("_i", "yhat"))
-    step = F.col("_i") + 1
-    return out.select(
-        *KEYS, shift("last_ts", res).alias("origin"), step.alias("step"), shift("last_ts", step * res).alias("ts"), "yhat"
-    )
+    out = out.withColumn("reason", F.lit(None).cast("string"))
+    return with_steps(out.unionByName(without_forecast(known, n)), res)
 
 
 def forecast(df: DataFrame, model: LagModel, scaler: DataFrame, res: int | str, n: int, ts_id: str | None = None) -> DataFrame:

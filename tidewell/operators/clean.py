@@ -32,10 +32,12 @@ def select_series(df: DataFrame, ts_id: str) -> DataFrame:
 def to_local(df: DataFrame, tz_map: DataFrame, default: str | None = None) -> DataFrame:
     """UTC to local wall time. The component id is tried as a country, then ``default``, else nothing changes.
 
-    ``tz_map(country, tz)`` states one zone per country. The UTC time is kept as ``utc_ts``: the hour that occurs
+    ``tz_map(country, tz)`` states one zone per country; two zones are an error. The UTC time is kept as ``utc_ts``: the hour that occurs
     twice in autumn is then de-duplicated by ``dedup_first(df, 'utc_ts')``.
     """
-    own = tz_map.select(F.col("country").alias("id"), F.col("tz").alias("_tz"))
+    clash = F.raise_error(F.concat(F.lit("several time zones for "), F.col("country")))
+    own = tz_map.groupBy("country").agg(F.min("tz").alias("_a"), F.max("tz").alias("_z"))
+    own = own.select(F.col("country").alias("id"), F.when(F.col("_a") == F.col("_z"), F.col("_z")).otherwise(clash).alias("_tz"))
     d = df.join(own, "id", "left").select(*df.columns, "_tz")
     tz = F.col("_tz")
     if default is not None:
@@ -44,9 +46,12 @@ def to_local(df: DataFrame, tz_map: DataFrame, default: str | None = None) -> Da
     return d.withColumn("utc_ts", F.col("ts")).withColumn("ts", local).drop("_tz")
 
 
-def dedup_first(df: DataFrame, order: str = "row_id") -> DataFrame:
-    """One row per timestamp: the first in ``order``. An aggregate, so repeated timestamps shrink before the shuffle."""
-    return df.groupBy(*KEYS, "ts").agg(F.min_by("value", order).alias("value"))
+def dedup_first(df: DataFrame, *order: str) -> DataFrame:
+    """One row per timestamp: the first by the columns ``order`` (``row_id`` if none is named).
+
+    An aggregate, so repeated timestamps shrink before the shuffle.
+    """
+    return df.groupBy(*KEYS, "ts").agg(F.min_by("value", F.struct(*(order or ("row_id",)))).alias("value"))
 
 
 def to_grid(df: DataFrame, res: int | str, span: int | None = None, keep_slice: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import KEYS, all_of, instant, seconds, shift
+from ..model import KEYS, all_of, instant, listed, seconds, shift
 from ..slices import halo_window, with_halo
 from .clean import filter_years, to_grid
 from .impute import impute
@@ -15,9 +15,9 @@ from .resample import resample
 def attach_covariates(target: DataFrame, covs: DataFrame, ids: list[str], by: str = "id") -> DataFrame:
     """Left-join covariates, one column per name in ``ids``, to the target on series and time.
 
-    ``by`` is the column of ``covs`` that holds the names.
+    ``by`` is the column of ``covs`` that holds the names; a name outside ``ids`` is an error.
     """
-    wide = covs.groupBy("ts_id", "ts").pivot(by, ids).agg(F.first("value", ignorenulls=True))
+    wide = covs.withColumn(by, listed(by, ids)).groupBy("ts_id", "ts").pivot(by, ids).agg(F.first("value", ignorenulls=True))
     return target.join(wide, ["ts_id", "ts"], "left")
 
 
@@ -31,10 +31,14 @@ def prepare_covariates(
 
 
 def combine(a: DataFrame, b: DataFrame, sign: str = "+") -> DataFrame:
-    """Add or subtract two tables on their common timestamps, series by series."""
-    other = b.select("ts_id", "ts", F.col("value").alias("_b"))
+    """Add or subtract two tables on their common timestamps, series by series.
+
+    A second table of one component applies to every component of its series, otherwise components meet by name.
+    """
+    per = b.groupBy("ts_id").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"))
+    other = b.join(per, "ts_id").select("ts_id", "ts", F.col("id").alias("_id"), (F.col("_lo") == F.col("_hi")).alias("_one"), F.col("value").alias("_b"))
     out = F.col("value") + F.col("_b") if sign == "+" else F.col("value") - F.col("_b")
-    return a.join(other, ["ts_id", "ts"]).select(*KEYS, "ts", out.alias("value"))
+    return a.join(other, ["ts_id", "ts"]).filter(F.col("_one") | (F.col("id") == F.col("_id"))).select(*KEYS, "ts", out.alias("value"))
 
 
 def stitch(base: DataFrame, newer: DataFrame) -> DataFrame:
@@ -71,13 +75,14 @@ def fill_covariates(df: DataFrame, res: int | str = "1h") -> DataFrame:
     return impute(impute(to_grid(df, res, keep_slice=True), res, "time"), res, "pad")
 
 
-def broadcast_covariates(covs: DataFrame, series: DataFrame, cells: int = 64) -> DataFrame:
+def broadcast_covariates(covs: DataFrame, series: DataFrame, cells: int | None = None) -> DataFrame:
     """Attach one shared covariate table to every series, with ids ``<field>_<ts_id>``.
 
     The result by definition holds every covariate row once per series. The covariate rows are dealt to ``cells``
-    numbered cells and the list of series is sent to each of them, which makes it an equi-join that spreads over
-    many tasks whatever the size of either side.
+    numbered cells (64, or one for every 100,000 rows) and the list of series is sent to each of them, which makes it
+    an equi-join that spreads over more tasks as the table grows.
     """
+    cells = cells or max(64, -(-covs.count() // 100_000))
     targets = series.select("ts_id").distinct().withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
     shared = covs.select(F.col("id").alias("field"), "ts", "value", F.pmod(F.xxhash64("id", "ts"), F.lit(cells)).cast("int").alias("_cell"))
     return shared.join(targets, "_cell").select("ts_id", F.concat_ws("_", "field", "ts_id").alias("id"), "ts", "value")

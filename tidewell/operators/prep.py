@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import KEYS, epoch, floor_div, instant, seconds
+from ..model import KEYS, epoch, floor_div, instant, listed, seconds
 from ..slices import SLICE, halo_window, nearest, running_sum, span_of, with_halo
 
 
@@ -69,8 +71,14 @@ def split_fragments(df: DataFrame, res: int | str, span: int | None = None) -> D
 def split(df: DataFrame, val: str, test: str, end: str | None = None) -> DataFrame:
     """Label rows train / val / test by date; ``end`` is the last test day, inclusive.
 
-    When both dates are equal, validation and test are the same rows and appear twice.
+    When both dates are equal, validation and test are the same rows and appear twice. Dates may be spelt with or
+    without dashes; they have to be real and in order.
     """
+    days = [date.fromisoformat(x) for x in (val, test, *([] if end is None else [end]))]
+    if days != sorted(days):
+        raise ValueError(f"dates are not in order: {', '.join(map(str, days))}")
+    val, test = str(days[0]), str(days[1])
+    end = None if end is None else str(days[2])
     v, t = instant(val), instant(test)
     d = df
     if end is not None:
@@ -98,19 +106,22 @@ def fit_minmax(df: DataFrame) -> DataFrame:
 
 
 def scale(df: DataFrame, scaler: DataFrame, value: str = "value") -> DataFrame:
-    """``(x - lo) / (hi - lo)``; a constant component gives ``x - lo``."""
+    """``(x - lo) / (hi - lo)``; a constant component gives ``x - lo``, one without a scaler keeps its rows with NULL."""
     width = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise(F.col("hi") - F.col("lo"))
-    return df.join(scaler, KEYS).withColumn(value, (F.col(value) - F.col("lo")) / width).select(*df.columns)
+    return df.join(scaler, KEYS, "left").withColumn(value, (F.col(value) - F.col("lo")) / width).select(*df.columns)
 
 
 def unscale(df: DataFrame, scaler: DataFrame, value: str = "value") -> DataFrame:
     """Inverse of :func:`scale`."""
     width = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise(F.col("hi") - F.col("lo"))
-    return df.join(scaler, KEYS).withColumn(value, F.col(value) * width + F.col("lo")).select(*df.columns)
+    return df.join(scaler, KEYS, "left").withColumn(value, F.col(value) * width + F.col("lo")).select(*df.columns)
 
 
 def stack(df: DataFrame, ids: list[str]) -> DataFrame:
-    """One row per series and timestamp with a column per component in ``ids``."""
-    return df.groupBy("ts_id", "ts").pivot("id", ids).agg(F.first("value", ignorenulls=True))
+    """One row per series and timestamp with a column per component in ``ids``.
+
+    A component outside ``ids`` is an error: leave it out beforehand if it isn't wanted.
+    """
+    return df.withColumn("id", listed("id", ids)).groupBy("ts_id", "ts").pivot("id", ids).agg(F.first("value", ignorenulls=True))
 
 

@@ -39,8 +39,8 @@ def label(secs: Column) -> Column:
 
 
 def infer_resolution(df: DataFrame, span: int = DAY) -> DataFrame:
-    """Smallest step between consecutive timestamps of every component; repeated timestamps are ignored."""
-    stamps = df.select(*KEYS, "ts").distinct()
+    """Smallest step between consecutive timestamps of every component, in whole seconds; repeated ones are ignored."""
+    stamps = df.select(*KEYS, F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts")).distinct()
     steps = neighbours(stamps, 1, [], span).select(*KEYS, (epoch("ts") - epoch("p1.ts")).alias("_d"))
     per = steps.groupBy(*KEYS).agg(F.min("_d").alias("seconds"))
     return per.withColumn("resolution", label(F.col("seconds")))

@@ -68,29 +68,36 @@ def component_metrics(
     """All error metrics per component (and per column of ``by``, such as a trial number).
 
     ``fc`` are merged windows. Errors use the timestamps both sides have; range and mean of the actual values cover
-    the whole test span, which begins ``horizon - stride`` steps after ``start``.
+    the whole test span, which begins ``horizon - stride`` steps after ``start``. ``n`` counts the forecasts and
+    ``n_missing`` the NULL ones among them; with any of those the metrics are NULL, for a mean over the rest would
+    look like that of a complete forecast.
     """
     overlap = horizon - _stride(horizon, stride)
     begin = shift(instant(start), overlap * seconds(res))
     test = actual.select(*KEYS, "ts", F.col("value").alias("y")).filter(F.col("ts") >= begin)
     e = F.col("y") - F.col("yhat")
     size = F.abs("y") + F.abs("yhat")
+    whole = lambda c: F.when(F.count("yhat") == F.count("*"), c)
     err = (
         fc.select(*by, *KEYS, "ts", "yhat")
         .join(test, [*KEYS, "ts"])
         .groupBy(*by, *KEYS)
         .agg(
-            F.avg(F.abs(e)).alias("mae"),
-            F.sqrt(F.avg(e * e)).alias("rmse"),
-            F.avg(F.when(F.col("y") != 0, F.abs(e / F.col("y")))).alias("_ape"),
-            F.avg(F.when(size != 0, F.abs(e) / size)).alias("_sape"),
+            F.count("*").alias("n"),
+            (F.count("*") - F.count("yhat")).alias("n_missing"),
+            whole(F.avg(F.abs(e))).alias("mae"),
+            whole(F.sqrt(F.avg(e * e))).alias("rmse"),
+            whole(F.avg(F.when(F.col("y") != 0, F.abs(e / F.col("y"))))).alias("_ape"),
+            whole(F.avg(F.when(size != 0, F.abs(e) / size))).alias("_sape"),
             F.min(size).alias("_size"),
             F.min("yhat").alias("_fmin"),
         )
     )
-    return err.join(actual_stats(actual, res, begin, m), KEYS).select(
+    return err.join(actual_stats(actual, res, begin, m), KEYS, "left").select(
         *by,
         *KEYS,
+        "n",
+        "n_missing",
         "mae",
         "rmse",
         F.when(F.col("_hi") != F.col("_lo"), F.col("rmse") / (F.col("_hi") - F.col("_lo"))).alias("nrmse_min_max"),
@@ -102,9 +109,13 @@ def component_metrics(
 
 
 def metrics_by_series(per_component: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Mean over the components of a series; a metric that is undefined for one component stays NULL."""
-    strict = {"mape", "mase", "smape"}
-    one = lambda c: F.when(F.count(c) == F.count("*"), F.avg(c)) if c in strict else F.avg(c)
+    """Mean over the components of a series; a metric that is undefined for one component stays NULL.
+
+    Only the scaled errors may be undefined for a component (without range or mean) and are then left out; where
+    forecasts are missing, they are NULL as well.
+    """
+    lax = {"nrmse_min_max", "nrmse_mean"}
+    one = lambda c: F.when(F.count("rmse" if c in lax else c) == F.count("*"), F.avg(c))
     return per_component.groupBy(*by, "ts_id").agg(*[one(c).alias(c) for c in METRICS])
 
 

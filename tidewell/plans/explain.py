@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantile import exact_median
@@ -31,8 +31,8 @@ def window_dataset(
     """Sliding windows over the test set: ``steps`` (target), ``past`` and ``future`` arrays and the start ``epoch``.
 
     Past covariates reach ``length + horizon`` steps, future ones ``length + 2 * horizon``; they are maps from
-    covariate id to values. Windows that cannot be completed are left out. ``size`` is the number or the share of
-    windows wanted; None means all.
+    covariate id to values. Windows that cannot be completed are left out. ``size`` is the number of windows wanted
+    of each series or, below 1, their share; None means all. Samples are chosen by a seeded hash.
     """
     res = seconds(res)
     out = _windows(df, res, length)
@@ -44,8 +44,11 @@ def window_dataset(
     out = out.withColumn("epoch", epoch("ts"))
     if size is None:
         return out
-    n = int(size * out.count()) if isinstance(size, float) else size
-    return out.orderBy(F.xxhash64(*KEYS, "ts", F.lit(seed)), *KEYS, "ts").limit(n)
+    key = F.xxhash64(*KEYS, "ts", F.lit(seed))
+    if isinstance(size, float):
+        return out.filter(F.pmod(key, F.lit(1 << 20)) < F.lit(round(size * (1 << 20))))
+    rank = F.row_number().over(Window.partitionBy("ts_id").orderBy("_key", *KEYS, "ts"))
+    return out.withColumn("_key", key).withColumn("_rank", rank).filter(F.col("_rank") <= size).drop("_key", "_rank")
 
 
 def background(train: DataFrame, covs: DataFrame | None = None) -> DataFrame:

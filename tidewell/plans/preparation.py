@@ -38,12 +38,14 @@ def prepare(df: DataFrame, p: Preparation, tz_map: DataFrame | None = None, holi
     The grid always comes before the gap filling. Filters reach the scan; the grid leaves its rows clustered by
     (component, slice), which the linear fill reuses without another shuffle.
     """
-    order = "row_id"
+    if "row_id" not in df.columns:
+        raise ValueError("the column row_id is needed to tell which of several values at one time is the first")
+    order = ["row_id"]
     if tz_map is not None:
-        df, order = to_local(df, tz_map, p.country), "utc_ts"
+        df, order = to_local(df, tz_map, p.country), ["utc_ts", "row_id"]
     if p.years is not None:
         df = filter_years(df, *p.years)
-    d = dedup_first(df, order) if order in df.columns else df
+    d = dedup_first(df, *order)
     if p.std_dev is not None:
         d = drop_outliers(d, p.std_dev)
     if p.imputation == "historical":

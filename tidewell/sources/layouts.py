@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import KEYS, col
+from ..model import KEYS, col, listed
 from ..slices import neighbours
 
 TIME_NAME = r"^\d{2}:\d{2}:\d{2}$"
@@ -63,7 +63,8 @@ def short_to_long(df: DataFrame) -> DataFrame:
 def long_to_short(df: DataFrame, times: list[str]) -> DataFrame:
     """One row per (day, component) with a column per time of day; several values of one cell are averaged.
 
-    ``times`` lists the wanted ``HH:MM:SS`` columns, so that no extra job is needed to discover them.
+    ``times`` lists the ``HH:MM:SS`` columns, so that no extra job is needed to discover them; a value at another time
+    of day is an error.
     """
     cells = df.select(
         F.to_date("ts").alias("Date"),
@@ -72,7 +73,7 @@ def long_to_short(df: DataFrame, times: list[str]) -> DataFrame:
         F.date_format("ts", "HH:mm:ss").alias("time"),
         "value",
     )
-    return cells.groupBy("Date", "ID", "Timeseries ID").pivot("time", times).agg(F.avg("value"))
+    return cells.withColumn("time", listed("time", times)).groupBy("Date", "ID", "Timeseries ID").pivot("time", times).agg(F.avg("value"))
 
 
 def times_of_day(res: int) -> list[str]:
