@@ -275,6 +275,23 @@ def m_06_one(spark, sf):
     return rounded(ar.forecast_ar(d, ar.fit_ar(d, "1d", 1, 1), "1d", 1, 1, 14), "yhat", digits=2)
 
 
+AR_BACK = """WITH RECURSIVE z AS (SELECT *, value - lag(value) OVER (PARTITION BY ts_id, id ORDER BY ts) AS z0 FROM od_fill),
+    fit AS (SELECT ts_id, id, regr_slope(z0, z1) AS b, regr_intercept(z0, z1) AS a FROM (
+        SELECT *, lag(z0) OVER (PARTITION BY ts_id, id ORDER BY ts) AS z1 FROM z) WHERE z0 IS NOT NULL AND z1 IS NOT NULL GROUP BY 1, 2),
+    origins AS (SELECT ts_id, id, unnest(generate_series(TIMESTAMP '1999-01-01', max(ts) - INTERVAL 13 DAY, INTERVAL 14 DAY)) AS origin FROM od_fill GROUP BY 1, 2),
+    path AS (SELECT ts_id, id, origin, a, b, 1 AS step, a + b * z0 AS d, value + a + b * z0 AS v FROM origins JOIN fit USING (ts_id, id)
+            JOIN z USING (ts_id, id) WHERE ts = origin - INTERVAL 1 DAY
+        UNION ALL SELECT ts_id, id, origin, a, b, step + 1, a + b * d, v + a + b * d FROM path WHERE step < 14)
+    SELECT ts_id, id, origin, step, origin + to_days(step - 1) AS ts, round(v, 2) AS yhat, NULL::VARCHAR AS reason FROM path"""
+
+
+@register("m_06_ar_backtest", "od_fill", sql=AR_BACK)
+def m_06_back(spark, sf):
+    d = stored(od_fill(spark, sf), "od_fill")
+    origin = backtest.origins(d, "1d", "19990101", 14)
+    return rounded(ar.forecast_ar(d, ar.fit_ar(d, "1d", 1, 1), "1d", 1, 1, 14, origin), "yhat", digits=2)
+
+
 @register("m_07_predict_recursive")
 def m_07(spark, sf):
     known = _split_fill(spark, sf).filter("split <> 'test'").drop("split")

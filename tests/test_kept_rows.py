@@ -139,3 +139,43 @@ def test_resolution_of_stamps_below_a_second(spark):
     rows = [("a", "x", dt.datetime(2024, 1, 1, 0, 0, i // 4, i % 4 * 250_000), 1.0) for i in range(40)]
     d = spark.createDataFrame(rows, "ts_id string, id string, ts timestamp_ntz, value double")
     assert profile.infer_resolution(d).first()["resolution"] == "1s"
+
+
+def test_recursion_from_many_origins(spark):
+    """The same as cutting the data before each origin and forecasting from its end."""
+    vs = [float(i % 12) + random.Random(i).random() for i in range(150)]
+    d = frame(spark, {("a", "x"): vs, ("b", "x"): vs[::-1]})
+    start = at(100).isoformat(sep=" ")
+    origin = backtest.origins(d, "1h", start, 7, 7)
+    tree, lags = trees.fit_forest(d, "1h", 5, 3, trees=2, depth=3), ar.fit_ar(d, "1h", 3, 1)
+    for many, one in (
+        (trees.predict_recursive(tree, d, "1h", 7, origin), lambda x: trees.predict_recursive(tree, x, "1h", 7)),
+        (ar.forecast_ar(d, lags, "1h", 3, 1, 7, origin), lambda x: ar.forecast_ar(x, lags, "1h", 3, 1, 7)),
+    ):
+        rows = many.collect()
+        assert len(rows) == 2 * 7 * 7
+        got = {(r["ts_id"], r["ts"]): r["yhat"] for r in rows if r["origin"] == at(107)}
+        want = {(r["ts_id"], r["ts"]): r["yhat"] for r in one(d.filter(F.col("ts") < at(107))).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    fc = backtest.evaluate(d, many, "1h", start, 7).collect()
+    assert len(fc) == 2 and all(r["mae"] is not None for r in fc)
+
+
+def test_covariates_in_trees(spark):
+    """A target that follows its covariate is forecast well with it, also beyond the end of the series."""
+    rnd = random.Random(2)
+    c = [rnd.choice([0.0, 10.0]) for _ in range(420)]
+    d = frame(spark, {("a", "x"): c[:400]})
+    wide = frame(spark, {("a", "c"): c}).select("ts_id", "ts", F.col("value").alias("c"))
+    rows = d.join(wide, ["ts_id", "ts"])
+    model = trees.fit_forest(rows, "1h", 3, 2, trees=8, depth=5, past={"c": 1}, future={"c": (0, 2)})
+    got = trees.predict_recursive(model, d, "1h", 8, covs=wide).orderBy("step").collect()
+    # the second chunk lacks the past covariate only where the table ends
+    assert [r["step"] for r in got] == list(range(1, 9)) and all(abs(r["yhat"] - c[399 + r["step"]]) < 3 for r in got)
+    short = trees.predict_recursive(model, d, "1h", 8, covs=wide.filter(F.col("ts") < at(404))).orderBy("step").collect()
+    assert [r["reason"] for r in short] == [None] * 4 + ["covariates"] * 4
+    back = trees.backtest_rows(model, rows, "1h", backtest.origins(rows, "1h", at(300).isoformat(sep=" "), 2))
+    error = back.join(d, ["ts_id", "id", "ts"]).agg(F.avg(F.abs(F.col("yhat") - F.col("value")))).first()[0]
+    assert error < 2
+    with pytest.raises(ValueError):
+        trees.predict_recursive(model, d, "1h", 8)

@@ -88,6 +88,17 @@ def last_values(df: DataFrame, res: int | str, count: int) -> DataFrame:
     return per.withColumn("reason", reason)
 
 
+def histories(df: DataFrame, res: int | str, count: int, origin_rows: DataFrame) -> DataFrame:
+    """Like :func:`last_values`, but before each of many origins (first forecast timestamps) inside the data."""
+    res, w = seconds(res), halo_window()
+    d = with_halo(df.select(*KEYS, "ts", "value"), res, count, 0)
+    d = d.withColumn("hist", F.array(*[F.lag("value", k).over(w) for k in range(count, 0, -1)]))
+    d = d.withColumn("_had", F.count(F.lit(1)).over(w.rowsBetween(-count, -1))).filter("home")
+    at = origin_rows.select(*KEYS, F.col("origin").alias("ts"))
+    reason = F.when(F.col("_had") < count, "short").when(F.exists("hist", lambda x: x.isNull()), "missing")
+    return d.join(at, [*KEYS, "ts"]).select(*KEYS, shift("ts", -res).alias("last_ts"), "hist", reason.alias("reason"))
+
+
 def without_forecast(state: DataFrame, n: int) -> DataFrame:
     """``n`` NULL forecasts for every component with a ``reason``."""
     gone = state.filter("reason is not null").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -118,10 +129,13 @@ def _extend(hist: np.ndarray, coef: np.ndarray, p: int, d: int, n: int) -> np.nd
     return out
 
 
-def forecast_ar(df: DataFrame, model: DataFrame, res: int | str, p: int, d: int, n: int) -> DataFrame:
+def forecast_ar(
+    df: DataFrame, model: DataFrame, res: int | str, p: int, d: int, n: int, origin_rows: DataFrame | None = None
+) -> DataFrame:
     """Forecast ``n`` steps of every component: ``(ts_id, id, origin, step, ts, yhat, reason)``.
 
-    What reaches Python is one row per component: its last ``p + d`` values and its coefficients. Components without
+    With ``origin_rows`` the forecasts begin at every origin in them, for backtests of any horizon. What reaches Python
+    is one row per component and origin: the ``p + d`` values before it and the coefficients. Components without
     enough values, or without coefficients (``unfitted``), get NULL forecasts with a ``reason``.
     """
     res = seconds(res)
@@ -130,7 +144,8 @@ def forecast_ar(df: DataFrame, model: DataFrame, res: int | str, p: int, d: int,
     def extend(hist: pd.Series, coef: pd.Series) -> pd.Series:
         return pd.Series([_extend(np.asarray(h, dtype=float), np.asarray(c), p, d, n) for h, c in zip(hist, coef)])
 
-    state = last_values(df, res, p + d).join(model, KEYS, "left")
+    state = last_values(df, res, p + d) if origin_rows is None else histories(df, res, p + d, origin_rows)
+    state = state.join(model, KEYS, "left")
     state = state.withColumn("reason", F.coalesce("reason", F.when(F.col("coef").isNull(), "unfitted")))
     good = state.filter("reason is null")
     paths = good.select(*KEYS, "last_ts", F.posexplode(extend("hist", "coef")).alias("_i", "yhat"))

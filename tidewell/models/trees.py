@@ -7,19 +7,26 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import settle
+from ..durable import settle, stored
 from ..model import KEYS, seconds, shift
 from ..operators.prep import scale, unscale
-from .ar import last_values, with_steps, without_forecast
-from .features import lag_features, lag_list, step_targets
+from .ar import histories, last_values, with_steps, without_forecast
+from .features import feature_columns, lag_features, lag_list, step_targets
 
 
 class LagModel:
-    """A fitted tree model with its lags and output length; one model serves all series."""
+    """A fitted tree model with its lags, covariates and output length; one model serves all series.
 
-    def __init__(self, model, lags: list[int], horizon: int):
-        self.model, self.lags, self.horizon = model, lags, horizon
-        self.inputs = [*[f"lag_{k}" for k in lags], "step"]
+    ``past`` and ``future`` name covariate columns and their offsets as :func:`lag_features` takes them.
+    """
+
+    def __init__(self, model, lags: list[int], horizon: int, past: dict | None = None, future: dict | None = None):
+        self.model, self.lags, self.horizon, self.past, self.future = model, lags, horizon, past or {}, future or {}
+        self.inputs = [*feature_columns(lags, past, future), "step"]
+
+    @property
+    def covariates(self) -> list[str]:
+        return list(dict.fromkeys([*self.past, *self.future]))
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Add ``yhat`` to rows that hold the input columns; it is NULL where an input is missing."""
@@ -37,50 +44,84 @@ def _assemble(rows: DataFrame, inputs: list[str], invalid: str = "skip") -> Data
     return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid=invalid).transform(rows)
 
 
-def training_rows(df: DataFrame, res: int | str, lags, horizon: int = 1) -> DataFrame:
+def _columns(past: dict | None, future: dict | None) -> list[str]:
+    return [*KEYS, "ts", "value", *dict.fromkeys([*(past or {}), *(future or {})])]
+
+
+def training_rows(df: DataFrame, res: int | str, lags, horizon: int = 1, past: dict | None = None, future: dict | None = None) -> DataFrame:
     """Complete feature rows, one per (component, timestamp, step)."""
-    feats = step_targets(lag_features(df.select(*KEYS, "ts", "value"), res, lags, horizon=horizon), horizon)
-    return feats.dropna(subset=[*[f"lag_{k}" for k in lag_list(lags)], "y"])
+    rows = df.select(*_columns(past, future))
+    feats = step_targets(lag_features(rows, res, lags, past, future, horizon), horizon)
+    return feats.dropna(subset=[*feature_columns(lags, past, future), "y"])
 
 
-def _fit(estimator, df: DataFrame, res, lags, horizon: int) -> LagModel:
-    inputs = [*[f"lag_{k}" for k in lag_list(lags)], "step"]
-    rows = _assemble(training_rows(df, res, lags, horizon), inputs).select("features", "y")
+def _fit(estimator, df: DataFrame, res, lags, horizon: int, past: dict | None, future: dict | None) -> LagModel:
+    """The training rows become a table first: growing trees reads them many times."""
+    inputs = [*feature_columns(lags, past, future), "step"]
+    rows = stored(training_rows(df, res, lags, horizon, past, future).select(*inputs, "y"), "training")
     est = estimator.setFeaturesCol("features").setLabelCol("y").setPredictionCol("yhat")
-    return LagModel(est.fit(rows), lag_list(lags), horizon)
+    return LagModel(est.fit(_assemble(rows, inputs).select("features", "y")), lag_list(lags), horizon, past, future)
+
 
+def fit_forest(
+    df: DataFrame, res: int | str, lags, horizon: int = 1, trees: int = 20, depth: int = 6, seed: int = 0,
+    past: dict | None = None, future: dict | None = None,
+) -> LagModel:
+    """Random forest. Trees differ from those of other learners; check it by its errors, not by equality.
 
-def fit_forest(df: DataFrame, res: int | str, lags, horizon: int = 1, trees: int = 20, depth: int = 6, seed: int = 0) -> LagModel:
-    """Random forest. Trees differ from those of other learners; check it by its errors, not by equality."""
-    return _fit(RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed), df, res, lags, horizon)
+    ``past`` and ``future`` name covariate columns attached to ``df``.
+    """
+    return _fit(RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed), df, res, lags, horizon, past, future)
+
+
+def fit_gbt(
+    df: DataFrame, res: int | str, lags, horizon: int = 1, rounds: int = 20, depth: int = 4, seed: int = 0,
+    past: dict | None = None, future: dict | None = None,
+) -> LagModel:
+    """Gradient-boosted trees, with covariates like :func:`fit_forest`."""
+    return _fit(GBTRegressor(maxIter=rounds, maxDepth=depth, seed=seed), df, res, lags, horizon, past, future)
 
 
-def fit_gbt(df: DataFrame, res: int | str, lags, horizon: int = 1, rounds: int = 20, depth: int = 4, seed: int = 0) -> LagModel:
-    """Gradient-boosted trees."""
-    return _fit(GBTRegressor(maxIter=rounds, maxDepth=depth, seed=seed), df, res, lags, horizon)
+def covariate_features(model: LagModel, covs: DataFrame, res: int) -> DataFrame:
+    """Covariate inputs of the model by (ts_id, ts), also for the first step after the covariates end."""
+    names = feature_columns([], model.past, model.future)
+    after = covs.groupBy("ts_id").agg(F.max("ts").alias("ts")).select("ts_id", shift("ts", res).alias("ts"))
+    every = covs.select("ts_id", "ts", *model.covariates).unionByName(after, allowMissingColumns=True)
+    return lag_features(every.withColumn("id", F.lit("")), res, [], model.past, model.future).select("ts_id", "ts", *names)
 
 
-def predict_recursive(model: LagModel, df: DataFrame, res: int | str, n: int) -> DataFrame:
+def predict_recursive(
+    model: LagModel, df: DataFrame, res: int | str, n: int, origin_rows: DataFrame | None = None, covs: DataFrame | None = None
+) -> DataFrame:
     """Forecast ``n`` steps of every component by feeding forecasts back, one output chunk per round.
 
-    The state is one row per component (its last values), so the rounds never touch the history again; every
+    With ``origin_rows`` it starts from every origin in them, for backtests of any horizon. ``covs(ts_id, ts, ...)`` holds
+    the columns of the model's covariates, future ones beyond the end of the series; where one is needed and missing the
+    forecast and those that build on it are NULL with the reason ``covariates``.
+
+    The state is one row per component and origin (the values before it), so the rounds never touch the history again; every
     round ends in a reliable checkpoint, which keeps the plan short. Components whose last values are too few or
     missing get NULL forecasts with a ``reason``.
     """
     res, h = seconds(res), model.horizon
     longest = max(model.lags)
-    known = last_values(df, res, longest)
+    if model.covariates and covs is None:
+        raise ValueError(f"covariates are needed: {', '.join(model.covariates)}")
+    known = last_values(df, res, longest) if origin_rows is None else histories(df, res, longest, origin_rows)
+    extra = stored(covariate_features(model, covs, res), "covariates") if model.covariates else None
     state = known.filter("reason is null")
     state = settle(state.select(*KEYS, "last_ts", "hist", F.expr("cast(array() as array<double>)").alias("path")))
-    for _ in range(-(-n // h)):
-        rows = state.withColumns({f"lag_{k}": F.element_at("hist", -k) for k in model.lags}).withColumn(
+    for i in range(-(-n // h)):
+        now = state
+        if extra is not None:
+            now = state.withColumn("ts", shift("last_ts", (i * h + 1) * res)).join(extra, ["ts_id", "ts"], "left").drop("ts")
+        rows = now.withColumns({f"lag_{k}": F.element_at("hist", -k) for k in model.lags}).withColumn(
             "step", F.explode(F.array(*[F.lit(float(i + 1)) for i in range(h)]))
         )
         chunk = (
             model.predict(rows)
-            .groupBy(*KEYS)
+            .groupBy(*KEYS, "last_ts")
             .agg(
-                F.first("last_ts").alias("last_ts"),
                 F.first("hist").alias("hist"),
                 F.first("path").alias("path"),
                 F.sort_array(F.collect_list(F.struct("step", "yhat")))["yhat"].alias("_c"),
@@ -95,7 +136,7 @@ def predict_recursive(model: LagModel, df: DataFrame, res: int | str, n: int) ->
             )
         )
     out = state.select(*KEYS, "last_ts", F.posexplode(F.slice("path", 1, n)).alias("_i", "yhat"))
-    out = out.withColumn("reason", F.lit(None).cast("string"))
+    out = out.withColumn("reason", F.when(F.col("yhat").isNull(), "covariates"))
     return with_steps(out.unionByName(without_forecast(known, n)), res)
 
 
@@ -107,8 +148,11 @@ def forecast(df: DataFrame, model: LagModel, scaler: DataFrame, res: int | str,
 
 
 def backtest_rows(model: LagModel, df: DataFrame, res: int | str, origin_rows: DataFrame) -> DataFrame:
-    """Forecast all steps of every origin in one batch (direct forecasts, horizon = output length)."""
-    feats = lag_features(df.select(*KEYS, "ts", "value"), res, model.lags)
+    """Forecast all steps of every origin in one batch (direct forecasts, horizon = output length).
+
+    Longer horizons are a matter of :func:`predict_recursive` with the same origins.
+    """
+    feats = lag_features(df.select(*_columns(model.past, model.future)), res, model.lags, model.past, model.future)
     at = feats.join(origin_rows.withColumnRenamed("origin", "ts"), [*KEYS, "ts"])
     steps = at.withColumn("step", F.explode(F.array(*[F.lit(float(i + 1)) for i in range(model.horizon)])))
     d = model.predict(steps)
