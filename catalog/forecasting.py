@@ -10,6 +10,8 @@ from tidewell.operators import prep
 from tidewell.operators.covariates import attach_covariates
 from tidewell.plans import backtest
 from tidewell.plans.backtest import METRICS
+from tidewell.plans.experiment import Experiment, run_experiment
+from tidewell.plans.preparation import Preparation
 from tidewell.sources import readers
 
 from .base import (
@@ -230,6 +232,24 @@ def s_11(spark, sf):
     return mean_rounded(out[0].unionByName(out[1]), "total")
 
 
+part(
+    "multi_cut",
+    """SELECT m.* FROM multi_fill m JOIN (SELECT ts_id, max(lo) AS lo, min(hi) AS hi FROM (
+        SELECT ts_id, id, min(ts) AS lo, max(ts) AS hi FROM multi_fill GROUP BY 1, 2) GROUP BY 1) c ON c.ts_id = m.ts_id AND m.ts BETWEEN lo AND hi""",
+    "multi_fill",
+)
+part("fc_plan", _naive_sql("multi_cut", START_SQL, H, H, ONE), "multi_cut")
+part("cm_plan", _components("multi_cut", "fc_plan", START_SQL, H, H), "fc_plan")
+part("sm_plan", _series("cm_plan"), "cm_plan")
+
+
+@register("b_13_experiment", "sm_plan", sql=f"SELECT ts_id, {_shown(*METRICS)} FROM sm_plan")
+def b_13(spark, sf):
+    plan = Experiment(Preparation("1h", std_dev=None), VAL, START, horizon=H)
+    raw = ev_multi(spark, sf).withColumn("row_id", F.lit(0))
+    return mean_rounded(run_experiment(raw, plan)["metrics"], *METRICS)
+
+
 # models whose numbers depend on the learner: rows only
 
 

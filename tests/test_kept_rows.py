@@ -11,7 +11,9 @@ from helpers import HOUR, at, frame, values
 from tidewell.functions.quantile import exact_quantile
 from tidewell.models import ar, naive, paths, trees
 from tidewell.operators import clean, covariates, prep, profile
-from tidewell.plans import backtest
+from tidewell.durable import scratch, stored
+from tidewell.plans import backtest, results
+from tidewell.plans.experiment import Experiment, run_experiment
 from tidewell.plans.preparation import Preparation, prepare
 from tidewell.sources import layouts
 
@@ -179,3 +181,38 @@ def test_covariates_in_trees(spark):
     assert error < 2
     with pytest.raises(ValueError):
         trees.predict_recursive(model, d, "1h", 8)
+
+
+@pytest.mark.parametrize("model", ["naive", "ar", "forest"])
+def test_experiment(spark, model):
+    vs = [10.0 + (i % 12) + 0.1 * random.Random(i).random() for i in range(400)]
+    raw = frame(spark, {("a", "x"): vs, ("a", "y"): vs[3:], ("b", "x"): [v * 5 for v in vs]}).withColumn("row_id", F.lit(0))
+    options = {"naive": {"days": 1}, "ar": {"p": 12, "d": 0}, "forest": {"lags": 12, "output": 4, "future": {"c": (0, 1)}}}
+    covs = frame(spark, {("a", "c"): vs, ("b", "c"): vs}).select("ts_id", "ts", F.col("value").alias("c"))
+    e = Experiment(Preparation("1h", min_island=2), "20230408", "20230411", model=model, options=options[model], horizon=24)
+    out = run_experiment(raw, e, covs=covs if model == "forest" else None)
+    assert set(out) == {"series", "forecasts", "metrics", "outliers", "short_islands"}
+    assert {r["ts_id"] for r in out["metrics"].collect()} == {"a", "b"}
+    assert all(r["mape"] < 12 for r in out["metrics"].collect())
+    starts = out["series"].filter("ts_id = 'a'").groupBy("id").agg(F.min("ts").alias("lo")).select("lo").distinct()
+    assert starts.count() == 1  # one span for all components
+
+
+def test_experiment_guards():
+    with pytest.raises(ValueError):
+        Experiment(Preparation("1h", to="30min"), "20240101", "20240102")
+    with pytest.raises(ValueError):
+        Experiment(Preparation("1h"), "20240101", "20240102", model="other")
+
+
+def test_trials_together(spark):
+    got = results.score_trials([{"k": i} for i in range(5)], lambda p: spark.range(2).select(F.lit(p["k"] * 2).alias("mae")))
+    assert sorted((r["trial_id"], r["params"]["k"], r["mae"]) for r in got.collect()) == sorted((i, str(i), 2 * i) for i in range(5) for _ in range(2))
+
+
+def test_scratch_tables_go(spark):
+    with scratch(spark):
+        d = stored(spark.range(3))
+        assert d.count() == 3
+    with pytest.raises(Exception, match="(?i)not exist|no such file"):
+        d.count()

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_owned: list[list[str]] = []  # paths of the open scratch blocks
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside the block are deleted when it ends, so nothing that is still wanted may be read from them."""
+    _owned.append([])
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _owned.pop():
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint, which survives the loss of executors."""
     shared_dir(df.sparkSession)
@@ -31,7 +47,10 @@ def settle(df: DataFrame) -> DataFrame:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _owned:
+        _owned[-1].append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import stored
 from ..models.naive import seasonal_naive
 from .backtest import METRICS, evaluate
 
@@ -55,18 +59,21 @@ def score_naive_trials(df: DataFrame, res, days: list[int], start: str, horizon:
     return evaluate(df, fc, res, start, horizon, stride, m, by=("days",))
 
 
-def score_trials(trials: list[dict], score: Callable[[dict], DataFrame]) -> DataFrame:
-    """Fit and score models whose training is itself a Spark job, one trial after the other.
+def score_trials(trials: list[dict], score: Callable[[dict], DataFrame], together: int = 4) -> DataFrame:
+    """Fit and score models whose training is itself a Spark job, up to ``together`` trials at a time.
 
     ``score`` returns the metrics per series of one parameter set. The result has the columns ``trial_id`` and
-    ``params`` in front.
+    ``params`` in front. The metrics of each trial become a table, so no backtest runs twice.
     """
-    out = None
-    for i, params in enumerate(trials):
+
+    def one(item: tuple[int, dict]) -> DataFrame:
+        i, params = item
         text = F.create_map(*[F.lit(str(x)) for kv in params.items() for x in kv])
-        d = score(params).select(F.lit(i).cast("bigint").alias("trial_id"), text.alias("params"), "*")
-        out = d if out is None else out.unionByName(d)
-    return out
+        return stored(score(params).select(F.lit(i).cast("bigint").alias("trial_id"), text.alias("params"), "*"), "trial")
+
+    with ThreadPoolExecutor(together) as pool:
+        scored = list(pool.map(inheritable_thread_target(one), enumerate(trials)))
+    return reduce(DataFrame.unionByName, scored)
 
 
 def best_trial(trials: DataFrame, loss: str, key: str = "trial_id") -> DataFrame:
