@@ -146,7 +146,7 @@ def _grid_sql(src: str, step: str) -> str:
         LEFT JOIN {src} s ON s.ts_id = g.ts_id AND s.id = g.id AND s.ts = g.ts"""
 
 
-def _known_sql(src: str) -> str:
+def known_sql(src: str) -> str:
     """Nearest known values and the geometry of gaps."""
     return f"""
         SELECT ts_id, id, ts, value, n, pv, pt, nv, nt, run_no,
@@ -186,9 +186,9 @@ PARTS = {
     "ev_grid": _grid_sql("ev_hour", "1 HOUR"),
     "od_grid": _grid_sql("od_day", "1 DAY"),
     "multi_grid": _grid_sql("ev_multi", "1 HOUR"),
-    "ev_known": _known_sql("ev_grid"),
-    "od_known": _known_sql("od_grid"),
-    "multi_known": _known_sql("multi_grid"),
+    "ev_known": known_sql("ev_grid"),
+    "od_known": known_sql("od_grid"),
+    "multi_known": known_sql("multi_grid"),
     "ev_fill": _fill_sql("ev_known"),
     "od_fill": _fill_sql("od_known"),
     "multi_fill": _fill_sql("multi_known"),

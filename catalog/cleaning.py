@@ -13,6 +13,7 @@ from .base import (
     ev_hour,
     ev_multi,
     ev_raw,
+    known_sql,
     li_day,
     mean_rounded,
     mean_sql,
@@ -196,13 +197,43 @@ register("e_13_impute_linear", "od_known", sql=f"SELECT ts_id, id, ts, round({OF
 register("e_14_impute_pad", "od_known", sql=f"SELECT ts_id, id, ts, round({OFF_TIE!r}::DOUBLE + CASE WHEN {THR.format('n')} THEN NULL ELSE pv END, 4) AS value FROM od_known")(
     _fill("pad")
 )
-register(
-    "e_15_impute_nearest",
-    "od_known",
-    sql=f"""SELECT ts_id, id, ts, round({OFF_TIE!r}::DOUBLE + CASE WHEN value IS NOT NULL THEN value WHEN {THR.format('n')} OR pv IS NULL OR nv IS NULL THEN
-        CASE WHEN pv IS NULL AND NOT {THR.format('n')} THEN nv END
-        WHEN date_diff('second', ts, nt) < date_diff('second', pt, ts) THEN nv ELSE pv END, 4) AS value FROM od_known""",
-)(_fill("nearest"))
+def _nearest_sql(src: str) -> str:
+    """The nearer of two known values, the earlier one at equal distance; gaps at either end stay."""
+    return f"""SELECT ts_id, id, ts, round({OFF_TIE!r}::DOUBLE + CASE WHEN value IS NOT NULL THEN value
+        WHEN {THR.format('n')} OR pv IS NULL OR nv IS NULL THEN NULL
+        WHEN date_diff('second', ts, nt) < date_diff('second', pt, ts) THEN nv ELSE pv END, 4) AS value FROM {src}"""
+
+
+register("e_15_impute_nearest", "od_known", sql=_nearest_sql("od_known"))(_fill("nearest"))
+
+# the same where a component begins and ends with missing values
+part(
+    "od_edge",
+    """SELECT ts_id, id, ts, CASE WHEN ts BETWEEN lo + INTERVAL 10 DAY AND hi - INTERVAL 10 DAY THEN value END AS value FROM (
+        SELECT *, min(ts) OVER (PARTITION BY ts_id, id) AS lo, max(ts) OVER (PARTITION BY ts_id, id) AS hi FROM od_grid)""",
+    "od_grid",
+)
+part("edge_known", known_sql("od_edge"), "od_edge")
+
+
+def od_edge(spark, sf):
+    d = od_grid(spark, sf)
+    ends = d.groupBy("ts_id", "id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    inner = F.col("ts").between(F.expr("lo + interval '10' day"), F.expr("hi - interval '10' day"))
+    return d.join(ends, ["ts_id", "id"]).select("ts_id", "id", "ts", F.when(inner, F.col("value")).alias("value"))
+
+
+def _edge(method: str):
+    return lambda spark, sf: mean_rounded(impute.impute(od_edge(spark, sf), "1d", method))
+
+
+register("e_13_linear_at_ends", "edge_known", sql=f"SELECT ts_id, id, ts, round({OFF_TIE!r}::DOUBLE + CASE WHEN {THR.format('n')} THEN NULL ELSE {LINE} END, 4) AS value FROM edge_known")(
+    _edge("linear")
+)
+register("e_14_pad_at_ends", "edge_known", sql=f"SELECT ts_id, id, ts, round({OFF_TIE!r}::DOUBLE + CASE WHEN {THR.format('n')} THEN NULL ELSE pv END, 4) AS value FROM edge_known")(
+    _edge("pad")
+)
+register("e_15_nearest_at_ends", "edge_known", sql=_nearest_sql("edge_known"))(_edge("nearest"))
 
 KNOTS = """SELECT ts_id, id, ts, value, epoch(ts) AS x, row_number() OVER w AS i, count(*) OVER (PARTITION BY ts_id, id) AS cnt,
     lead(epoch(ts)) OVER w - epoch(ts) AS h, (lead(value) OVER w - value) / (lead(epoch(ts)) OVER w - epoch(ts)) AS m

