@@ -39,7 +39,12 @@ def _scored(spark, sf, days=(1, 2, 7)):
     return results.score_naive_trials(_known(spark, sf), "1h", list(days), VAL, 24)
 
 
-@register("r_02_sample_trials")
+@register(
+    "r_02_sample_trials",
+    "sm_val",
+    sql=f"""SELECT days, ts_id, {_shown(*METRICS)} FROM sm_val WHERE days IN (
+        SELECT v FROM (VALUES (0, 1), (1, 2), (2, 7)) d(i, v) ORDER BY md5('3:' || i::VARCHAR), i LIMIT 2)""",
+)
 def r_02(spark, sf):
     trials = results.sample_trials(results.expand_grid(spark, DAYS), 2, seed=3)
     days = sorted(int(t["params"]["days"]) for t in trials.collect())

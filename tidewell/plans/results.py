@@ -49,8 +49,8 @@ def expand_grid(spark: SparkSession, space: dict) -> DataFrame:
 
 
 def sample_trials(trials: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """A repeatable random subset of ``n`` trials."""
-    return trials.orderBy(F.xxhash64("trial_id", F.lit(seed)), "trial_id").limit(n)
+    """A repeatable random subset of ``n`` trials: those with the smallest MD5 of seed and number."""
+    return trials.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("trial_id").cast("string"))), "trial_id").limit(n)
 
 
 def score_naive_trials(df: DataFrame, res, days: list[int], start: str, horizon: int, stride: int | None = None, m: int = 1) -> DataFrame:
