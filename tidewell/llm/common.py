@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 LEXICON_WORDS = 1 << 19
 
 
@@ -70,10 +72,44 @@ def texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(kind).to_pylist()]
 
 
+def texts_for(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """The column ``text``, unless the ids are whole rows that hold it."""
+    whole = isinstance(docs.schema[id_col].dataType, T.StructType)
+    return [] if whole else [F.col(text_col).cast("string").alias("text")]
+
+
+def text_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
+    """The texts of a batch: a column, or a field of whole rows that are handed on as ids."""
+    if column in batch.schema.names:
+        return batch.column(column)
+    return batch.column("id").field(column)
+
+
+def release() -> None:
+    """Give memory back to the system: Spark keeps Python workers for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """Let a task's function over batches give back its memory at the end."""
+
+    def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return over
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``limit`` bytes of text; a longer text is a block of its own."""
     for batch in batches:
-        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(text_of(batch, column)), 0), dtype=np.int64))
         start = 0
         while start < len(ends):
             base = int(ends[start - 1]) if start else 0

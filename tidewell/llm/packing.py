@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql.window import Window as W
 
 from tidewell.durable import stored
 
-from .common import LEXICON_WORDS, Lexicon, blocks, documents, ragged, schema, sums, texts
+from .common import LEXICON_WORDS, Lexicon, blocks, documents, ragged, schema, sums, texts, tidy
 from .cutting import patterns
 from .pieces import load, vocabulary
 
@@ -35,6 +36,7 @@ STEP = 8
 END = 2
 CELL_ROWS = 50_000
 MARKS = b".,;:!?"
+JOINED = 200
 
 
 class WordIds:
@@ -46,6 +48,9 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tokeniser = load(path)
+        vocabulary = self.tokeniser.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -89,14 +94,44 @@ class WordIds:
         new, ids, sizes = self.forms.since(len(self.form_sizes)), [self.ids], [self.form_sizes]
         for i in range(0, len(new), 10_000):
             own = [w.decode("utf-8", "replace") for w in new[i : i + 10_000]]
-            found = [e.ids for e in self.tokeniser.encode_batch_fast(own, add_special_tokens=False)]
-            if not len(self.form_sizes) and i == 0:
-                found[0] = [END]
-            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            ids.append(np.fromiter((x for e in found for x in e), np.uint32, int(sizes[-1].sum())))
+            flat, n = self._split(own)
+            if not len(self.form_sizes) and i == 0:  # the form of the end
+                flat, n = np.concatenate([np.array([END], np.uint32), flat]), n.copy()
+                n[0] = 1
+            sizes.append(n)
+            ids.append(flat)
         self.ids, self.form_sizes = np.concatenate(ids), np.concatenate(sizes)
         self.starts = np.cumsum(self.form_sizes) - self.form_sizes
 
+    def _split(self, forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all forms in a row, and how many each has.
+
+        Words of letters are encoded many at a time: the last id of each, and no other, is one that ends a word. Where
+        that doesn't give as many ends as words, and for all other forms, each is encoded by itself.
+        """
+        plain, rest = [], []
+        for k, w in enumerate(forms):
+            (plain if w.isalpha() else rest).append(k)
+        place, flat, sizes = [], [], []
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        joined = self.tokeniser.encode_batch_fast([" ".join([forms[k] for k in g]) for g in groups], add_special_tokens=False)
+        for g, e in zip(groups, joined, strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(g) and ends[-1] == len(ids):
+                place += g
+                flat.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                rest += g
+        alone = [e.ids for e in self.tokeniser.encode_batch_fast([forms[k] for k in rest], add_special_tokens=False)]
+        place += rest
+        sizes.append(np.fromiter(map(len, alone), np.int64, len(alone)))
+        flat.append(np.fromiter(chain.from_iterable(alone), np.uint32, int(sizes[-1].sum())))
+        every = np.concatenate(sizes)
+        back = np.argsort(np.asarray(place, np.int64), kind="stable")
+        return np.concatenate(flat)[ragged((np.cumsum(every) - every)[back], every[back])], every[back]
+
 
 PIECE = {"start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long"}
 
@@ -116,7 +151,7 @@ def cutter(path: str, length: int):
             out = [batch.column("id").take(pa.array(owner)), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(sizes[owner])]
             yield pa.RecordBatch.from_arrays(out, ["id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return run
+    return tidy(run)
 
 
 def slots(found: list, step_of: str = "step") -> list[dict]:
