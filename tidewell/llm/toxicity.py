@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEXICON_WORDS, Lexicon, blocks, documents, fold, hashed_sample, ragged, schema, sums, texts, with_rows
+from .common import LEXICON_WORDS, Lexicon, blocks, documents, fold, hashed_sample, ragged, release, schema, sums, text_of, texts, texts_for, tidy, with_rows
 
 FOLDS = 5
 EDGES = b".,;:!?\"'()[]{}|*#$%&<>/\\-_"
 STARTS = range(2, 9)
 TINY = 1e-9
-CAUTION = 1.25
+CAUTION = 1.6
 
 
 def features(word: bytes) -> list[str]:
@@ -128,7 +128,7 @@ def offset(pos: np.ndarray, unl: np.ndarray, prior: float) -> float:
     return -float(mid * high + top * low) / (low + high)
 
 
-def scorer(weights: dict[str, tuple[float, float]], bias: float):
+def scorer(weights: dict[str, tuple[float, float]], bias: float, text_col: str = "text"):
     """Scores whole texts; ``weights`` gives each feature's part of the product and of the row's squared length."""
 
     def value(word: bytes) -> tuple[float, float]:
@@ -137,10 +137,10 @@ def scorer(weights: dict[str, tuple[float, float]], bias: float):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, table = Lexicon(), np.zeros((0, 2))
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, text_col):
             if len(lexicon) > LEXICON_WORDS:
                 lexicon, table = Lexicon(), table[:0]
-            codes, sizes = lexicon.codes(set(t.split()) for t in texts(batch.column("text")))
+            codes, sizes = lexicon.codes(set(t.split()) for t in texts(text_of(batch, text_col)))
             new = lexicon.since(len(table))
             if new:
                 table = np.concatenate([table, np.array([value(w) for w in new])])
@@ -149,7 +149,7 @@ def scorer(weights: dict[str, tuple[float, float]], bias: float):
             out = logistic(total[:, 0] / np.sqrt(np.maximum(total[:, 1], TINY)) + bias)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(out)], ["id", "held_out", "score"])
 
-    return run
+    return tidy(run)
 
 
 def train(
@@ -169,7 +169,7 @@ def train(
     steps: int = 300,
     lanes: int = 300,
     rate: float = 200.0,
-    decay: float = 5e-6,
+    decay: float = 2e-5,
     seed: int = 3,
 ) -> tuple[dict[str, tuple[float, float]], float]:
     """(parts by feature, bias); features in fewer than ``least`` texts of the sample or in over a share ``most`` of its unlabelled texts are unused."""
@@ -192,7 +192,10 @@ def train(
         return {}, float(np.log(prior / (1 - prior)))
     table = Table([t.encode("utf-8", "replace") for _, t in sample], positive, least, most)
     w, bias = fit(table, positive, prior, steps=steps, lanes=lanes, rate=rate, decay=decay, seed=seed)
-    return {f: (float(a * b), float(b * b)) for f, a, b in zip(table.names, w, table.weight, strict=True)}, bias
+    parts = {f: (float(a * b), float(b * b)) for f, a, b in zip(table.names, w, table.weight, strict=True)}
+    del table, sample
+    release()
+    return parts, bias
 
 
 def score(
@@ -210,8 +213,8 @@ def score(
     ``sample_id`` is the id that labels refer to, where ``id_col`` is something else to hand on.
     """
     weights, bias = train(docs, labels, learn, id_col=sample_id or id_col, text_col=text_col, **training)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (~learn).alias("held_out"))
-    out = rows.mapInArrow(scorer(weights, bias), schema(docs.schema[id_col].dataType, held_out="boolean", score="double"))
+    rows = docs.select(F.col(id_col).alias("id"), (~learn).alias("held_out"), *texts_for(docs, id_col, text_col))
+    out = rows.mapInArrow(scorer(weights, bias, text_col if sample_id else "text"), schema(docs.schema[id_col].dataType, held_out="boolean", score="double"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumnRenamed("id", id_col)
 
 
