@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEXICON_WORDS, Lexicon, blocks, documents, ragged, schema, sums, texts
+from .common import LEXICON_WORDS, Lexicon, blocks, documents, ragged, schema, sums, texts, tidy
 from .pieces import load, vocabulary
 
 MIN_WORDS = 20
@@ -183,7 +183,7 @@ def measure(byte_level: str, fallback: str, bands: dict[str, tuple[float, float,
             out = [pa.array(x) for x in out] + [pa.array(x, mask=none) for x in (per_token, share, bits)] + [pa.array(good)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *out], ["id", *COLUMNS])
 
-    return run
+    return tidy(run)
 
 
 def quality(

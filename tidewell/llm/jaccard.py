@@ -35,12 +35,13 @@ from pyspark.sql.window import Window as W
 
 from tidewell.durable import stored
 
-from .common import LEXICON_WORDS, Lexicon, blocks, documents, texts
+from .common import LEXICON_WORDS, Lexicon, blocks, documents, release, texts, tidy
 from .components import components
 
 SHINGLE = 5
 PERCENT = 75
 FREQUENT = 1 << 17
+COUNTED_BYTES = 8 << 20
 GROUP = 4096
 BITS = 8
 LEAF, FAN = 16, 8
@@ -64,7 +65,7 @@ class Shingles:
 
     def sets(self, docs: list[bytes]) -> list[np.ndarray]:
         """The sorted distinct hashes of each text."""
-        if len(self.lexicon) > LEXICON_WORDS:
+        if len(self.lexicon) > LEXICON_WORDS // 4:
             self.lexicon, self.hashes = Lexicon(), np.zeros(0, U)
         codes, sizes = self.lexicon.codes(t.lower().split() for t in docs)
         new = self.lexicon.since(len(self.hashes))
@@ -92,7 +93,7 @@ def common_shingles(n: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", COUNTED_BYTES):
             sets = shingles.sets(texts(batch.column("text")))
             every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, U)
             starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
@@ -100,7 +101,7 @@ def common_shingles(n: int):
             often = found >= max(3, len(sets) // 500)
             yield pa.RecordBatch.from_arrays([pa.array(every[starts[often]].view(np.int64)), pa.array(found[often])], ["h", "n"])
 
-    return run
+    return tidy(run)
 
 
 def needed(n: int, percent: int) -> int:
@@ -132,7 +133,7 @@ def signatures(n: int, percent: int, frequent: np.ndarray):
             out = [batch.column("id"), size, pa.array(prints, pa.binary()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(out, ["id", "n", "print", "bits", "prefix"])
 
-    return run
+    return tidy(run)
 
 
 # --- signature trees
@@ -316,6 +317,7 @@ def joiner(percent: int, forest_only: bool):
                 if not joined:
                     break
         found = sorted(out)
+        release()
         return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
 
     return run
@@ -336,7 +338,7 @@ def verifier(n: int, percent: int):
                     linked.append(100 * common >= percent * (len(s) + len(t) - common) > 0)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    return run
+    return tidy(run)
 
 
 def _places(keys: np.ndarray) -> np.ndarray:
@@ -366,7 +368,7 @@ def only_marked(marks: np.ndarray):
         for batch in batches:
             yield batch.filter(pa.array(on[_places(np.asarray(batch.column("id")))]))
 
-    return run
+    return tidy(run)
 
 
 def marked_prefixes(marks: np.ndarray):
@@ -384,7 +386,7 @@ def marked_prefixes(marks: np.ndarray):
             at = batch.schema.get_field_index("prefix")
             yield batch.set_column(at, "prefix", kept).filter(pa.array(n > 0))
 
-    return run
+    return tidy(run)
 
 
 def verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import gru
-from .common import LEXICON_WORDS, Lexicon, blocks, documents, fold, schema, sums, texts, with_rows
+from .common import LEXICON_WORDS, Lexicon, blocks, documents, fold, release, schema, sums, text_of, texts, texts_for, tidy, with_rows
 
 WINDOW = 24
 HIDDEN = 16
@@ -134,7 +134,7 @@ def predictor(net: ByteNetwork, id_col: str, text_col: str):
         for batch in blocks(batches, text_col):
             if len(lexicon) > LEXICON_WORDS:
                 lexicon, table = Lexicon(), table[:0]
-            codes, sizes = lexicon.codes(t.split() for t in texts(batch.column(text_col)))
+            codes, sizes = lexicon.codes(t.split() for t in texts(text_of(batch, text_col)))
             new = lexicon.since(len(table))
             if new:
                 table = np.concatenate([table, word_sums(net, new)])
@@ -147,7 +147,7 @@ def predictor(net: ByteNetwork, id_col: str, text_col: str):
                    pa.array(np.where(letters, score, 0.0))]
             yield pa.RecordBatch.from_arrays(out, [id_col, "held_out", "lang_pred", "score"])
 
-    return run
+    return tidy(run)
 
 
 def sample_per_value(rows: DataFrame, id_col: str, value_col: str, n: int, seed: int) -> DataFrame:
@@ -198,6 +198,8 @@ def train(
         labels += [k] * len(take)
     net = ByteNetwork(langs, seed=seed)
     net.train(parts, np.asarray(labels), steps, lanes)
+    del parts, labels, sample
+    release()
     return net
 
 
@@ -217,14 +219,14 @@ def identify(
     """
     net = train(docs, learn, id_col=sample_id or id_col, text_col=text_col, lang_col=lang_col, **training)
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (~learn).alias("held_out"),
-        F.col(text_col).rlike(r"\p{L}").alias("has_letter"),
+        F.col(id_col).alias("id"), (~learn).alias("held_out"), F.col(text_col).rlike(r"\p{L}").alias("has_letter"),
+        *texts_for(docs, id_col, text_col),
     )
     if net is None:
         out = rows.select("id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     else:
         kinds = schema(docs.schema[id_col].dataType, held_out="boolean", lang_pred="string", score="double")
-        out = rows.mapInArrow(predictor(net, "id", "text"), kinds)
+        out = rows.mapInArrow(predictor(net, "id", text_col if sample_id else "text"), kinds)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEXICON_WORDS, Lexicon, blocks, documents, ragged, schema, sums
+from .common import LEXICON_WORDS, Lexicon, blocks, documents, ragged, schema, sums, tidy
 
 LIMIT = 512
 def vocabulary(name: str) -> str:
@@ -166,7 +166,7 @@ def counter(path: str, less: dict[str, str]):
             n_bytes = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), n_bytes, pa.array(total)], ["id", "n_bytes", "n_tokens"])
 
-    return run
+    return tidy(run)
 
 
 def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
