@@ -424,6 +424,43 @@ def test_jaccard_equals_brute_force(spark, seed, monkeypatch):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
 
 
+def test_jaccard_repeated_rows(spark):
+    """Every row twice: groups of an even number of rows are still told apart by their members."""
+    texts, shingles = edited(3, 6, 8), jaccard.Shingles(5)
+    for k in range(6):  # A links with C, but shares its smallest shingle with B alone
+        a, b = [f"a{k}x{i}" for i in range(60)], [f"b{k}x{i}" for i in range(60)]
+        at = min(range(56), key=lambda i: shingles.sets([" ".join(a[i : i + 5]).encode()])[0][0])
+        b[at : at + 5] = a[at : at + 5]
+        texts += [(7000 + 10 * k + i, " ".join(t)) for i, t in enumerate((a, b, [*a[: at + 2], "z", *a[at + 3 :]]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = rows(jaccard.near_texts(docs.union(docs)))
+    assert len(got) == 2 * len(texts)
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(i, *x) for i, x in brute(texts).items()}
+
+
+def test_jaccard_ids_with_several_texts(spark):
+    """Every text of an id links, and brings what it links with to the id; smaller ids and empty texts too."""
+    texts = edited(5, 14, 8)
+    ids = [i // 2 if i % 14 < 4 else 1000 + i for i, _ in texts]  # ids with two texts, of any groups
+    pairs = [(i, t) for i, (_, t) in zip(ids, texts, strict=True)]
+    extra = next(i for i in ids if i < 1000)
+    pairs += [(5, ""), (extra, None), (3000, ""), (3001, pairs[-1][1]), (3001, " ")]
+    own = brute(list(enumerate(t for _, t in pairs)))
+    up = {i: i for i, _ in pairs}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, (i, _) in enumerate(pairs):
+        a, b = find(i), find(pairs[own[k][1]][0])
+        up[max(a, b)] = min(a, b)
+    want = collections.Counter((i, own[k][0], find(i)) for k, (i, _) in enumerate(pairs))
+    got = rows(jaccard.near_texts(spark.createDataFrame(pairs, "doc_id long, text string")))
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
 def test_jaccard_odd_rows(odd):
     got = rows(jaccard.near_texts(odd))
     assert len(got) == odd.count()

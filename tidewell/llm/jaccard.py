@@ -4,7 +4,8 @@ A text's set holds its distinct shingles of ``SHINGLE`` words (A-Z lowered, word
 shorter text is one shingle, a text without words has none and links with nothing. Two texts link when
 100 * intersection >= percent * union. The join is exact up to collisions of 64-bit hashes.
 
-1. Equal sets become one class, so copies cost one row each and meet nobody.
+1. Equal sets become one class, so copies cost one row each and meet nobody. A class is named by a hash of its set, for
+   an id may hold several texts.
 2. One order of all shingles, hashes with the corpus's most frequent shingles last, gives each class a prefix: texts that
    link share a shingle of both prefixes. Classes that share one are a group; groups with equal members count once.
 3. A group's classes are leaves of trees, by size. A node holds the OR of its classes' bitmaps, their range of sizes and
@@ -13,13 +14,14 @@ shorter text is one shingle, a text without words has none and links with nothin
 4. Possible links are checked on the whole texts. Where a check fails, the forest may have hidden a link behind it: the
    classes connected to a failed pair are traversed once more, without a forest, so that every possible link between
    different components is checked.
-5. Components of the links, with the smallest id as name.
+5. Components of the links, with the smallest id as name. A class is the node of its smallest id there; an id with several
+   texts is linked with the smallest id of each.
 
 A group of more than ``GROUP`` classes is cut into blocks, and each pair of blocks is a group of its own. Nothing is
 capped; the list of frequent shingles (``FREQUENT`` at most) only shapes the order. A bitmap of fixed size says which
 texts a check may need, so that other texts aren't moved; where it is full it lets all pass.
 
-Rows that repeat an id are one node. A null id can't be named and stays alone. Other columns are ignored.
+Rows that repeat an id are one node, also with other texts or none. A null id can't be named and stays alone. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -104,13 +106,19 @@ def common_shingles(n: int):
     return tidy(run)
 
 
+def class_of(s: np.ndarray) -> int:
+    """A signed 64-bit name for a set, by its size and two sums over it."""
+    sums = np.array([s.sum(dtype=U), mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U)])
+    return int(np.uint64(xxhash.xxh3_64_intdigest(sums.tobytes(), seed=len(s))).view(np.int64))
+
+
 def needed(n: int, percent: int) -> int:
     """Fewest common shingles of a set of n with any set that it links with."""
     return -(-n * percent // 100)
 
 
 def signatures(n: int, percent: int, frequent: np.ndarray):
-    """Size, fingerprint, bitmap and prefix of each text's set; ``frequent`` is sorted."""
+    """Size, class, bitmap and prefix of each text's set; ``frequent`` is sorted."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
@@ -119,10 +127,9 @@ def signatures(n: int, percent: int, frequent: np.ndarray):
             flat = np.concatenate(sets) if sets else np.zeros(0, U)
             at = np.minimum(np.searchsorted(frequent, flat), max(0, len(frequent) - 1))
             late = frequent[at] == flat if len(frequent) else np.zeros(len(flat), bool)
-            prints, bits, prefixes, start = [], [], [], 0
+            bits, prefixes, start = [], [], 0
             for s in sets:
                 own, start = late[start : start + len(s)], start + len(s)
-                prints.append(np.array([s.sum(dtype=U), mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U)]).tobytes())
                 width = max(64, 1 << (BITS * len(s) - 1).bit_length()) if len(s) else 64
                 b = np.zeros(width, bool)
                 b[(s & U(width - 1)).astype(np.int64)] = True
@@ -130,8 +137,9 @@ def signatures(n: int, percent: int, frequent: np.ndarray):
                 p = len(s) - needed(len(s), percent) + 1 if len(s) else 0
                 prefixes.append(np.concatenate([s[~own][:p], s[own]])[:p].view(np.int64))
             size = pa.array(np.fromiter(map(len, sets), np.int64, len(sets)))
-            out = [batch.column("id"), size, pa.array(prints, pa.binary()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, ["id", "n", "print", "bits", "prefix"])
+            kinds = pa.array(list(map(class_of, sets)), pa.int64())
+            out = [batch.column("id"), size, kinds, pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, ["id", "n", "class", "bits", "prefix"])
 
     return tidy(run)
 
@@ -275,7 +283,7 @@ def joiner(percent: int, forest_only: bool):
     """
 
     def run(cell: pa.Table) -> pa.Table:
-        ids, sizes, raw = np.asarray(cell.column("id")), np.asarray(cell.column("n")), cell.column("bits").to_pylist()
+        ids, sizes, raw = np.asarray(cell.column("class")), np.asarray(cell.column("n")), cell.column("bits").to_pylist()
         known = np.asarray(cell.column("component"))
         posts = cell.column("posts").combine_chunks()
         owner = np.repeat(np.arange(len(ids)), np.diff(np.asarray(posts.offsets)))
@@ -360,13 +368,17 @@ def marked(keys: DataFrame) -> np.ndarray:
     return marks
 
 
-def only_marked(marks: np.ndarray):
-    """Texts whose ids are marked, and perhaps a few others."""
+def class_texts(n: int, ids: np.ndarray, classes: np.ndarray):
+    """Texts of marked classes at marked ids, and perhaps a few others; ``class`` is that of the text, not of the id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.unpackbits(marks).astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(on[_places(np.asarray(batch.column("id")))]))
+        at, wanted = np.unpackbits(ids).astype(bool), np.unpackbits(classes).astype(bool)
+        shingles = Shingles(n)
+        marked_ids = (batch.filter(pa.array(at[_places(np.asarray(batch.column("id")))])) for batch in batches)
+        for batch in blocks(marked_ids, "text"):
+            kinds = np.fromiter(map(class_of, shingles.sets(texts(batch.column("text")))), np.int64, batch.num_rows)
+            out = pa.RecordBatch.from_arrays([pa.array(kinds), batch.column("text")], ["class", "text"])
+            yield out.filter(pa.array(wanted[_places(kinds)]))
 
     return tidy(run)
 
@@ -389,12 +401,13 @@ def marked_prefixes(marks: np.ndarray):
     return tidy(run)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b, linked) by the whole texts of both; pairs are stored."""
-    marks = marked(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    some = rows.where("id IS NOT NULL").mapInArrow(only_marked(marks), "id long, text string").dropDuplicates(["id"])
-    one = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b, linked) for classes by the whole texts of both; pairs are stored."""
+    keys = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class"), "keys")
+    ids, own = marked(keys.select(F.col("rep").alias("key"))), marked(keys.select(F.col("class").alias("key")))
+    some = rows.where("id IS NOT NULL").mapInArrow(class_texts(n, ids, own), "class long, text string").dropDuplicates(["class"])
+    one = pairs.join(some.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
+    two = one.join(some.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
     return stored(two.select("a", "b", "text_a", "text_b").mapInArrow(verifier(n, percent), "a long, b long, linked boolean"), "verified")
 
 
@@ -411,57 +424,58 @@ def near_texts(
     common = rows.select("text").mapInArrow(common_shingles(shingle), "h long, n long")
     top = common.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).select("h")
     frequent = np.sort(np.array([r["h"] for r in top.collect()], np.int64).view(U))  # at most FREQUENT
-    schema = "id long, n long, print binary, bits binary, prefix array<long>"
+    schema = "id long, n long, class long, bits binary, prefix array<long>"
     sets = stored(rows.mapInArrow(signatures(shingle, percent, frequent), schema), "sets")
     some = sets.where("n > 0 AND id IS NOT NULL")
-    classes = stored(some.groupBy("print", "n").agg(F.min("id").alias("rep")), "classes")
-    first = classes.select(F.col("rep").alias("id"), F.col("print").alias("own"))
-
-    def of_classes(rows: DataFrame) -> DataFrame:
-        """One row for each class, that of its smallest id."""
-        return rows.join(first, "id").where("print = own").drop("print", "own")
-
+    classes = stored(some.groupBy("class").agg(F.min("id").alias("rep")), "classes")
     # groups of classes that share a shingle of their prefixes; one for each set of members
-    posts = of_classes(some.select("id", "print", "prefix")).select("id", F.explode("prefix").alias("h"))
-    groups = posts.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("id").alias("lead"))
+    posts = some.select("class", "prefix").dropDuplicates(["class"]).select("class", F.explode("prefix").alias("h"))
+    groups = posts.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("class")).alias("members"), F.min("class").alias("lead"))
     groups = groups.where("m > 1").groupBy("m", "members", "lead").agg(F.min("h").alias("h"))
     groups = stored(groups.select("h", "m", "lead"), "groups")
     marks = marked(groups.select(F.col("h").alias("key")))
-    met = some.mapInArrow(marked_prefixes(marks), schema)
-    met = stored(of_classes(met).dropDuplicates(["id"]), "met")
-    posts = met.select("id", F.explode("prefix").alias("h")).join(groups, "h")
+    met = some.mapInArrow(marked_prefixes(marks), schema).drop("id")
+    met = stored(met.dropDuplicates(["class"]), "met")
+    posts = met.select("class", F.explode("prefix").alias("h")).join(groups, "h")
     posts = posts.withColumn("blocks", F.ceil(F.col("m") / GROUP).cast("int"))
-    posts = posts.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    posts = posts.withColumn("blk", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     posts = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     posts = posts.withColumns({"bi": F.least("blk", "other"), "bj": F.greatest("blk", "other")})
     # groups with the same smallest class have many members in common and lie in the same cell
     cells = max(64, -(-met.count() // CELL_ROWS))
     posts = posts.withColumn("cell", F.pmod(F.xxhash64("lead", "bi", "bj"), F.lit(cells)))
     post = F.struct(F.xxhash64("h", "bi", "bj").alias("grp"), "blk", "bi", "bj")
-    posts = stored(posts.groupBy("cell", "id").agg(F.collect_list(post).alias("posts")), "posts")
+    posts = stored(posts.groupBy("cell", "class").agg(F.collect_list(post).alias("posts")), "posts")
 
     def joined(posts: DataFrame, forest_only: bool) -> DataFrame:
-        p = posts.join(met.select("id", "n", "bits"), "id")
+        p = posts.join(met.select("class", "n", "bits"), "class")
         found = p.groupBy("cell").applyInArrow(joiner(percent, forest_only), "a long, b long")
         return stored(found.distinct(), "possible")
 
-    checked = verified(joined(posts.withColumn("component", F.lit(0).cast("long")), True), rows, shingle, percent)
+    checked = verified(joined(posts.withColumn("component", F.lit(0).cast("long")), True), rows, classes, shingle, percent)
     links = checked.where("linked").select("a", "b")
     failed = checked.where("NOT linked").select("a", "b")
     if failed.limit(1).count():
-        tried = components(checked.select("a", "b"))
-        suspect = failed.join(tried.withColumnRenamed("id", "a"), "a").select("component").distinct()
-        suspects = tried.join(suspect, "component", "left_semi").select("id")
-        linked = components(links)
-        again = posts.join(suspects, "id", "left_semi").join(linked, "id", "left")
-        again = again.withColumn("component", F.coalesce("component", "id"))
+        tried = components(checked.select("a", "b")).withColumnRenamed("id", "class")
+        suspect = failed.join(tried.withColumnRenamed("class", "a"), "a").select("component").distinct()
+        suspects = tried.join(suspect, "component", "left_semi").select("class")
+        linked = components(links).withColumnRenamed("id", "class")
+        again = posts.join(suspects, "class", "left_semi").join(linked, "class", "left")
+        again = again.withColumn("component", F.coalesce("component", "class"))
         more = joined(again, False).join(failed, ["a", "b"], "left_anti")
-        links = links.unionByName(verified(stored(more, "possible"), rows, shingle, percent).where("linked").select("a", "b"))
-    near = components(links).withColumnRenamed("id", "rep")
-    known = classes.join(near, "rep", "left").select("print", "n", F.coalesce("component", "rep").alias("component"))
-    # rows that repeat an id with other texts bring their classes together
-    out = sets.select("id", "n", "print").join(known, ["print", "n"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+        more = verified(stored(more, "possible"), rows, classes, shingle, percent)
+        links = links.unionByName(more.where("linked").select("a", "b"))
+    links = links.join(classes.toDF("a", "u"), "a").join(classes.toDF("b", "v"), "b").select("u", "v")
+    # an id with several texts, or with one and an empty one, is linked with the smallest id of each of its classes
+    every = sets.where("id IS NOT NULL").groupBy("id").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    mixed = stored(every.where("low <> high").select("id"), "mixed")
+    bound = some.select("id", "class").join(mixed, "id", "left_semi").distinct().join(classes, "class")
+    near = stored(components(links.unionByName(bound.select(F.col("id").alias("u"), F.col("rep").alias("v"))), "u", "v"), "near")
+    known = classes.join(near.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
+    out = sets.select("id", "n", "class").join(known, "class", "left")
+    empty = mixed.join(near, "id").select("id", F.col("component").alias("own"))  # rows without words have no class of their own
+    out = out.join(empty, "id", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "own", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
