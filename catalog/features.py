@@ -382,7 +382,7 @@ def p_08(spark, sf):
 )
 def p_09(spark, sf):
     frags = prep.split_fragments(ev_grid(spark, sf), "1h")
-    d = covariates.attach_covariates(frags, ev_multi(spark, sf), ["0"])
+    d = covariates.attach_covariates(frags, ev_multi(spark, sf), ["0", "1", "2"])
     return d.groupBy("ts_id", "fragment_id").agg(F.count("*").alias("steps"), r(F.sum("0")).alias("covariate"))
 
 

@@ -38,3 +38,8 @@ def test_matches_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_gives_rows(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
+
+
+def test_fragments_have_covariates(spark):
+    got = entry.queries()["p_09_fragment_covariates"](spark, SF).collect()
+    assert any(r["covariate"] is not None for r in got)
