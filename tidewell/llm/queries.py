@@ -7,6 +7,7 @@ from .jaccard import op5_signature_trees
 from .language import op10_language
 from .lm import op3_gru_lm
 from .neardup_vectors import op9_hyperplane_neardup
+from .merkle import OP13_SQL, op13_merkle_manifest
 from .mixing import OP7_SQL, op7_pareto_mixing
 from .pieces import op6_token_counts
 from .packing import op2_cutting_stock
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_fertility": op8_fertility,
     "op9_hyperplane_neardup": op9_hyperplane_neardup,
     "op10_language": op10_language,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLES = {"op7_pareto_mixing": OP7_SQL}
+ORACLES = {"op7_pareto_mixing": OP7_SQL, "op13_merkle_manifest": OP13_SQL}
