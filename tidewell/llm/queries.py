@@ -13,6 +13,7 @@ from .pieces import op6_token_counts
 from .packing import op2_cutting_stock
 from .sharding import op4_hypergeometric_shards
 from .toxicity import op1_toxicity
+from .variants import OP11_SQL, op11_spelling_variants
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_fertility": op8_fertility,
     "op9_hyperplane_neardup": op9_hyperplane_neardup,
     "op10_language": op10_language,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLES = {"op7_pareto_mixing": OP7_SQL, "op13_merkle_manifest": OP13_SQL}
+ORACLES = {"op7_pareto_mixing": OP7_SQL, "op11_spelling_variants": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
