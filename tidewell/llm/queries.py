@@ -11,6 +11,7 @@ from .merkle import OP13_SQL, op13_merkle_manifest
 from .mixing import OP7_SQL, op7_pareto_mixing
 from .pieces import op6_token_counts
 from .packing import op2_cutting_stock
+from .repeats import OP12_SQL, op12_suffix_dedup
 from .sharding import op4_hypergeometric_shards
 from .toxicity import op1_toxicity
 from .variants import OP11_SQL, op11_spelling_variants
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_hyperplane_neardup": op9_hyperplane_neardup,
     "op10_language": op10_language,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLES = {"op7_pareto_mixing": OP7_SQL, "op11_spelling_variants": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
+ORACLES = {"op7_pareto_mixing": OP7_SQL, "op11_spelling_variants": OP11_SQL, "op12_suffix_dedup": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
