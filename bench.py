@@ -12,6 +12,7 @@ import sys
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
 
 from pyspark.sql import SparkSession
 

@@ -1,9 +1,12 @@
 import os
+import signal
 import sys
 
 import pytest
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+LIMIT = 420  # seconds for one test
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +26,17 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture(autouse=True)
+def time_limit():
+    """A test that hangs fails by itself instead of taking the whole run."""
+
+    def stop(*_):
+        raise TimeoutError(f"more than {LIMIT} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(LIMIT)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
