@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +55,9 @@ class Lexicon(dict):
 
     def codes(self, docs: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words in a row, and how many each document has."""
-        docs = list(docs)
-        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-        every = map(self.__getitem__, chain.from_iterable(docs))
-        return np.fromiter(every, np.int32, int(sizes.sum())), sizes
+        rows = [np.fromiter(map(self.__getitem__, words), np.int32, len(words)) for words in docs]  # words of one text at a time
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        return np.concatenate(rows) if rows else np.zeros(0, np.int32), sizes
 
     def since(self, n: int) -> list[bytes]:
         """Words numbered n and later."""

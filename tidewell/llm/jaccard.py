@@ -18,8 +18,8 @@ shorter text is one shingle, a text without words has none and links with nothin
    texts is linked with the smallest id of each.
 
 A group of more than ``GROUP`` classes is cut into blocks, and each pair of blocks is a group of its own. Nothing is
-capped; the list of frequent shingles (``FREQUENT`` at most) only shapes the order. A bitmap of fixed size says which
-texts a check may need, so that other texts aren't moved; where it is full it lets all pass.
+capped; the list of frequent shingles (``FREQUENT`` at most) only shapes the order. Bitmaps move only for classes that
+share a shingle with another one, texts only for classes of possible links.
 
 Rows that repeat an id are one node, also with other texts or none. A null id can't be named and stays alone. Other columns are ignored.
 """
@@ -48,7 +48,7 @@ GROUP = 4096
 BITS = 8
 LEAF, FAN = 16, 8
 CELL_ROWS = 2_000
-FILTER_BITS = 1 << 24
+SEEN = 1 << 17
 U = np.uint64
 
 
@@ -118,18 +118,28 @@ def needed(n: int, percent: int) -> int:
 
 
 def signatures(n: int, percent: int, frequent: np.ndarray):
-    """Size, class, bitmap and prefix of each text's set; ``frequent`` is sorted."""
+    """Size, class, bitmap and prefix of each text's set; ``frequent`` is sorted.
+
+    Copies that a task meets again (among the last ``SEEN`` classes) have no bitmap and prefix.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(n)
+        shingles, seen = Shingles(n), set()
         for batch in blocks(batches, "text"):
             sets = shingles.sets(texts(batch.column("text")))
             flat = np.concatenate(sets) if sets else np.zeros(0, U)
             at = np.minimum(np.searchsorted(frequent, flat), max(0, len(frequent) - 1))
             late = frequent[at] == flat if len(frequent) else np.zeros(len(flat), bool)
-            bits, prefixes, start = [], [], 0
-            for s in sets:
+            bits, prefixes, start, kinds = [], [], 0, list(map(class_of, sets))
+            for s, kind in zip(sets, kinds, strict=True):
                 own, start = late[start : start + len(s)], start + len(s)
+                if kind in seen:
+                    bits.append(None)
+                    prefixes.append(None)
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(kind)
                 width = max(64, 1 << (BITS * len(s) - 1).bit_length()) if len(s) else 64
                 b = np.zeros(width, bool)
                 b[(s & U(width - 1)).astype(np.int64)] = True
@@ -137,8 +147,7 @@ def signatures(n: int, percent: int, frequent: np.ndarray):
                 p = len(s) - needed(len(s), percent) + 1 if len(s) else 0
                 prefixes.append(np.concatenate([s[~own][:p], s[own]])[:p].view(np.int64))
             size = pa.array(np.fromiter(map(len, sets), np.int64, len(sets)))
-            kinds = pa.array(list(map(class_of, sets)), pa.int64())
-            out = [batch.column("id"), size, kinds, pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            out = [batch.column("id"), size, pa.array(kinds, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(out, ["id", "n", "class", "bits", "prefix"])
 
     return tidy(run)
@@ -349,54 +358,14 @@ def verifier(n: int, percent: int):
     return tidy(run)
 
 
-def _places(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.astype(np.int64).view(U)) & U(FILTER_BITS - 1)).astype(np.int64)
-
-
-def _marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    on = np.zeros(FILTER_BITS, bool)
-    for batch in batches:
-        on[_places(np.asarray(batch.column("key")))] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(on).tobytes()], pa.binary())], ["marks"])
-
-
-def marked(keys: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size in which the places of all keys are set."""
-    marks = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in keys.coalesce(8).mapInArrow(_marks, "marks binary").toLocalIterator():  # at most 8 bitmaps
-        marks |= np.frombuffer(r["marks"], np.uint8)
-    return marks
-
-
-def class_texts(n: int, ids: np.ndarray, classes: np.ndarray):
-    """Texts of marked classes at marked ids, and perhaps a few others; ``class`` is that of the text, not of the id."""
+def class_texts(n: int):
+    """The class of each text, for an id may have several."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, wanted = np.unpackbits(ids).astype(bool), np.unpackbits(classes).astype(bool)
         shingles = Shingles(n)
-        marked_ids = (batch.filter(pa.array(at[_places(np.asarray(batch.column("id")))])) for batch in batches)
-        for batch in blocks(marked_ids, "text"):
-            kinds = np.fromiter(map(class_of, shingles.sets(texts(batch.column("text")))), np.int64, batch.num_rows)
-            out = pa.RecordBatch.from_arrays([pa.array(kinds), batch.column("text")], ["class", "text"])
-            yield out.filter(pa.array(wanted[_places(kinds)]))
-
-    return tidy(run)
-
-
-def marked_prefixes(marks: np.ndarray):
-    """Sets with the marked shingles of their prefixes, and perhaps a few others; sets without any are left out."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.unpackbits(marks).astype(bool)
-        for batch in batches:
-            prefix = batch.column("prefix")
-            sizes = np.diff(np.asarray(prefix.offsets))
-            flat = np.asarray(prefix.flatten())
-            good = on[_places(flat)]
-            n = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[good], minlength=len(sizes))
-            kept = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat[good]))
-            at = batch.schema.get_field_index("prefix")
-            yield batch.set_column(at, "prefix", kept).filter(pa.array(n > 0))
+        for batch in blocks(batches, "text"):
+            kinds = pa.array(list(map(class_of, shingles.sets(texts(batch.column("text"))))), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("class"), kinds, batch.column("text")], ["class", "own", "text"])
 
     return tidy(run)
 
@@ -404,8 +373,8 @@ def marked_prefixes(marks: np.ndarray):
 def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b, linked) for classes by the whole texts of both; pairs are stored."""
     keys = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class"), "keys")
-    ids, own = marked(keys.select(F.col("rep").alias("key"))), marked(keys.select(F.col("class").alias("key")))
-    some = rows.where("id IS NOT NULL").mapInArrow(class_texts(n, ids, own), "class long, text string").dropDuplicates(["class"])
+    some = rows.join(keys.withColumnRenamed("rep", "id"), "id").select("class", "text").mapInArrow(class_texts(n), "class long, own long, text string")
+    some = some.where("own = class").select("class", "text").dropDuplicates(["class"])
     one = pairs.join(some.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(some.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
     return stored(two.select("a", "b", "text_a", "text_b").mapInArrow(verifier(n, percent), "a long, b long, linked boolean"), "verified")
@@ -429,21 +398,25 @@ def near_texts(
     some = sets.where("n > 0 AND id IS NOT NULL")
     classes = stored(some.groupBy("class").agg(F.min("id").alias("rep")), "classes")
     # groups of classes that share a shingle of their prefixes; one for each set of members
-    posts = some.select("class", "prefix").dropDuplicates(["class"]).select("class", F.explode("prefix").alias("h"))
+    first = some.where("prefix IS NOT NULL")
+    posts = first.select("class", F.explode("prefix").alias("h")).where("h IS NOT NULL")
+    posts = posts.repartition("h").dropDuplicates(["class", "h"])  # one exchange, read by the count and by the join
     groups = posts.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("class")).alias("members"), F.min("class").alias("lead"))
-    groups = groups.where("m > 1").groupBy("m", "members", "lead").agg(F.min("h").alias("h"))
-    groups = stored(groups.select("h", "m", "lead"), "groups")
-    marks = marked(groups.select(F.col("h").alias("key")))
-    met = some.mapInArrow(marked_prefixes(marks), schema).drop("id")
+    shared = stored(posts.join(groups.where("m > 1"), "h"), "shared")
+    one = shared.select("h", "m", "members", "lead").distinct().groupBy("m", "members", "lead").agg(F.min("h").alias("h"))
+    many = F.sum("m").over(W.partitionBy("lead"))  # posts of all groups of a lead, a row a group
+    one = one.withColumn("parts", F.ceil(many / (4 * CELL_ROWS)))
+    one = stored(one.select("h", F.pmod(F.xxhash64("h"), "parts").alias("part")), "groups")
+    posts = shared.select("class", "h", "m", "lead").join(one, "h")
+    met = first.join(shared.select("class").distinct(), "class", "left_semi").select("class", "n", "bits")
     met = stored(met.dropDuplicates(["class"]), "met")
-    posts = met.select("class", F.explode("prefix").alias("h")).join(groups, "h")
     posts = posts.withColumn("blocks", F.ceil(F.col("m") / GROUP).cast("int"))
     posts = posts.withColumn("blk", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     posts = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     posts = posts.withColumns({"bi": F.least("blk", "other"), "bj": F.greatest("blk", "other")})
-    # groups with the same smallest class have many members in common and lie in the same cell
+    # groups with the same smallest class have many members in common and lie in the same cells
     cells = max(64, -(-met.count() // CELL_ROWS))
-    posts = posts.withColumn("cell", F.pmod(F.xxhash64("lead", "bi", "bj"), F.lit(cells)))
+    posts = posts.withColumn("cell", F.pmod(F.xxhash64("lead", "part", "bi", "bj"), F.lit(cells)))
     post = F.struct(F.xxhash64("h", "bi", "bj").alias("grp"), "blk", "bi", "bj")
     posts = stored(posts.groupBy("cell", "class").agg(F.collect_list(post).alias("posts")), "posts")
 

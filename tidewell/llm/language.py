@@ -185,7 +185,8 @@ def train(
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= longest))
     ids = sample_per_value(rows, "id", "lang", per_lang, seed).withColumnsRenamed({"id": "sample_id", "lang": "sample_lang"})
     same = F.col("id").eqNullSafe(F.col("sample_id")) & (F.col("lang") == F.col("sample_lang"))
-    sample = rows.join(F.broadcast(ids.distinct()), same).select("lang", "text").collect()  # bounded by per_lang
+    sample = rows.join(F.broadcast(ids.distinct()), same).groupBy("id", "lang").agg(F.min("text").alias("text"))  # a text an id
+    sample = sample.select("lang", "text").collect()  # bounded by per_lang
     if not sample:
         return None
     langs = sorted({r["lang"] for r in sample})

@@ -184,7 +184,8 @@ def train(
         prior = min(0.9, prior) if 0 < prior < 1 else 0.1
     ids = hashed_sample(marks.where("toxic = 1"), positives, seed).withColumn("positive", F.lit(True))
     ids = ids.unionByName(hashed_sample(rows, unlabelled, seed + 1).withColumn("positive", F.lit(False)))
-    sample = rows.join(F.broadcast(ids), "id").select("text", "positive").collect()  # positives + unlabelled ids at most
+    sample = rows.join(F.broadcast(ids), "id").groupBy("id", "positive").agg(F.min("text").alias("text"))  # a text an id
+    sample = sample.select("text", "positive").collect()  # positives + unlabelled at most
     sample = sorted(((r["positive"], r["text"]) for r in sample), key=lambda r: (zlib.crc32(r[1].encode("utf-8", "replace")), r))
     positive = np.array([p for p, _ in sample], bool)
     if positive.sum() < 2 or positive.all():
