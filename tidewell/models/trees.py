@@ -12,6 +12,7 @@ from ..model import KEYS, seconds, shift
 from ..operators.prep import scale, unscale
 from .ar import histories, last_values, with_steps, without_forecast
 from .features import feature_columns, lag_features, lag_list, step_targets
+from .scenario import covariate_reach, with_scenario, within_reach
 
 
 class LagModel:
@@ -140,11 +141,24 @@ def predict_recursive(
     return with_steps(out.unionByName(without_forecast(known, n)), res)
 
 
-def forecast(df: DataFrame, model: LagModel, scaler: DataFrame, res: int | str, n: int, ts_id: str | None = None) -> DataFrame:
-    """Scenario inference: scale with the training scaler, predict ``n`` steps, scale back; all series or one."""
+def forecast(
+    df: DataFrame, model: LagModel, scaler: DataFrame, res: int | str, n: int, ts_id: str | None = None,
+    covs: DataFrame | None = None, changes: DataFrame | None = None,
+) -> DataFrame:
+    """Scenario inference: scale with the training scaler, predict ``n`` steps, scale back; all series or one.
+
+    ``covs(ts_id, ts, ...)`` holds the model's covariates on the scale that it was fitted to, ``changes`` what the scenario
+    sets otherwise. Steps that they don't reach are NULL, with a ``reason`` that names the covariate that ends first.
+    """
     d = df if ts_id is None else df.filter(F.col("ts_id") == ts_id)
     scaled = scale(d.select(*KEYS, "ts", "value"), scaler)
-    return unscale(predict_recursive(model, scaled, res, n), scaler, "yhat")
+    if covs is not None and changes is not None:
+        covs = with_scenario(covs, changes)
+    out = unscale(predict_recursive(model, scaled, res, n, covs=covs), scaler, "yhat")
+    if not model.covariates:
+        return out
+    ends = d.groupBy(*KEYS).agg(F.max("ts").alias("last_ts"))
+    return within_reach(out, covariate_reach(model, covs, ends, seconds(res), n))
 
 
 def backtest_rows(model: LagModel, df: DataFrame, res: int | str, origin_rows: DataFrame) -> DataFrame:
