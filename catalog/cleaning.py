@@ -383,7 +383,7 @@ def _resample(name: str, method: str) -> None:
     @register(name, "multi_grid", sql=sql)
     def query(spark, sf):
         d = multi_grid(spark, sf)
-        return mean_rounded(resample.resample(d, "5h", method).unionByName(resample.resample(d, "6h", method)))
+        return mean_rounded(resample.resample(d, "5h", method, "1h").unionByName(resample.resample(d, "6h", method, "1h")))
 
 
 _resample("e_22_resample_averaging", "averaging")
@@ -397,7 +397,7 @@ _resample("e_24_resample_downsampling", "downsampling")
     sql=f"SELECT ts_id, id, bin AS ts, {mean_sql('avg(value)')} AS value FROM (SELECT *, {BIN.format(s=172800)} AS bin FROM li_day) GROUP BY 1, 2, 3",
 )
 def e_22b(spark, sf):
-    return mean_rounded(resample.resample(li_day(spark, sf), "2d", "averaging"))
+    return mean_rounded(resample.resample(li_day(spark, sf), "2d", "averaging", "1d"))
 
 
 part("ev_first", "SELECT ts_id, id, date_trunc('hour', ts) AS ts, arg_min(value, row_id) AS value FROM ev_raw GROUP BY 1, 2, 3", "ev_raw")

@@ -191,7 +191,9 @@ def test_experiment(spark, model):
     covs = frame(spark, {("a", "c"): vs, ("b", "c"): vs}).select("ts_id", "ts", F.col("value").alias("c"))
     e = Experiment(Preparation("1h", min_island=2), "20230408", "20230411", model=model, options=options[model], horizon=24)
     out = run_experiment(raw, e, covs=covs if model == "forest" else None)
-    assert set(out) == {"series", "forecasts", "metrics", "outliers", "short_islands"}
+    assert set(out) == {
+        "series", "forecasts", "metrics", "outliers", "short_islands", "imputed", "residual_ranges", "violations", "actuals", "scaler", "scaled_forecasts"
+    }
     assert {r["ts_id"] for r in out["metrics"].collect()} == {"a", "b"}
     assert all(r["mape"] < 12 for r in out["metrics"].collect())
     starts = out["series"].filter("ts_id = 'a'").groupBy("id").agg(F.min("ts").alias("lo")).select("lo").distinct()

@@ -27,7 +27,7 @@ def prepare_covariates(
     """Year filter, regular grid, linear fill and, when ``to`` is coarser, resampling."""
     d = filter_years(df, lo, hi) if lo is not None else df
     filled = impute(to_grid(d, res, keep_slice=True), res, "linear")
-    return filled if to is None or seconds(to) == seconds(res) else resample(filled, to, method)
+    return filled if to is None or seconds(to) == seconds(res) else resample(filled, to, method, res)
 
 
 def combine(a: DataFrame, b: DataFrame, sign: str = "+") -> DataFrame:
@@ -36,9 +36,13 @@ def combine(a: DataFrame, b: DataFrame, sign: str = "+") -> DataFrame:
     A second table of one component applies to every component of its series, otherwise components meet by name.
     """
     per = b.groupBy("ts_id").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"))
-    other = b.join(per, "ts_id").select("ts_id", "ts", F.col("id").alias("_id"), (F.col("_lo") == F.col("_hi")).alias("_one"), F.col("value").alias("_b"))
+    other = b.join(per, "ts_id").select(*KEYS, "ts", (F.col("_lo") == F.col("_hi")).alias("_one"), F.col("value").alias("_b"))
+    own = a.select(*KEYS, "ts", "value")
+    # two equi-joins: no timestamp ever holds more pairs than the result
+    named = own.join(other.filter("not _one").drop("_one"), [*KEYS, "ts"])
+    shared = own.join(other.filter("_one").select("ts_id", "ts", "_b"), ["ts_id", "ts"])
     out = F.col("value") + F.col("_b") if sign == "+" else F.col("value") - F.col("_b")
-    return a.join(other, ["ts_id", "ts"]).filter(F.col("_one") | (F.col("id") == F.col("_id"))).select(*KEYS, "ts", out.alias("value"))
+    return named.unionByName(shared).select(*KEYS, "ts", out.alias("value"))
 
 
 def stitch(base: DataFrame, newer: DataFrame) -> DataFrame:

@@ -6,17 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import DAY, KEYS, epoch, floor_div, from_epoch, seconds
+from .profile import infer_resolution
 
 METHODS = ("averaging", "summation", "downsampling")
 
 
-def resample(df: DataFrame, res: int | str, method: str = "averaging") -> DataFrame:
-    """Aggregate to bins of ``res``.
+def coarser(source: int | str, target: int | str) -> None:
+    """Raise unless a step of ``target`` is at least one of ``source``."""
+    if seconds(target) < seconds(source):
+        raise ValueError(f"{target} is finer than {source}: resampling goes to coarser steps only")
+
+
+def resample(df: DataFrame, res: int | str, method: str = "averaging", source: int | str | None = None) -> DataFrame:
+    """Aggregate to bins of ``res``, which may not be finer than the steps of the data.
+
+    ``source`` is the step of the data where it is known; otherwise the smallest one is inferred, which reads the timestamps once.
 
     averaging: mean of the known values, NULL if there are none; summation: NULL as soon as one value of the bin is
     missing; downsampling: the first known value. When ``res`` divides a day, the midnight anchor is the same
     for all components and no look-up of the first day is needed.
     """
+    step = source if source is not None else infer_resolution(df).agg(F.min("seconds")).first()[0]
+    if step is not None:
+        coarser(step, res)
     res = seconds(res)
     if DAY % res == 0:
         d = df.withColumn("_bin", floor_div(epoch("ts"), res) * res)

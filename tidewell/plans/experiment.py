@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import stored
-from ..model import KEYS, seconds
+from ..model import KEYS
 from ..models import ar, naive, trees
-from ..operators.clean import cut_common_span, outlier_report, short_island_report
+from ..operators import quality
+from ..operators.clean import cut_common_span
 from ..operators.prep import fit_minmax, scale, split, unscale
+from ..operators.resample import coarser
 from . import backtest
-from .preparation import Preparation, prepare
+from .preparation import Preparation, prepare_reported
 
 MODELS = ("naive", "ar", "forest", "gbt")
 
@@ -33,13 +35,13 @@ class Experiment:
     m_mase: int = 1
     common_span: bool = True
     scaled: bool = True
+    strict: bool = False
 
     def __post_init__(self):
         if self.model not in MODELS:
             raise ValueError(f"the model is one of {', '.join(MODELS)}")
-        to = self.preparation.to
-        if to is not None and seconds(to) < seconds(self.preparation.res):
-            raise ValueError(f"{to} is finer than {self.preparation.res}: resampling goes to coarser steps only")
+        if self.preparation.to is not None:
+            coarser(self.preparation.res, self.preparation.to)
 
     @property
     def res(self) -> int | str:
@@ -62,27 +64,36 @@ def _forecasts(e: Experiment, d: DataFrame, known: DataFrame, covs: DataFrame |
 
 
 def run_experiment(raw: DataFrame, e: Experiment, tz_map: DataFrame | None = None, holidays: DataFrame | None = None, covs: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Tables ``series``, ``forecasts``, ``metrics`` (per series) and the reports ``outliers`` and ``short_islands``.
+    """The prepared ``series``, ``forecasts``, ``actuals`` of the test set and ``metrics`` per series, with scaling also the ``scaler``
+    and ``scaled_forecasts``; ``violations`` of the rules for validation and test sets; the reports of the preparation.
 
     ``covs(ts_id, ts, ...)`` holds covariate columns on the grid of the prepared series. The model is fitted to all that
-    lies before the test set, the scaler to the training set.
+    lies before the test set, the scaler to the training set. A component without training values has no scaler: its forecasts are
+    NULL with the reason ``unscaled``. With ``strict`` the first violation is raised before anything is fitted.
     """
-    series = prepare(raw, e.preparation, tz_map, holidays)
+    series, reports = prepare_reported(raw, e.preparation, tz_map, holidays)
     series = stored(cut_common_span(series) if e.common_span else series, "series")
     parts = split(series, e.val, e.test, e.end)
+    rules = (quality.v_ends_before_val(series, e.val), quality.v_nulls_after_val(series, e.val), quality.v_nan_in_set(parts))
+    violations = None
+    for i, r in enumerate(rules):
+        r = r.withColumn("order", F.lit(i))
+        violations = r if violations is None else violations.unionByName(r)
+    if e.strict:
+        quality.assert_valid(violations)
     d = parts.filter("split = 'train' or split = 'val' or split = 'test'").select(*KEYS, "ts", "value", "split")
     if e.val == e.test:
         d = d.filter("split <> 'val'")
     whole, known = d.drop("split"), d.filter("split <> 'test'").drop("split")
+    out = {"series": series, "violations": violations, "actuals": d.filter("split = 'test'").drop("split"), **reports}
     if e.scaled:
         scaler = stored(fit_minmax(d), "scaler")
-        fc = unscale(_forecasts(e, stored(scale(whole, scaler), "scaled"), scale(known, scaler), covs), scaler, "yhat")
+        own = stored(_forecasts(e, stored(scale(whole, scaler), "scaled"), scale(known, scaler), covs), "scaled_forecasts")
+        fc = unscale(own, scaler, "yhat").join(scaler.filter("lo is not null").select(*KEYS, F.lit(True).alias("_has")), KEYS, "left")
+        reason = F.when(F.col("_has").isNull(), "unscaled")
+        fc = fc.withColumn("reason", F.coalesce(reason, "reason") if "reason" in own.columns else reason).drop("_has")
+        out |= {"scaler": scaler, "scaled_forecasts": own}
     else:
         fc = _forecasts(e, whole, known, covs)
     fc = stored(fc, "forecasts")
-    out = {"series": series, "forecasts": fc, "metrics": backtest.evaluate(whole, fc, e.res, e.test, e.horizon, e.stride, e.m_mase)}
-    if e.preparation.std_dev is not None:
-        out["outliers"] = outlier_report(raw, e.preparation.std_dev)
-    if e.preparation.min_island != -1:
-        out["short_islands"] = short_island_report(series, e.res, e.preparation.min_island)
-    return out
+    return out | {"forecasts": fc, "metrics": backtest.evaluate(whole, fc, e.res, e.test, e.horizon, e.stride, e.m_mase)}
