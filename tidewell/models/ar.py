@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import stored
 from ..model import KEYS, seconds, shift
 from ..slices import halo_window, with_halo
 
@@ -34,11 +35,10 @@ def _solve(sums: pd.Series, size: int) -> pd.Series:
     return pd.Series(out)
 
 
-def _standard(df: DataFrame) -> DataFrame:
-    """Values less the mean of their component, in units of its deviation: moments of high levels keep their digits."""
+def _units(df: DataFrame) -> DataFrame:
+    """Mean and deviation of every component."""
     stats = df.groupBy(*KEYS).agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_std"))
-    stats = stats.withColumn("_unit", F.when(F.col("_std") > 0, F.col("_std")).otherwise(F.lit(1.0)))
-    return df.join(stats, KEYS).withColumn("value", (F.col("value") - F.col("_mean")) / F.col("_unit"))
+    return stats.select(*KEYS, "_mean", F.when(F.col("_std") > 0, F.col("_std")).otherwise(F.lit(1.0)).alias("_unit"))
 
 
 def fit_ar(df: DataFrame, res: int | str, p: int = 12, d: int = 1, span: int | None = None) -> DataFrame:
@@ -51,9 +51,10 @@ def fit_ar(df: DataFrame, res: int | str, p: int = 12, d: int = 1, span: int | N
     """
     res = seconds(res)
     w = halo_window()
-    scaled = _standard(df.select(*KEYS, "ts", "value"))
-    units = scaled.groupBy(*KEYS).agg(F.max("_mean").alias("_mean"), F.max("_unit").alias("_unit"))
-    z = with_halo(scaled.select(*KEYS, "ts", "value"), res, p + d, 0, span).withColumn("_z0", _differenced(d))
+    units = stored(_units(df), "units")  # a row a component
+    scaled = df.select(*KEYS, "ts", "value").join(units, KEYS)
+    scaled = scaled.select(*KEYS, "ts", ((F.col("value") - F.col("_mean")) / F.col("_unit")).alias("value"))
+    z = with_halo(scaled, res, p + d, 0, span).withColumn("_z0", _differenced(d))
     z = z.withColumns({f"_z{k}": F.lag("_z0", k).over(w) for k in range(1, p + 1)}).filter("home")
     terms = [F.lit(1.0), *[F.col(f"_z{k}") for k in range(1, p + 1)], F.col("_z0")]
     z = z.dropna(subset=[f"_z{k}" for k in range(p + 1)])

@@ -220,8 +220,9 @@ def impute_historical(
     before it; without any candidate the interpolation stands alone. ``same_time_window`` also accepts values of any year
     at the same time of day that are fewer than that many days of the year away.
 
-    The look-up is an equi-join on (component, minute of week, year, block of days), for which a missing value is
-    sent to the few neighbouring cells; a component of any length therefore spreads over many small cells.
+    Candidates are never paired with missing values. A cell (component, minute of week, year) holds running sums over its days,
+    366 at most, so a component of any length spreads over many small cells; a missing value meets the cell of each year once
+    and takes the difference of two of its running sums.
     ``holidays(date)``, or ``holidays(id, date)`` per component, shifts holidays to the weekend.
     """
     res = seconds(res)
@@ -257,61 +258,94 @@ def _merged(df: DataFrame, filled: DataFrame, flag: bool) -> DataFrame:
     return out if flag else out.drop("imputed")
 
 
+def _leap(year: Column) -> Column:
+    return F.when((year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0)), 366).otherwise(365)
+
+
+def week_cells(known: DataFrame, cut: str | None = None) -> DataFrame:
+    """Running sums of known values by day of the year, one row per (component, ``_minute`` of the week, ``_year``).
+
+    ``_days`` are the days that have values, in order; ``_s``, ``_n`` the sums and counts up to each, ``_es``, ``_en`` the same of
+    the values before ``cut`` only.
+    """
+    early = (F.date_trunc("minute", "ts").cast("timestamp_ntz") < instant(cut)) if cut is not None else F.lit(True)
+    minute = F.round(F.col("wn") * 1440).cast("bigint").alias("_minute")
+    own = known.select(*KEYS, minute, F.year("ts").alias("_year"), (F.dayofyear("ts") - 1).alias("_d"), "value", early.alias("_early"))
+    days = own.groupBy(*KEYS, "_minute", "_year", "_d").agg(
+        F.sum("value").alias("s"),
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.when(F.col("_early"), F.col("value"))), F.lit(0.0)).alias("es"),
+        F.count(F.when(F.col("_early"), 1)).alias("en"),
+    )
+    cells = days.groupBy(*KEYS, "_minute", "_year").agg(F.sort_array(F.collect_list(F.struct("_d", "s", "n", "es", "en"))).alias("_c"))
+    none = F.expr("cast(array() as array<struct<s:double,n:bigint,es:double,en:bigint>>)")
+    start = F.struct(none.alias("all"), F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("es"), F.lit(0).cast("bigint").alias("en"))
+
+    def add(acc, c):
+        now = {k: acc[k] + c[k] for k in ("s", "n", "es", "en")}
+        step = F.struct(*[v.alias(k) for k, v in now.items()])
+        return F.struct(F.array_append(acc["all"], step).alias("all"), *[v.alias(k) for k, v in now.items()])
+
+    run = F.aggregate("_c", start, add)["all"].alias("_run")
+    cells = cells.select(*KEYS, "_minute", "_year", F.col("_c._d").alias("_days"), run)
+    return cells.select(*KEYS, "_minute", "_year", "_days", *[F.col(f"_run.{k}").alias(f"_{k}") for k in ("s", "n", "es", "en")])
+
+
+def _around(d: DataFrame, reach: int, name: str, limited: Column) -> DataFrame:
+    """Add ``<name>_s`` and ``<name>_n``: sum and count of the cell's days at most ``reach`` from ``_yd``, around the turn of the year."""
+    length = _leap(F.col("_year"))
+    centre = F.pmod(F.col("_yd"), length)
+    lo, hi = centre - reach, centre + reach
+    # (last day of a run of days from the start of the year, sign)
+    whole = F.lit(2 * reach + 1) >= length
+    ends = [
+        (F.when(whole, length - 1).otherwise(F.least(hi, length - 1)), 1),
+        (F.when(whole, F.lit(-1)).otherwise(F.greatest(lo, F.lit(0)) - 1), -1),
+        (F.when(~whole & (lo < 0), length - 1).otherwise(F.lit(-1)), 1),
+        (F.when(~whole & (lo < 0), length + lo - 1).otherwise(F.lit(-1)), -1),
+        (F.when(~whole & (hi > length - 1), hi - length).otherwise(F.lit(-1)), 1),
+    ]
+    upto = lambda end: F.size(F.filter("_days", lambda day: day <= end))
+    d = d.withColumns({f"_i{j}": upto(end) for j, (end, _) in enumerate(ends)})
+
+    def total(every: str, early: str) -> Column:
+        sums = F.when(limited, F.col(early)).otherwise(F.col(every))
+        out = F.lit(0)
+        for j, (_, sign) in enumerate(ends):
+            out = out + sign * F.when(F.col(f"_i{j}") > 0, F.element_at(sums, F.greatest(F.col(f"_i{j}"), F.lit(1)))).otherwise(F.lit(0))
+        return out
+
+    d = d.withColumns({f"{name}_s": total("_s", "_es"), f"{name}_n": total("_n", "_en")})
+    return d.drop(*[f"_i{j}" for j in range(len(ends))])
+
+
 def _history(todo, known, res, wncutoff, ycutoff, ydcutoff, cut, same_time_window) -> DataFrame:
     """Mean of the candidates of every missing value: ``(keys, ts, _hist)``."""
-    minute = F.round(F.col("wn") * 1440).cast("bigint")
-    yday = F.dayofyear("ts") - 1
-    block = 32
-    # days that hit every block within reach, also the short last one, in years of either length
-    days = sorted({*range(1 - ydcutoff, ydcutoff, 13), ydcutoff - 1}) if ydcutoff < 183 else list(range(0, 366, 13)) + [365]
-    near = [F.pmod(yday + d, F.lit(n)) for d in days for n in (365, 366)]
-    blocks = F.array_distinct(F.array(*[F.floor(x / block).cast("int") for x in near]))
+    m = F.round(F.col("wn") * 1440).cast("bigint")
     years = F.sequence(F.year("ts") - (ycutoff - 1), F.year("ts") + (ycutoff - 1))
-    wide = F.floor(F.lit(wncutoff) * 1440)  # 0 by default: minutes of the week must be equal
-    cells = known.select(
-        *KEYS,
-        F.year("ts").alias("_year"),
-        F.floor(yday / block).cast("int").alias("_block"),
-        minute.alias("_minute"),
-        F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("_cts"),
-        F.col("wn").alias("_cwn"),
-        yday.alias("_cyd"),
-        F.col("value").alias("_s"),
-        F.lit(1).cast("bigint").alias("_n"),
-    )
-    if res < 60:  # values of one minute share all that is compared
-        same = ["_year", "_block", "_minute", "_cts", "_cwn", "_cyd"]
-        cells = cells.groupBy(*KEYS, *same).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
-    asked = (
-        todo.select(*KEYS, "ts", "wn", yday.alias("_yd"), minute.alias("_m"), F.explode(years).alias("_year"), blocks.alias("_bs"))
-        .withColumn("_block", F.explode("_bs"))
-        .drop("_bs")
-    )
-    leap = F.when((F.col("_year") % 4 == 0) & ((F.col("_year") % 100 != 0) | (F.col("_year") % 400 == 0)), 366).otherwise(365)
-    apart = F.least(F.pmod(F.col("_cyd") - F.col("_yd"), leap), F.pmod(F.col("_yd") - F.col("_cyd"), leap))
-    ok = (F.abs(F.col("_cwn") - F.col("wn")) < wncutoff) & (apart < ydcutoff)
-    if cut is not None:
-        ok = ok & ((F.col("ts") >= instant(cut)) | (F.col("_cts") < instant(cut)))
-    by_week = (
-        asked.withColumn("_minute", F.explode(F.sequence(F.col("_m") - wide, F.col("_m") + wide)))
-        .join(cells, [*KEYS, "_year", "_block", "_minute"])
-        .filter(ok)
-    )
-    mean = (F.sum("_s") / F.sum("_n")).alias("_hist")
-    if same_time_window is None:
-        return by_week.groupBy(*KEYS, "ts").agg(mean)
-    # values counted by the clock rule are left out of the week rule, so that none counts twice
-    same_clock = (F.pmod("_minute", F.lit(1440)) == F.pmod("_m", F.lit(1440))) & (apart < same_time_window)
-    week = by_week.filter(~same_clock).select(*KEYS, "ts", "_s", "_n")
-    both = week.unionByName(_same_clock(todo, known, same_time_window, cut))
-    return both.groupBy(*KEYS, "ts").agg(mean)
+    wide = int(wncutoff * 1440)  # 0 by default: minutes of the week must be equal
+    near = [k for k in range(-wide, wide + 1) if abs(k) / 1440 < wncutoff]
+    early = (F.col("ts") < instant(cut)) if cut is not None else F.lit(False)
+    asked = todo.select(*KEYS, "ts", (F.dayofyear("ts") - 1).alias("_yd"), m.alias("_m"), early.alias("_limited"), F.explode(years).alias("_year"))
+    asked = asked.withColumn("_minute", F.explode(F.array(*[F.col("_m") + F.lit(k) for k in near])))
+    met = asked.join(week_cells(known, cut), [*KEYS, "_minute", "_year"])
+    met = _around(met, ydcutoff - 1, "_w", F.col("_limited"))
+    if same_time_window is not None:
+        # values counted by the clock rule are left out of the week rule, so that none counts twice
+        clock = F.pmod("_minute", F.lit(1440)) == F.pmod("_m", F.lit(1440))
+        met = _around(met, min(-(-int(same_time_window * 1000) // 1000), ydcutoff) - 1, "_k", F.col("_limited"))
+        met = met.withColumns({c: F.col(c) - F.when(clock, F.col(c.replace("_w", "_k"))).otherwise(F.lit(0)) for c in ("_w_s", "_w_n")})
+    sums = met.select(*KEYS, "ts", F.col("_w_s").alias("_s"), F.col("_w_n").alias("_n")).filter("_n > 0")
+    if same_time_window is not None:
+        sums = sums.unionByName(_same_clock(todo, known, same_time_window, cut))
+    return sums.groupBy(*KEYS, "ts").agg((F.sum("_s") / F.sum("_n")).alias("_hist"))
 
 
 def _same_clock(todo, known, window, cut) -> DataFrame:
     """Sums of the known values at the same time of day, less than ``window`` days of the year away, in any year."""
     clock = F.pmod(epoch("ts"), F.lit(86400)).alias("_clock")
     year = F.year("ts")
-    leap = F.when((year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0)), 366).otherwise(365)
+    leap = _leap(year)
     early = (F.col("ts") < instant(cut)) if cut is not None else F.lit(True)
     days = known.groupBy(*KEYS, clock, (F.dayofyear("ts") - 1).alias("_cyd"), leap.alias("_len")).agg(
         F.sum("value").alias("_all_s"),
