@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -83,6 +84,20 @@ def text_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return batch.column("id").field(column)
 
 
+def in_task(sample: DataFrame, work):
+    """``work(rows)`` over a sample of bounded size, run in a task so that its arrays don't weigh on the driver.
+
+    The result travels back pickled; lost with its executor, the task runs again.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(work(rows))], pa.binary())], ["result"])
+
+    done = sample.repartition(1).mapInArrow(tidy(run), "result binary").first()
+    return pickle.loads(done["result"]) if done else work([])  # no task runs for an empty sample
+
+
 def release() -> None:
     """Give memory back to the system: Spark keeps Python workers for later tasks."""
     gc.collect()

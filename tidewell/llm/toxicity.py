@@ -10,8 +10,8 @@ step goes against that part instead. At the end the bias is placed between clean
 scores of rows kept apart for it. The class prior is the share of toxic texts among the labelled ones (``prior``
 sets it when only toxic texts are labelled).
 
-Training uses a bounded sample (``positives`` and ``unlabelled`` rows by hash of the id, with at most ``longest`` bytes
-each) and runs in numpy on the driver; scoring reads every whole text. A word's weight is found once for each distinct
+Training uses a bounded sample (``positives`` and ``unlabelled`` rows by hash of the id; of texts above ``longest`` bytes a
+share of the words, by their hash) and runs in numpy in one task; scoring reads every whole text. A word's weight is found once for each distinct
 word of a task. A word's features are the word and its first 2 to 8 letters.
 
 Null and empty texts have no features and get the score of the bias. With fewer than two confirmed toxic texts the score
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEXICON_WORDS, Lexicon, blocks, documents, fold, hashed_sample, ragged, release, schema, sums, text_of, texts, texts_for, tidy, with_rows
+from .common import LEXICON_WORDS, Lexicon, blocks, documents, fold, hashed_sample, in_task, ragged, release, schema, sums, text_of, texts, texts_for, tidy, with_rows
 
 FOLDS = 5
 EDGES = b".,;:!?\"'()[]{}|*#$%&<>/\\-_"
@@ -173,9 +173,12 @@ def train(
     seed: int = 3,
 ) -> tuple[dict[str, tuple[float, float]], float]:
     """(parts by feature, bias); features in fewer than ``least`` texts of the sample or in over a share ``most`` of its unlabelled texts are unused."""
-    rows = docs.where(learn & (F.octet_length(F.col(text_col)) <= longest)).select(
-        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")
-    )
+    text = F.col(text_col).cast("string")
+    # of a very long text, words by their hash; about ``longest`` bytes of it
+    parts = F.ceil(F.octet_length(text) / longest)
+    some = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: F.pmod(F.xxhash64(w), parts) == 0)
+    text = F.when(F.octet_length(text) > longest, F.array_join(some, " ")).otherwise(text)
+    rows = docs.where(learn).select(F.col(id_col).alias("id"), text.alias("text")).where("text IS NOT NULL")
     marks = labels.where(F.col(toxic_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(toxic_col).alias("toxic"))
     marks = rows.select("id").distinct().join(marks, "id")
     if prior is None:
@@ -185,18 +188,18 @@ def train(
     ids = hashed_sample(marks.where("toxic = 1"), positives, seed).withColumn("positive", F.lit(True))
     ids = ids.unionByName(hashed_sample(rows, unlabelled, seed + 1).withColumn("positive", F.lit(False)))
     sample = rows.join(F.broadcast(ids), "id").groupBy("id", "positive").agg(F.min("text").alias("text"))  # a text an id
-    sample = sample.select("text", "positive").collect()  # positives + unlabelled at most
-    sample = sorted(((r["positive"], r["text"]) for r in sample), key=lambda r: (zlib.crc32(r[1].encode("utf-8", "replace")), r))
-    positive = np.array([p for p, _ in sample], bool)
-    if positive.sum() < 2 or positive.all():
-        prior = min(prior, 0.49)  # nothing is toxic without a model
-        return {}, float(np.log(prior / (1 - prior)))
-    table = Table([t.encode("utf-8", "replace") for _, t in sample], positive, least, most)
-    w, bias = fit(table, positive, prior, steps=steps, lanes=lanes, rate=rate, decay=decay, seed=seed)
-    parts = {f: (float(a * b), float(b * b)) for f, a, b in zip(table.names, w, table.weight, strict=True)}
-    del table, sample
-    release()
-    return parts, bias
+
+    def learned(sample: list[dict]) -> tuple[dict[str, tuple[float, float]], float]:
+        sample = sorted(((r["positive"], r["text"]) for r in sample), key=lambda r: (zlib.crc32(r[1].encode("utf-8", "replace")), r))
+        positive = np.array([p for p, _ in sample], bool)
+        if positive.sum() < 2 or positive.all():
+            least_prior = min(prior, 0.49)  # nothing is toxic without a model
+            return {}, float(np.log(least_prior / (1 - least_prior)))
+        table = Table([t.encode("utf-8", "replace") for _, t in sample], positive, least, most)
+        w, bias = fit(table, positive, prior, steps=steps, lanes=lanes, rate=rate, decay=decay, seed=seed)
+        return {f: (float(a * b), float(b * b)) for f, a, b in zip(table.names, w, table.weight, strict=True)}, bias
+
+    return in_task(sample.select("text", "positive"), learned)  # positives + unlabelled rows at most
 
 
 def score(
