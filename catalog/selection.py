@@ -142,6 +142,24 @@ def x_01(spark, sf):
     return mean_rounded(d, *[f"step_{i}" for i in range(6)])
 
 
+def _sample_sql(wanted: str) -> str:
+    return f"""SELECT ts_id, id, ts FROM (
+        SELECT *, row_number() OVER (PARTITION BY ts_id ORDER BY key, id, ts) AS rank FROM (
+            SELECT ts_id, id, ts, ('0x' || substr(md5(concat_ws('|', '3', ts_id, id, epoch(ts)::BIGINT::VARCHAR)), 1, 12))::BIGINT AS key FROM (
+                SELECT *, count(*) OVER (PARTITION BY ts_id, id ORDER BY ts ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS n FROM multi_fill
+                WHERE ts >= TIMESTAMP '2024-01-22') WHERE n = 6)) WHERE {wanted}"""
+
+
+@register("x_01_sample_number", "multi_fill", sql=_sample_sql("rank <= 40"))
+def x_01_number(spark, sf):
+    return explain.window_dataset(_test(multi_stored(spark, sf)), "1h", 6, 3, size=40, seed=3).select("ts_id", "id", "ts")
+
+
+@register("x_01_sample_share", "multi_fill", sql=_sample_sql(f"key < {round(0.2 * 16**12)}"))
+def x_01_share(spark, sf):
+    return explain.window_dataset(_test(multi_stored(spark, sf)), "1h", 6, 3, size=0.2, seed=3).select("ts_id", "id", "ts")
+
+
 @register(
     "x_01_window_covariates",
     "ev_fill",

@@ -280,3 +280,12 @@ def test_preparation_runs_end_to_end(spark):
         out = prepare(d, Preparation("1h", to="6h", imputation=how, min_island=3, years=(2023, 2023)), zones)
         assert out.filter("value is not null").count() > 50
         assert out.groupBy("ts_id", "id", "ts").count().filter("count > 1").count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 37, 5_000])
+def test_bottom_of_groups(spark, n):
+    rnd = random.Random(n)
+    rows = [(rnd.choice("aaaaab"), rnd.choice([rnd.randrange(16**12), 5, 16**12 - 1]), i) for i in range(3_000)]
+    got = explain.bottom(spark.createDataFrame(rows, "g string, k long, i int"), ["g"], n, ["k", "i"]).collect()
+    want = [r for g in "ab" for r in sorted((r for r in rows if r[0] == g), key=lambda r: r[1:])[:n]]
+    assert sorted(map(tuple, got)) == sorted(want)

@@ -11,6 +11,9 @@ from ..model import KEYS, epoch, seconds
 from ..slices import halo_window, with_halo
 
 
+DIGITS, BUCKETS = 12, 1 << 12
+
+
 def _windows(df: DataFrame, res: int, length: int) -> DataFrame:
     """All complete windows of ``length`` values, keyed by their first timestamp."""
     w = halo_window().rowsBetween(0, length - 1)
@@ -32,7 +35,7 @@ def window_dataset(
 
     Past covariates reach ``length + horizon`` steps, future ones ``length + 2 * horizon``; they are maps from
     covariate id to values. Windows that cannot be completed are left out. ``size`` is the number of windows wanted
-    of each series or, below 1, their share; None means all. Samples are chosen by a seeded hash.
+    of each series or, below 1, their share; None means all. Samples are those of the smallest md5 of seed and key.
     """
     res = seconds(res)
     out = _windows(df, res, length)
@@ -44,11 +47,27 @@ def window_dataset(
     out = out.withColumn("epoch", epoch("ts"))
     if size is None:
         return out
-    key = F.xxhash64(*KEYS, "ts", F.lit(seed))
+    mark = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *KEYS, F.col("epoch").cast("string"))), 1, DIGITS)
+    out = out.withColumn("_key", F.conv(mark, 16, 10).cast("bigint"))
     if isinstance(size, float):
-        return out.filter(F.pmod(key, F.lit(1 << 20)) < F.lit(round(size * (1 << 20))))
-    rank = F.row_number().over(Window.partitionBy("ts_id").orderBy("_key", *KEYS, "ts"))
-    return out.withColumn("_key", key).withColumn("_rank", rank).filter(F.col("_rank") <= size).drop("_key", "_rank")
+        return out.filter(F.col("_key") < F.lit(round(size * 16**DIGITS))).drop("_key")
+    return bottom(out, ["ts_id"], size, ["_key", *KEYS, "ts"]).drop("_key")
+
+
+def bottom(rows: DataFrame, group: list[str], n: int, order: list[str]) -> DataFrame:
+    """The ``n`` first rows of each group by ``order``, whose first column is a hash below 16 ** DIGITS.
+
+    Counts by bucket of the hash (partial sums, ``BUCKETS`` rows a group at most) say in which bucket the last wanted row lies; only
+    rows up to that bucket are ordered, about n and one row in ``BUCKETS``. No task sees a whole group, however large n is.
+    """
+    width = 16**DIGITS // BUCKETS
+    bucket = F.call_function("div", F.col(order[0]), F.lit(width)).alias("_bucket")
+    counts = rows.select(*group, bucket).groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_bucket")) - F.col("_n")
+    cut = counts.withColumn("_before", before).filter(F.col("_before") < n).groupBy(*group).agg(((F.max("_bucket") + 1) * width).alias("_cut"))
+    few = rows.join(cut, group).filter(F.col(order[0]) < F.col("_cut")).drop("_cut")
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return few.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
 def background(train: DataFrame, covs: DataFrame | None = None) -> DataFrame:
