@@ -23,6 +23,19 @@ def s_01(spark, sf):
     return rounded(readers.read_single(spark, path).drop("row_id"))
 
 
+@register(
+    "s_01_single_folder",
+    "ev_hour",
+    sql="""SELECT 'Timeseries' AS ts_id, 'Timeseries' AS id, ts, round(value, 4) AS value, row_number() OVER (ORDER BY ts) - 1 AS row_id
+        FROM ev_hour WHERE ts_id = 'click'""",
+)
+def s_01_folder(spark, sf):
+    """A series in several files, in their order: rows are numbered along all of them."""
+    one = ev_hour(spark, sf).filter("ts_id = 'click'").repartitionByRange(5, "ts").sortWithinPartitions("ts")
+    path = as_csv(spark, one.select(F.date_format("ts", TS).alias("Datetime"), F.col("value").alias("Value")), "folder")
+    return rounded(readers.read_single(spark, path, exact=True))
+
+
 @register(
     "s_02_read_long",
     "ev_multi",

@@ -6,7 +6,7 @@ typed afterwards (``typed``). Reading never infers a schema from the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .layouts import default_ts_id, parse_ts, parse_value, time_columns
@@ -28,25 +28,39 @@ def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     return ["" if n == f"_c{i}" else n for i, n in enumerate(names)]
 
 
-def raw_single(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Text of a single series file: the first column is the time, the second one the value.
+def placed(df: DataFrame) -> DataFrame:
+    """A file scan with ``_file``, ``_block`` (offset of the block) and ``_at``, which counts up along the rows of a block."""
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": at})
+
+
+def numbered(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """A file scan with its rows numbered 0, 1, ... along the files in the order of their paths.
+
+    Rows are counted by block and the counts of the blocks before are added, so what one task sees is a row for each block of
+    the input, never the rows. The files are read twice.
+    """
+    d = placed(df)
+    blocks = d.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    files = blocks.groupBy("_file").agg(F.sum("_n").alias("_all"))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    files = files.select("_file", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before"))
+    blocks = blocks.withColumn("_inside", F.coalesce(F.sum("_n").over(in_file), F.lit(0))).drop("_n").join(files, "_file")
+    row = F.col("_before") + F.col("_inside") + F.col("_at") - F.col("_first")
+    return d.join(blocks, ["_file", "_block"]).withColumn(name, row).drop("_file", "_block", "_at", "_before", "_inside", "_first")
+
+
+def raw_single(spark: SparkSession, path: str, sep: str = ",", exact: bool = False) -> DataFrame:
+    """Text of a single series: the first column is the time, the second one the value.
 
     ``row_id`` follows the file: rows of a block count up from the offset of the block, and no row is shorter
-    than one byte. A series stored as several files should carry an index column and be read as a long file.
+    than one byte. With ``exact`` rows are numbered 0, 1, ... without gaps, also along a folder of several files
+    (see :func:`numbered`).
     """
     df = _csv(spark, path, sep).schema("raw_ts string, raw_value string").csv(path)
-    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return df.select(
-        F.col("raw_ts"),
-        F.col("raw_value"),
-        (F.col("_metadata.file_block_start") + at).alias("_row"),
-    ).select(
-        F.col("_row").alias("row_id"),
-        F.lit(SINGLE_NAME).alias("ts_id"),
-        F.lit(SINGLE_NAME).alias("id"),
-        "raw_ts",
-        "raw_value",
-    )
+    df = numbered(df) if exact else placed(df).withColumn("row_id", F.col("_block") + F.col("_at"))
+    return df.select("row_id", F.lit(SINGLE_NAME).alias("ts_id"), F.lit(SINGLE_NAME).alias("id"), "raw_ts", "raw_value")
 
 
 def raw_indexed(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -96,8 +110,8 @@ def typed(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_single(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    return typed(raw_single(spark, path, sep))
+def read_single(spark: SparkSession, path: str, sep: str = ",", exact: bool = False) -> DataFrame:
+    return typed(raw_single(spark, path, sep, exact))
 
 
 def read_long(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
