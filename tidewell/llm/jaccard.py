@@ -7,7 +7,9 @@ shorter text is one shingle, a text without words has none and links with nothin
 1. Equal sets become one class, so copies cost one row each and meet nobody. A class is named by a hash of its set, for
    an id may hold several texts.
 2. One order of all shingles, hashes with the corpus's most frequent shingles last, gives each class a prefix: texts that
-   link share a shingle of both prefixes. Classes that share one are a group; groups with equal members count once.
+   link share a shingle of both prefixes. Classes that share one are a group; groups with equal members count once. Above
+   50 percent different sets that link share two shingles, and prefixes longer by one hold two of them; so two classes that
+   are alone in their only group don't link, and nothing of them is moved any more.
 3. A group's classes are leaves of trees, by size. A node holds the OR of its classes' bitmaps, their range of sizes and
    the most shingles that a bitmap hides. A dual traversal drops pairs of nodes whose sizes or largest possible overlap
    don't allow a link, and pairs of leaves that are connected already. What is left is a spanning forest of possible links.
@@ -144,7 +146,7 @@ def signatures(n: int, percent: int, frequent: np.ndarray):
                 b = np.zeros(width, bool)
                 b[(s & U(width - 1)).astype(np.int64)] = True
                 bits.append(np.packbits(b, bitorder="little").tobytes())
-                p = len(s) - needed(len(s), percent) + 1 if len(s) else 0
+                p = len(s) - needed(len(s), percent) + (2 if percent > 50 else 1) if len(s) else 0
                 prefixes.append(np.concatenate([s[~own][:p], s[own]])[:p].view(np.int64))
             size = pa.array(np.fromiter(map(len, sets), np.int64, len(sets)))
             out = [batch.column("id"), size, pa.array(kinds, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
@@ -403,12 +405,14 @@ def near_texts(
     posts = posts.repartition("h").dropDuplicates(["class", "h"])  # one exchange, read by the count and by the join
     groups = posts.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("class")).alias("members"), F.min("class").alias("lead"))
     shared = stored(posts.join(groups.where("m > 1"), "h"), "shared")
-    one = shared.select("h", "m", "members", "lead").distinct().groupBy("m", "members", "lead").agg(F.min("h").alias("h"))
+    one = shared.select("h", "m", "members", "lead").distinct().groupBy("m", "members", "lead").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("times"))
+    if percent > 50:  # two sets that meet alone and once can't link
+        one = one.where("m > 2 OR times > 1")
     many = F.sum("m").over(W.partitionBy("lead"))  # posts of all groups of a lead, a row a group
     one = one.withColumn("parts", F.ceil(many / (4 * CELL_ROWS)))
     one = stored(one.select("h", F.pmod(F.xxhash64("h"), "parts").alias("part")), "groups")
-    posts = shared.select("class", "h", "m", "lead").join(one, "h")
-    met = first.join(shared.select("class").distinct(), "class", "left_semi").select("class", "n", "bits")
+    posts = stored(shared.select("class", "h", "m", "lead").join(one, "h"), "kept")
+    met = first.join(posts.select("class").distinct(), "class", "left_semi").select("class", "n", "bits")
     met = stored(met.dropDuplicates(["class"]), "met")
     posts = posts.withColumn("blocks", F.ceil(F.col("m") / GROUP).cast("int"))
     posts = posts.withColumn("blk", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
