@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidewell.durable import stored
-from tidewell.models import features, joint, scenario, trees
+from tidewell.models import features, joint, paths, scenario, trees
 from tidewell.models.linear import FixedLinear
 from tidewell.operators import prep
 from tidewell.plans import backtest, shapley
@@ -156,6 +156,20 @@ def m_07_fixed(spark, sf):
     return rounded(trees.predict_recursive(FixedLinear(FIXED, [1, 24]), known, "1h", 30), "yhat", digits=3)
 
 
+WALK = f"""WITH RECURSIVE s AS (SELECT ts_id, id, max(ts) AS t0, arg_max(value, ts) AS y FROM ev_fill WHERE ts < {START_SQL} GROUP BY 1, 2),
+    p AS (SELECT ts_id, id, t0, 0 AS step, y FROM s UNION ALL SELECT ts_id, id, t0, step + 1, 5 + 0.9::DOUBLE * y + length(ts_id) FROM p WHERE step < 12)
+    SELECT ts_id, id, t0 + INTERVAL 1 HOUR AS origin, step, t0 + to_hours(step) AS ts, round(y, 3) AS q_10, round(y, 3) AS q_90 FROM p WHERE step > 0"""
+
+
+@register("m_10_recursive_paths", "ev_fill", sql=WALK)
+def m_10_recursive(spark, sf):
+    """Paths with residuals inside the recursion; all residuals of a component are equal, so its paths are known."""
+    known = ev_stored(spark, sf).filter(F.col("ts") < F.lit("2024-01-22").cast("timestamp_ntz"))
+    e = known.select("ts_id", "id", "ts", F.length("ts_id").cast("double").alias("e"))
+    drawn = paths.recursive_paths(FixedLinear({"": 5.0, "lag_1": 0.9}, 1), known, e, "1h", 12, 7, seed=2)
+    return rounded(paths.quantiles(drawn, [0.1, 0.9]), "q_10", "q_90", digits=3)
+
+
 # --- scenarios
 
 SCENE = {"": 0.05, "lag_1": 0.4, "lag_24": 0.3, "t_lag_1": 0.1, "u_lead_0": 0.2}

@@ -9,7 +9,7 @@ import pytest
 from helpers import HOUR, at, frame
 from pyspark.sql import functions as F
 
-from tidewell.models import joint, scenario, trees
+from tidewell.models import joint, paths, scenario, trees
 from tidewell.models.linear import FixedLinear
 from tidewell.operators import prep
 from tidewell.plans import shapley
@@ -184,3 +184,17 @@ def test_linear_values(spark):
     rows = spark.createDataFrame([("r", 3.0, 5.0, 1.0)], "row_key string, lag_1 double, lag_2 double, step double")
     got = {r["feature"]: r["attribution"] for r in shapley.attribute_exact(model, rows, model.inputs, {"lag_1": 1.0, "lag_2": 1.0, "step": 1.0}).collect()}
     assert got == {"lag_1": 4.0, "lag_2": -4.0, "step": 0.0}
+
+
+def test_paths_inside_the_recursion_widen(spark):
+    d = series(spark, {"x": [float(i % 2) for i in range(50)], "y": [1.0, None]}).unionByName(series(spark, {"z": [1.0, 2.0]}, "no_residuals"))
+    e = d.filter("id = 'x'").select("ts_id", "id", "ts", (F.col("value") * 2 - 1).alias("e"))  # +1 and -1 as often
+    walk = FixedLinear({"lag_1": 1.0}, 1)
+    drawn = paths.recursive_paths(walk, d, e, HOUR, 25, 200, seed=4)
+    q = {r["step"]: r["q_90"] - r["q_10"] for r in paths.quantiles(drawn.filter("id = 'x'"), [0.1, 0.9]).collect()}
+    assert q[1] == 2 and 2 < q[4] < q[25]
+    ends = [r["yhat"] for r in drawn.filter("id = 'x' and step = 25").collect()]
+    assert len(ends) == 200 and 4 < np.std(ends) < 6.2  # the square root of 25
+    assert sorted(map(tuple, drawn.filter("id = 'x'").collect())) == sorted(map(tuple, paths.recursive_paths(walk, d, e, HOUR, 25, 200, seed=4).filter("id = 'x'").collect()))
+    lost = drawn.filter("id <> 'x'").groupBy("ts_id", "id").agg(F.count(F.lit(1)).alias("n"), F.count("yhat").alias("k")).collect()
+    assert {(r["ts_id"], r["id"], r["n"], r["k"]) for r in lost} == {("a", "y", 5000, 0), ("no_residuals", "z", 5000, 0)}

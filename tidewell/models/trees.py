@@ -91,6 +91,33 @@ def covariate_features(model: LagModel, covs: DataFrame, res: int) -> DataFrame:
     return lag_features(every.withColumn("id", F.lit("")), res, [], model.past, model.future).select("ts_id", "ts", *names)
 
 
+def rounds(model: LagModel, state: DataFrame, kept: list[str], res: int, n: int, extra: DataFrame | None = None, shocks: str | None = None) -> DataFrame:
+    """The recursion itself: from (keys, ``last_ts``, ``hist``) and ``kept`` columns to the same with ``path``, an array of ``n`` values or
+    somewhat more. ``extra`` holds covariate features; ``shocks`` names an array column that is added to the forecasts, step by step,
+    before they are fed back. The keys and the kept columns other than ``shocks`` tell rows of the state apart.
+    """
+    h, longest = model.horizon, max(model.lags)
+    keys = [*KEYS, "last_ts", *[c for c in kept if c != shocks]]
+    more = ["hist", "path", *([shocks] if shocks else [])]
+    state = settle(state.select(*keys, *more[:1], F.expr("cast(array() as array<double>)").alias("path"), *more[2:]))
+    for i in range(-(-n // h)):
+        now = state
+        if extra is not None:
+            now = state.withColumn("ts", shift("last_ts", (i * h + 1) * res)).join(extra, ["ts_id", "ts"], "left").drop("ts")
+        rows = now.withColumns({f"lag_{k}": F.element_at("hist", -k) for k in model.lags}).withColumn(
+            "step", F.explode(F.array(*[F.lit(float(i + 1)) for i in range(h)]))
+        )
+        rows = model.predict(rows)
+        if shocks:
+            rows = rows.withColumn("yhat", F.col("yhat") + F.get(shocks, F.lit(i * h) + F.col("step").cast("int") - 1))
+        chunk = rows.groupBy(*keys).agg(
+            *[F.first(c).alias(c) for c in more], F.sort_array(F.collect_list(F.struct("step", "yhat")))["yhat"].alias("_c")
+        )
+        new = {"hist": F.slice(F.concat("hist", "_c"), -longest, longest), "path": F.concat("path", "_c")}
+        state = settle(chunk.select(*keys, *[new.get(c, F.col(c)).alias(c) for c in more]))
+    return state
+
+
 def predict_recursive(
     model: LagModel, df: DataFrame, res: int | str, n: int, origin_rows: DataFrame | None = None, covs: DataFrame | None = None
 ) -> DataFrame:
@@ -104,38 +131,12 @@ def predict_recursive(
     round ends in a reliable checkpoint, which keeps the plan short. Components whose last values are too few or
     missing get NULL forecasts with a ``reason``.
     """
-    res, h = seconds(res), model.horizon
-    longest = max(model.lags)
+    res, longest = seconds(res), max(model.lags)
     if model.covariates and covs is None:
         raise ValueError(f"covariates are needed: {', '.join(model.covariates)}")
     known = last_values(df, res, longest) if origin_rows is None else histories(df, res, longest, origin_rows)
     extra = stored(covariate_features(model, covs, res), "covariates") if model.covariates else None
-    state = known.filter("reason is null")
-    state = settle(state.select(*KEYS, "last_ts", "hist", F.expr("cast(array() as array<double>)").alias("path")))
-    for i in range(-(-n // h)):
-        now = state
-        if extra is not None:
-            now = state.withColumn("ts", shift("last_ts", (i * h + 1) * res)).join(extra, ["ts_id", "ts"], "left").drop("ts")
-        rows = now.withColumns({f"lag_{k}": F.element_at("hist", -k) for k in model.lags}).withColumn(
-            "step", F.explode(F.array(*[F.lit(float(i + 1)) for i in range(h)]))
-        )
-        chunk = (
-            model.predict(rows)
-            .groupBy(*KEYS, "last_ts")
-            .agg(
-                F.first("hist").alias("hist"),
-                F.first("path").alias("path"),
-                F.sort_array(F.collect_list(F.struct("step", "yhat")))["yhat"].alias("_c"),
-            )
-        )
-        state = settle(
-            chunk.select(
-                *KEYS,
-                "last_ts",
-                F.slice(F.concat("hist", "_c"), -longest, longest).alias("hist"),
-                F.concat("path", "_c").alias("path"),
-            )
-        )
+    state = rounds(model, known.filter("reason is null").select(*KEYS, "last_ts", "hist"), [], res, n, extra)
     out = state.select(*KEYS, "last_ts", F.posexplode(F.slice("path", 1, n)).alias("_i", "yhat"))
     out = out.withColumn("reason", F.when(F.col("yhat").isNull(), "covariates"))
     return with_steps(out.unionByName(without_forecast(known, n)), res)
