@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEXICON_WORDS, Lexicon, blocks, documents, fold, hashed_sample, in_task, ragged, release, schema, sums, text_of, texts, texts_for, tidy, with_rows
+from .common import LEXICON_WORDS, Lexicon, blocks, documents, fold, hashed_sample, in_task, ragged, schema, sums, text_of, texts, texts_for, tidy, with_rows
 
 FOLDS = 5
 EDGES = b".,;:!?\"'()[]{}|*#$%&<>/\\-_"
