@@ -1,8 +1,10 @@
 """Operators on texts: odd rows, empty tables, and brute force on small tables."""
 
+import base64
 import collections
 import math
 import random
+import string
 import zlib
 
 import numpy as np
@@ -190,6 +192,54 @@ def test_quality_measures_and_bands(spark):
     assert got[1]["kept"] and not got[2]["in_bands"] and not got[3]["in_bands"]
 
 
+GARBAGE = {
+    "letters": lambda rng, n: "".join(rng.choice(string.ascii_lowercase) for _ in range(n)),
+    "hex": lambda rng, n: "".join(rng.choice("0123456789abcdef") for _ in range(n)),
+    "digits": lambda rng, n: "".join(rng.choice(string.digits) for _ in range(n)),
+    "base64": lambda rng, n: base64.b64encode(rng.randbytes(n)).decode(),
+    "broken": lambda rng, n: rng.choice(["größe", "être", "über", "élève", "déjà", "ça", "año"]).encode().decode("latin1") + str(rng.randrange(9)),
+}
+
+
+def test_quality_rejects_strings_without_language(spark):
+    """Random and wrongly decoded strings go, clean texts of every language stay."""
+    rng = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    bad = [(-1 - i, " ".join(make(rng, rng.randint(3, 12)) for _ in range(200)), kind) for i, (kind, make) in enumerate(GARBAGE.items())]
+    got = rows(fertility.quality(docs.union(spark.createDataFrame(bad, docs.schema)), BYTE, PIECE))
+    assert {r["doc_id"] for r in got if r["doc_id"] < 0 and r["in_bands"]} == set()
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    own = collections.defaultdict(list)
+    for r in got:
+        if r["doc_id"] >= 0 and not r["base_failed"]:
+            own[lang[r["doc_id"]]].append(r["kept"])
+    assert len(own) >= 4 and all(sum(k) >= 0.97 * len(k) for k in own.values())
+
+
+def test_quality_bands_equal_counts_by_hand(spark):
+    """Learned bands against quantiles of sorted values."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = [r for r in rows(fertility.quality(docs, BYTE, PIECE)) if not r["base_failed"]]
+    cells = collections.defaultdict(list)
+    for r in got:
+        cells[r["script"], r["n_words"].bit_length()].append(r)
+    for own in cells.values():
+        want, n = [True] * len(own), len(own)
+        for m, (slack, *judged) in fertility.MEASURES.items():
+            v = sorted(math.floor(min(r[m], fertility.TOP) / fertility.STEP) for r in own)
+            low, mid, high = (v[max(1, math.ceil(n * q)) - 1] for q in (fertility.TAIL_SHARE, 0.5, 1 - fertility.TAIL_SHARE))
+            k = fertility.MARGIN + fertility.FEW / n
+            for i, r in enumerate(own):
+                if "low" in judged:
+                    want[i] &= r[m] >= (low - k * (mid - low)) * fertility.STEP - slack
+                if "high" in judged:
+                    want[i] &= r[m] <= (high + 1 + k * (high - mid)) * fertility.STEP + slack or r[m] >= fertility.TOP
+        for i, r in enumerate(own):
+            least, most, share, bits, piece = fertility.BANDS[r["script"]]
+            fixed = least <= r["chars_per_token"] <= most and r["byte_share"] <= share and r["entropy"] >= bits and r["chars_per_piece"] >= piece
+            assert r["in_bands"] == (fixed and want[i])
+
+
 # --- packing
 
 

@@ -3,12 +3,20 @@
 Measured for each text, word by word (words are runs without ASCII white space):
 
 * characters per token of a byte-level vocabulary: low for random strings, high for long runs of one symbol;
-* the share of byte-fallback pieces of a vocabulary with byte fallback: high for broken or unusual characters;
-* the entropy of the text's token ids in bits: low for a few tokens said over and over.
+* characters per piece of a vocabulary with byte fallback: low for digits, hex, base64 and broken encodings;
+* the share of its byte-fallback pieces: high for broken or unusual characters;
+* the entropy of the text's token ids in bits: low for a few tokens said over and over, high for random ones.
 
-Each measure has a band for the script of most of the text's letters; a text outside one of its bands is rejected. A
+Each measure has bands for the script of most of the text's letters; a text outside one of its bands is rejected. A
 text without letters has the script ``none``. Tokens of a word are found once for each distinct word of a task.
 
+Bands are learned from all rows that pass the base rules, by script and size class (the whole logarithm of the number of
+words to base 2, for entropy and spread depend on it): from the median to the ``TAIL_SHARE`` and 1 - ``TAIL_SHARE``
+quantiles, and beyond them by (``MARGIN`` + ``FEW`` / rows of the class) of that distance plus a fixed ``SLACK``. So a
+class of few rows has wide bands, and a row that is alone is inside. Quantiles come from counts of values in steps of
+``STEP`` up to ``TOP``, which add up exactly in any order. ``BANDS`` are limits that hold whatever the rows say: bad texts
+that make up more than ``TAIL_SHARE`` of a class widen its learned bands.
+
 Null and empty texts have no words: they fail the base rules (fewer than ``MIN_WORDS`` words), are rejected, and their
 measures are null. Repeated rows are judged one by one; other columns are ignored.
 """
@@ -20,8 +28,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from tidewell.durable import stored
 
 from .common import LEXICON_WORDS, Lexicon, blocks, documents, ragged, schema, sums, texts, tidy
 from .pieces import load, vocabulary
@@ -29,20 +40,30 @@ from .pieces import load, vocabulary
 MIN_WORDS = 20
 SPAN = 8
 SYMBOLS = frozenset(b"#*$%&|<>")
-# Script -> (fewest, most) characters per token, largest byte-fallback share, least entropy in bits.
+# Script -> (fewest, most) characters per token, largest byte-fallback share, least entropy in bits, fewest
+# characters per piece.
 BANDS = {
-    "latin": (1.2, 12.0, 0.25, 2.5),
-    "cyrillic": (0.5, 8.0, 0.25, 2.5),
-    "greek": (0.4, 8.0, 0.5, 2.5),
-    "arabic": (0.4, 8.0, 0.5, 2.5),
-    "hebrew": (0.4, 8.0, 0.5, 2.5),
-    "devanagari": (0.3, 8.0, 0.7, 2.5),
-    "cjk": (0.3, 8.0, 0.7, 2.5),
-    "hiragana": (0.3, 8.0, 0.7, 2.5),
-    "katakana": (0.3, 8.0, 0.7, 2.5),
-    "hangul": (0.3, 8.0, 0.8, 2.5),
-    "other": (0.2, 12.0, 1.0, 2.5),
-    "none": (0.8, 12.0, 0.5, 2.5),
+    "latin": (1.2, 12.0, 0.25, 2.5, 1.25),
+    "cyrillic": (0.5, 8.0, 0.25, 2.5, 1.0),
+    "greek": (0.4, 8.0, 0.5, 2.5, 0.3),
+    "arabic": (0.4, 8.0, 0.5, 2.5, 0.3),
+    "hebrew": (0.4, 8.0, 0.5, 2.5, 0.3),
+    "devanagari": (0.3, 8.0, 0.7, 2.5, 0.3),
+    "cjk": (0.3, 8.0, 0.7, 2.5, 0.3),
+    "hiragana": (0.3, 8.0, 0.7, 2.5, 0.3),
+    "katakana": (0.3, 8.0, 0.7, 2.5, 0.3),
+    "hangul": (0.3, 8.0, 0.8, 2.5, 0.3),
+    "other": (0.2, 12.0, 1.0, 2.5, 0.3),
+    "none": (0.8, 12.0, 0.5, 2.5, 1.25),
+}
+TAIL_SHARE, MARGIN, FEW = 0.05, 1.0, 20.0
+STEP, TOP = 0.01, 20.0
+# measure -> slack, which of its sides are judged
+MEASURES = {
+    "chars_per_token": (0.05, "low", "high"),
+    "chars_per_piece": (0.05, "low"),
+    "byte_share": (0.05, "high"),
+    "entropy": (0.1, "low", "high"),
 }
 SCRIPTS = list(BANDS)
 _script_of: dict[str, int] = {}
@@ -155,11 +176,12 @@ def entropy(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 COLUMNS = {
     "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long",
-    "script": "string", "chars_per_token": "double", "byte_share": "double", "entropy": "double", "in_bands": "boolean",
+    "script": "string", "chars_per_token": "double", "chars_per_piece": "double", "byte_share": "double", "entropy": "double",
+    "in_limits": "boolean",
 }
 
 
-def measure(byte_level: str, fallback: str, bands: dict[str, tuple[float, float, float, float]]):
+def measure(byte_level: str, fallback: str, bands: dict[str, tuple[float, ...]]):
     limits = np.array([bands.get(s, bands["other"]) for s in SCRIPTS])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,18 +196,55 @@ def measure(byte_level: str, fallback: str, bands: dict[str, tuple[float, float,
             kind = np.where(letters.sum(1) > 0, letters.argmax(1), SCRIPTS.index("none"))
             ids = words.ids[ragged(words.starts[codes], words.lengths[codes])]
             per_token = total[:, 0] / np.maximum(tokens, 1)
+            per_piece = total[:, 0] / np.maximum(total[:, 2], 1)
             share, bits = total[:, 3] / np.maximum(total[:, 2], 1), entropy(ids, tokens)
-            least, most, bytes_most, bits_least = limits[kind].T
-            good = (per_token >= least) & (per_token <= most) & (share <= bytes_most) & (bits >= bits_least) & (sizes > 0)
+            least, most, bytes_most, bits_least, piece_least = limits[kind].T
+            good = (per_token >= least) & (per_token <= most) & (per_piece >= piece_least) & (sizes > 0)
+            good &= (share <= bytes_most) & (bits >= bits_least)
             none = sizes == 0
             out = [sizes, total[:, 0], total[:, 1], np.fromiter(map(repeated_lines, own), np.int64, len(own)),
                    repeated_words(codes, sizes), np.array(SCRIPTS, dtype=object)[kind]]
-            out = [pa.array(x) for x in out] + [pa.array(x, mask=none) for x in (per_token, share, bits)] + [pa.array(good)]
+            out = [pa.array(x) for x in out] + [pa.array(x, mask=none) for x in (per_token, per_piece, share, bits)] + [pa.array(good)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *out], ["id", *COLUMNS])
 
     return tidy(run)
 
 
+def learned(measured: DataFrame) -> DataFrame:
+    """(of_script, of_size, <measure>_low, <measure>_high, ...): bands of each script and size class, some hundred rows."""
+    bins = F.array(*(F.struct(F.lit(m).alias("m"), F.floor(F.least(F.col(m), F.lit(TOP)) / STEP).alias("bin")) for m in MEASURES))
+    counts = measured.select("script", "size_class", F.inline(bins)).groupBy("script", "size_class", "m", "bin").agg(F.count(F.lit(1)).alias("n"))
+    group = W.partitionBy("script", "size_class", "m")  # TOP / STEP rows at most
+    counts = counts.withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "all": F.sum("n").over(group)})
+
+    def quantile(q: float):
+        return F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("bin")))
+
+    cells = counts.groupBy("script", "size_class", "m").agg(
+        quantile(TAIL_SHARE).alias("low"), quantile(0.5).alias("mid"), quantile(1 - TAIL_SHARE).alias("high"), F.max("all").alias("rows")
+    )
+    out = F.lit(MARGIN) + F.lit(FEW) / F.col("rows")
+    low = (F.col("low") - out * (F.col("mid") - F.col("low"))) * STEP
+    high = (F.col("high") + 1 + out * (F.col("high") - F.col("mid"))) * STEP
+    sides = []
+    for m, (slack, *judged) in MEASURES.items():
+        for side, limit in (("low", low - slack), ("high", high + slack)):
+            if side in judged:
+                sides.append(F.max(F.when(F.col("m") == m, limit)).alias(f"{m}_{side}"))
+    return cells.groupBy(F.col("script").alias("of_script"), F.col("size_class").alias("of_size")).agg(*sides)
+
+
+def inside() -> Column:
+    """Whether the measures lie in the bands joined to their row."""
+    out = F.lit(True)
+    for m, (_, *judged) in MEASURES.items():
+        if "low" in judged:
+            out &= F.col(m) >= F.col(f"{m}_low")
+        if "high" in judged:
+            out &= (F.col(m) <= F.col(f"{m}_high")) | (F.col(m) >= TOP)  # beyond TOP only the fixed limits judge
+    return out
+
+
 def quality(
     docs: DataFrame,
     byte_level: str,
@@ -193,15 +252,22 @@ def quality(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    bands: dict[str, tuple[float, float, float, float]] = BANDS,
+    bands: dict[str, tuple[float, ...]] = BANDS,
     min_words: int = MIN_WORDS,
     max_repeat_percent: int = 30,
 ) -> DataFrame:
-    """Counts, measures, ``base_failed`` and ``kept`` for each row."""
+    """Counts, measures, ``base_failed``, ``in_bands`` and ``kept`` for each row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(measure(byte_level, fallback, dict(bands)), schema(docs.schema[id_col].dataType, **COLUMNS))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & F.col("in_bands"))
+    size = F.floor(F.log2(F.greatest("n_words", F.lit(1)).cast("double"))).cast("int")
+    out = stored(out.withColumns({"base_failed": failed, "size_class": size}), "measures")
+    limits = learned(out.where("NOT base_failed"))
+    same = (F.col("script") == F.col("of_script")) & (F.col("size_class") == F.col("of_size"))
+    own = out.join(F.broadcast(limits), same, "left")  # a row a script and size class
+    ok = F.col("in_limits") & F.coalesce(inside(), F.lit(True))  # no bands: no row of the class passed the base rules
+    out = own.select(*out.columns, ok.alias("in_bands")).drop("size_class", "in_limits")
+    out = out.withColumn("kept", ~F.col("base_failed") & F.col("in_bands"))
     return out.withColumnRenamed("id", id_col)
 
 
