@@ -8,6 +8,7 @@ import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -332,7 +333,7 @@ def test_probabilities_add_up():
 
 def test_lm_base_and_model(docs, odd):
     for d in (docs, odd):
-        got = lm.likelihood(d, fold("doc_id", 7) == 2, steps=60).collect()
+        got = lm.likelihood(d, fold("doc_id", 7) == 2, rounds=2).collect()
         source = d.select("doc_id", "text").collect()
         count = collections.Counter()
         for r in source:
@@ -350,6 +351,44 @@ def test_lm_base_and_model(docs, odd):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_weights_are_averaged_by_tokens():
+    net = lm.Network([5, 4, 3], [1] * lm.TAIL, seed=3)
+    a, b = net.flat(), np.arange(len(net.flat()), dtype=np.float32)
+    found = pa.table({"task": pa.array([7, 2], pa.int32()), "tokens": [30, 10], "weights": pa.array([a.tobytes(), b.tobytes()], pa.binary())})
+    got = lm.averaged(found)
+    assert got.column("tokens").to_pylist() == [40]
+    mean = np.frombuffer(got.column("weights")[0].as_py(), np.float32)
+    assert np.allclose(mean, 0.75 * a + 0.25 * b, atol=1e-3)
+    net.set_flat(a)
+    assert (net.flat() == a).all()
+
+
+def test_lm_takes_long_texts_and_grows_with_rows(spark):
+    """Whole long texts train the network; what it sees is a share of all training tokens."""
+    rng = random.Random(3)
+    made = [(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randint(1, 60)))) for i in range(400)]
+    made.append((1000, " ".join(rng.choice("abcdefgh") * 3 for _ in range(30_000))))
+    d = spark.createDataFrame(made, "id long, text string").withColumn("held_out", F.lit(False))
+    heads = {c.encode() * 3: i + 1 for i, c in enumerate("abcdefgh")}
+    all_tokens = sum(len(t.split()) + 1 for _, t in made)
+    for long_only in (False, True):
+        own = d.where("id = 1000") if long_only else d
+        net = lm.Network([400] + [500] * 8, [0] * lm.TAIL, 1)
+        seen = own.select("text").mapInArrow(lm.learner(net, heads, 4, 1.0), lm.WEIGHTS).agg(F.sum("tokens")).first()[0]
+        assert seen == (30_001 if long_only else all_tokens)
+    net = lm.Network([400] + [500] * 8, [0] * lm.TAIL, 9)
+    start = net.flat()
+    assert (lm.train(d, heads, [400] + [500] * 8, [0] * lm.TAIL, 1.0, 2, 4, 9).flat() != start).mean() > 0.1
+    again = [lm.train(d, heads, [400] + [500] * 8, [0] * lm.TAIL, 1.0, 2, 4, 9).flat() for _ in range(2)]
+    assert (again[0] == again[1]).all()
+
+
+def test_lm_learns_more_from_a_larger_share(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    score = [lm.likelihood(docs, fold("doc_id", 7) == 2, share=s).where("held_out").agg(F.sum("score")).first()[0] for s in (0.1, 1.0)]
+    assert score[0] < score[1]
+
+
 # --- sharding
 
 
