@@ -1,10 +1,12 @@
 """Repeats of 50 bytes against every window in plain Python, and maximal repeats against all pairs of places."""
 
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import frame
@@ -139,3 +141,37 @@ def test_unstable_input_raises(spark):
         import pyarrow as pa
 
         R.without(pa.table({"chunk": [1], "blob": [b""]}), pa.table({"chunk": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())}))
+
+
+def cell_of_copies(n):
+    """All contexts of n texts, dealt to one cell: copies with a word of their own."""
+    rng = random.Random(5)
+    words = [f"word{rng.randint(0, 10**6)}" for _ in range(120)]
+    texts = [" ".join([*words[: i % 119], f"own{i}", *words[i % 119 :]]) for i in range(n)]
+    [(name, blob, _)] = R.chunked([pa.RecordBatch.from_pydict({"id": pa.array(range(n), pa.int64()), "text": pa.array(texts)})])
+    none = pa.table({"bucket": pa.array([], pa.int64()), "bits": pa.array([], pa.binary())})
+    return R.contexts(1, 1)(pa.table({"chunk": [name], "blob": pa.array([blob], pa.binary())}), none)
+
+
+def test_groups_come_in_bounded_portions(monkeypatch):
+    """However many occurrences the groups of a cell have, a bounded number is listed at a time, and each once."""
+    cell = cell_of_copies(40)
+
+    def found():
+        spans = R.spans(cell).to_pylist()
+        return sorted(tuple(r.values()) for r in R.listed(cell).to_pylist()), [[x.tolist() for x in R.unpack(r["spans"])] for r in spans if r["spans"]]
+
+    whole = found()
+    monkeypatch.setattr(R, "PLACES", 100)
+    sizes = [len(g[1]) for g in R.groups_of(cell)]
+    assert len(sizes) > 10 and max(sizes) <= 100 + 2 * 40  # a portion ends with the suffix that fills it
+    assert found() == whole
+
+
+def test_memory_of_a_cell_of_copies():
+    cell = cell_of_copies(3_000)
+    tracemalloc.start()
+    R.spans(cell)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6

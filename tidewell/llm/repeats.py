@@ -43,7 +43,8 @@ SPAN, GRAM = 50, 20
 REACH = SPAN - GRAM + 1  # grams of a window; also the most windows that share an anchor
 WIDEST = 80  # bytes of the longest context, SPAN + REACH - 1
 CHUNK, PIECE = 8 << 20, 1 << 19
-PER_BUCKET, PER_CELL, HOT, BATCH = 1 << 20, 1 << 21, 50_000, 1 << 15
+PER_BUCKET, PER_CELL, HOT, BATCH = 1 << 20, 1 << 21, 50_000, 1 << 13
+PLACES = 1 << 19  # occurrences of groups that a cell lists at once
 NONE = np.iinfo(np.int64).max
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 PLACE = np.uint64((1 << 24) - 1)
@@ -304,15 +305,30 @@ def union(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     """Runs of bytes covered by spans; spans that touch are one run."""
     order = np.lexsort((start, text))
     text, start, end = text[order].astype(np.int64), start[order].astype(np.int64), end[order].astype(np.int64)
-    upto = np.maximum.accumulate((text << 40) + end)
-    new = np.concatenate([np.ones(min(1, len(text)), bool), ((text << 40) + start)[1:] > upto[:-1]])
+    upto = np.maximum.accumulate((text << 32) + end)
+    new = np.concatenate([np.ones(min(1, len(text)), bool), ((text << 32) + start)[1:] > upto[:-1]])
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(text)) - 1 if len(at) else at
-    return text[at], start[at], upto[last] & ((1 << 40) - 1)
+    return text[at], start[at], upto[last] & ((1 << 32) - 1)
+
+
+def portions(first: np.ndarray, end: np.ndarray, upto: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, first suffix, one past the last) of groups or parts of them, about ``PLACES`` occurrences at a time.
+
+    ``upto`` has the number of occurrences of all suffixes before each one.
+    """
+    parts = np.maximum(1, -(-(upto[end] - upto[first]) // PLACES))
+    group = np.repeat(np.arange(len(first)), parts)
+    begin = np.searchsorted(upto, upto[first][group] + ragged(np.zeros(len(first), np.int64), parts) * PLACES)
+    stop = np.append(begin[1:], 0)
+    stop[np.cumsum(parts) - 1] = end
+    size = upto[stop] - upto[begin]
+    for i, j in slices((np.cumsum(size) - size) // PLACES):
+        yield group[i:j], begin[i:j], stop[i:j]
 
 
 def groups_of(table: pa.Table) -> Iterator[tuple]:
-    """For each batch of a cell: (groups as (first, last, length, smallest id), what their suffixes are, contexts, places)."""
+    """For each portion of a batch of a cell: (groups as (first, last, length, smallest id), what their suffixes are, contexts, places)."""
     rows = [(c, unpack(b)) for c, b in zip(table.column("chunk").to_pylist(), table.column("contexts").to_pylist(), strict=True) if b]
     if not rows:
         return
@@ -346,24 +362,33 @@ def groups_of(table: pa.Table) -> Iterator[tuple]:
         whole = np.flatnonzero((offset == 0) & (low < high)[context])  # equal contexts are intervals of their own
         same = zip(whole.tolist(), whole.tolist(), tail[whole].tolist(), low[context[whole]].tolist(), strict=True)
         nodes = np.array([*intervals(shared, low[context], high[context], before), *same], np.int64).reshape(-1, 4)
-        covered = ragged(nodes[:, 0], nodes[:, 1] - nodes[:, 0] + 1)
-        node = np.repeat(np.arange(len(nodes)), nodes[:, 1] - nodes[:, 0] + 1)
-        c = context[covered]
-        place = at[ragged(heads[c], n[c])]
-        node, shift = np.repeat(node, n[c]), np.repeat(offset[covered], n[c])
-        yield nodes, node, found, context, offset, chunk[place], text[place], start[place] + shift, ids[place]
+        occurrences = np.concatenate([[0], np.cumsum(n[context])])
+        for group, a, b in portions(nodes[:, 0], nodes[:, 1] + 1, occurrences):
+            covered = ragged(a, b - a)
+            c = context[covered]
+            place = at[ragged(heads[c], n[c])]
+            node, shift = np.repeat(np.repeat(group - group[0], b - a), n[c]), np.repeat(offset[covered], n[c])
+            yield nodes[group[0] : group[-1] + 1], node, found, context, offset, chunk[place], text[place], start[place] + shift, ids[place]
 
 
 def spans(table: pa.Table) -> pa.Table:
     """Rows (chunk, spans): what texts lose because it also starts in a text of a smaller id."""
     out = [(c, b"") for c, b in zip(table.column("chunk").to_pylist(), table.column("contexts").to_pylist(), strict=True) if not b]
+    names = np.unique(np.asarray(table.column("chunk")))
+    runs = []
     for nodes, node, _, _, _, chunk, text, start, ids in groups_of(table):
         later = (ids > nodes[node, 3]) & (ids != NONE)
-        chunk, text, start, end = chunk[later], text[later], start[later], (start + nodes[node, 2])[later]
-        order = np.argsort(chunk, kind="stable")
-        for i, j in slices(chunk[order]):
-            own = order[i:j]
-            out.append((int(chunk[own[0]]), pack(*(x.astype(np.int32) for x in union(text[own], start[own], end[own])))))
+        if later.any():
+            chunk, text, start, end = chunk[later], text[later].astype(np.int64), start[later], (start + nodes[node, 2])[later]
+            wide = int(text.max()) + 1
+            key, start, end = union(np.searchsorted(names, chunk) * wide + text, start, end)
+            runs.append([x.astype(np.int32) for x in (key // wide, key % wide, start, end)])
+    chunk, text, start, end = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, np.int32),) * 4
+    order = np.argsort(chunk, kind="stable")
+    for i, j in slices(chunk[order]):
+        own = order[i:j]
+        out.append((int(names[chunk[own[0]]]), pack(*(x.astype(np.int32) for x in union(text[own], start[own], end[own])))))
+    del runs
     release()
     chunk, blob = zip(*out, strict=True) if out else ((), ())
     return pa.table([pa.array(chunk, pa.int64()), pa.array(blob, pa.binary())], ["chunk", "spans"])
