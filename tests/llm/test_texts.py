@@ -262,6 +262,20 @@ def test_packing_round_trip(spark, odd):
     check_sequences(got)
 
 
+def test_word_forms_equal_the_library():
+    """Words of letters, also with accents, share a form with or without signs behind them and in either case."""
+    tokeniser = pieces.load(WORD)
+    words = ["Größe", "GRÖSSE###", "größe", "größe%%%", "été.&&&", "Été", "don't", "don'", "İstanbul,", "Ǆ", "×", "a×b", "ab<|", "<|endoftext|>", "<|ENDOFTEXT|>", "x<|endoftext|>", "e\u0301té", "\u0301", "σς", "ΣΑΣ!", "555-9917", "ﬁn", "a\u00a0b", "a\u0338=", "b=\u0338", "Ⱥb!", "日本語。"]
+    texts = [" ".join(words), *words, "", "\n".join(reversed(words))]
+    own = packing.WordIds(WORD)
+    for _ in range(2):
+        ids, sizes = own.encode([t.encode() for t in texts])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[*tokeniser.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    forms = set(own.forms)
+    assert "größe".encode() in forms and not forms & {"Größe".encode(), "größe%%%".encode(), "GRÖSSE###".encode()}
+    assert packing.WordIds(WORD).tokeniser is own.tokeniser  # read once by a process
+
+
 def check_sequences(got):
     by = collections.defaultdict(list)
     for r in got:

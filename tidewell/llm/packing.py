@@ -15,8 +15,10 @@ ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -35,63 +37,70 @@ LENGTH = 4096
 STEP = 8
 END = 2
 CELL_ROWS = 50_000
-MARKS = b".,;:!?"
+# Letters of ASCII and from U+00C0 to U+024F, but for U+0130, whose small form has two code points; then other signs of ASCII.
+LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+"
+MARKED = re.compile(rb"^(?:(" + LETTERS + rb")([!-/:-@\[-`{-~]*)|(.*))$", re.MULTILINE)
 JOINED = 200
 
 
+@lru_cache(1)
+def loaded(path: str) -> tuple:
+    """The tokeniser, and which of its ids end a word; read once by a process."""
+    tokeniser = load(path)
+    vocabulary = tokeniser.get_vocab()
+    ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    return tokeniser, ends_word
+
+
 class WordIds:
     """Ids of words, found once for each distinct word of a task.
 
     The vocabulary drops white space and never joins characters across it, so a text's ids are those of its words in
-    a row. Of a word of plain letters the case doesn't matter, and a mark behind it is a token of its own.
+    a row. Of a word of usual letters the case doesn't matter, and the signs behind it are a piece of their own, so words are
+    put together from forms: each distinct one goes through the tokeniser once. The empty word stands for a text's end.
     """
 
     def __init__(self, path: str):
-        self.tokeniser = load(path)
-        vocabulary = self.tokeniser.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.tokeniser, self.ends_word = loaded(path)
         self.clear()
 
     def clear(self) -> None:
         self.words, self.forms = Lexicon(), Lexicon()
-        self.starts = self.lengths = np.zeros(0, np.int64)
-        self.form_of = np.zeros((0, 2), np.int64)
-        self.form_sizes = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.starts, self.form_starts, self.form_sizes = (np.zeros(0, np.int64) for _ in range(3))
+        self.sizes = np.zeros(0, np.int64)
+        self.ids, self.form_ids = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         self.end = self.forms[b""]
 
-    def _forms(self, word: bytes) -> tuple[int, int]:
-        if word.isalpha():
-            return self.forms[word.lower()], -1
-        if word[-1] in MARKS and word[:-1].isalpha():
-            return self.forms[word[:-1].lower()], self.forms[word[-1:]]
-        return self.forms[word], -1
+    def _forms(self, words: list[bytes]) -> np.ndarray:
+        """The one or two forms of each word; -1 for none."""
+        forms, out = self.forms, []
+        for letters, signs, other in MARKED.findall(b"\n".join(words)):
+            if letters:
+                small = letters.lower() if letters.isascii() else letters.decode().lower().encode()
+                out += forms[small], forms[signs] if signs else -1
+            else:
+                out += forms[other], -1
+        return np.array(out, np.int64).reshape(-1, 2)
 
     def encode(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in a row, each with the end id, and how many each has."""
         if len(self.words) > LEXICON_WORDS:
             self.clear()
-        codes, sizes = self.words.codes(t.split() for t in docs)
-        new = self.words.since(len(self.form_of))
+        codes, sizes = self.words.codes([*t.split(), b""] for t in docs)
+        new = self.words.since(len(self.sizes))
         if new:
-            self.form_of = np.concatenate([self.form_of, np.array([self._forms(w) for w in new], np.int64)])
-        self._learn()
-        # two forms a word, the second may be absent; then the end of each document
-        at = np.full((len(codes) + len(docs), 2), -1, np.int64)
-        ends = np.cumsum(sizes) + np.arange(len(docs))
-        is_end = np.zeros(len(at), bool)
-        is_end[ends] = True
-        at[~is_end] = self.form_of[codes]
-        at[is_end, 0] = self.end
-        per_doc = sums((at >= 0).sum(1), sizes + 1)
-        flat = at.ravel()
-        flat = flat[flat >= 0]
-        lengths = self.form_sizes[flat]
-        return self.ids[ragged(self.starts[flat], lengths)], sums(lengths, per_doc)
+            forms = self._forms(new)
+            self._learn()
+            of = np.where(forms < 0, 0, self.form_sizes[forms])
+            self.ids = np.concatenate([self.ids, self.form_ids[ragged(self.form_starts[forms].ravel(), of.ravel())]])
+            self.sizes = np.concatenate([self.sizes, of.sum(1)])
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        lengths = self.sizes[codes]
+        return self.ids[ragged(self.starts[codes], lengths)], sums(lengths, sizes)
 
     def _learn(self) -> None:
-        new, ids, sizes = self.forms.since(len(self.form_sizes)), [self.ids], [self.form_sizes]
+        new, ids, sizes = self.forms.since(len(self.form_sizes)), [self.form_ids], [self.form_sizes]
         for i in range(0, len(new), 10_000):
             own = [w.decode("utf-8", "replace") for w in new[i : i + 10_000]]
             flat, n = self._split(own)
@@ -100,8 +109,8 @@ class WordIds:
                 n[0] = 1
             sizes.append(n)
             ids.append(flat)
-        self.ids, self.form_sizes = np.concatenate(ids), np.concatenate(sizes)
-        self.starts = np.cumsum(self.form_sizes) - self.form_sizes
+        self.form_ids, self.form_sizes = np.concatenate(ids), np.concatenate(sizes)
+        self.form_starts = np.cumsum(self.form_sizes) - self.form_sizes
 
     def _split(self, forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all forms in a row, and how many each has.
