@@ -403,6 +403,16 @@ def test_lm_learns_more_from_a_larger_share(spark):
     assert score[0] < score[1]
 
 
+def test_lm_learns_from_all_training_rows(spark):
+    """Unless a share is asked for, every training row is in one of the rounds."""
+    rng = random.Random(4)
+    made = [(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randint(1, 40)))) for i in range(300)]
+    d = spark.createDataFrame(made, "doc_id long, text string").repartition(2).localCheckpoint()
+    held = fold("doc_id", 7) == 2
+    every = {r["doc_id"]: r["score"] for r in lm.likelihood(d, held, share=1.0, rounds=2).collect()}
+    assert {r["doc_id"]: r["score"] for r in lm.likelihood(d, held, rounds=2).collect()} == every
+
+
 # --- sharding
 
 

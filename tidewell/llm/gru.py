@@ -16,16 +16,22 @@ def layer(symbols: int, hidden: int, rng: np.random.Generator) -> dict[str, np.n
     return {"W": w.astype(np.float32), "U": u.astype(np.float32), "b": np.zeros(hidden, np.float32)}
 
 
-def step(a: np.ndarray, h: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
-    """The next states; ``a`` holds the rows of W for the symbols read."""
-    k = h.shape[1]
-    g = h @ p["U"]
-    zr = a[:, : 2 * k] + g[:, : 2 * k]
+def gates(a: np.ndarray, h: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+    """Update and reset gates side by side."""
+    k = 2 * h.shape[1]
+    zr = h @ p["U"][:, :k]
+    zr += a[:, :k]
     np.negative(zr, out=zr)
     np.exp(zr, out=zr)
     zr += 1
-    np.reciprocal(zr, out=zr)
-    n = g[:, 2 * k :]
+    return np.reciprocal(zr, out=zr)
+
+
+def step(a: np.ndarray, h: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+    """The next states; ``a`` holds the rows of W for the symbols read."""
+    k = h.shape[1]
+    zr = gates(a, h, p)
+    n = h @ p["U"][:, 2 * k :]
     n += p["b"]
     n *= zr[:, k:]
     n += a[:, 2 * k :]
@@ -45,11 +51,14 @@ def forward(x: np.ndarray, h: np.ndarray, p: dict[str, np.ndarray], keep: np.nda
     for t in range(len(x)):
         if keep is not None:
             h = h * keep[t][:, None]
-        a, g = p["W"][x[t]], h @ p["U"]
-        z = 1 / (1 + np.exp(-(a[:, :k] + g[:, :k])))
-        r = 1 / (1 + np.exp(-(a[:, k : 2 * k] + g[:, k : 2 * k])))
-        q = g[:, 2 * k :] + p["b"]
-        n = np.tanh(a[:, 2 * k :] + r * q)
+        a = p["W"][x[t]]
+        zr = gates(a, h, p)
+        z, r = zr[:, :k], zr[:, k:]
+        q = h @ p["U"][:, 2 * k :]
+        q += p["b"]
+        n = r * q
+        n += a[:, 2 * k :]
+        np.tanh(n, out=n)
         saved.append((h, z, r, q, n))
         h = n + z * (h - n)
         states.append(h)
@@ -60,18 +69,20 @@ def backward(x: np.ndarray, d_states: np.ndarray, saved, p: dict[str, np.ndarray
     """Gradients of W, U and b from those of the states; nothing flows back beyond the window."""
     k = p["b"].size
     d_u, d_b, d_h = np.zeros_like(p["U"]), np.zeros_like(p["b"]), np.zeros_like(d_states[0])
-    inputs = np.empty((*x.shape, 3 * k), np.float32)
+    inputs = np.empty((*x.shape, 3 * k), d_states.dtype)
     for t in range(len(x) - 1, -1, -1):
         h, z, r, q, n = saved[t]
         d_h = d_h + d_states[t]
         d_n = d_h * (1 - z) * (1 - n * n)
         d_q = d_n * r
-        gates = np.concatenate([d_h * (h - n) * z * (1 - z), d_n * q * r * (1 - r), d_q], axis=1)
-        d_u += h.T @ gates
+        own = inputs[t]
+        np.multiply(d_h * (h - n) * z, 1 - z, out=own[:, :k])
+        np.multiply(d_n * q * r, 1 - r, out=own[:, k : 2 * k])
+        own[:, 2 * k :] = d_q
+        d_u += h.T @ own
         d_b += d_q.sum(0)
-        inputs[t, :, : 2 * k] = gates[:, : 2 * k]
-        inputs[t, :, 2 * k :] = d_n
-        d_h = d_h * z + gates @ p["U"].T
+        d_h = d_h * z + own @ p["U"].T
+        own[:, 2 * k :] = d_n
         if keep is not None:
             d_h = d_h * keep[t][:, None]
     return {"W": rows_summed(x.ravel(), inputs.reshape(-1, 3 * k), len(p["W"])), "U": d_u, "b": d_b}
@@ -80,7 +91,7 @@ def backward(x: np.ndarray, d_states: np.ndarray, saved, p: dict[str, np.ndarray
 def rows_summed(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sums of rows with the same index."""
     out = np.zeros((n, rows.shape[1]), rows.dtype)
-    order = np.argsort(index, kind="stable")
+    order = np.argsort(index.astype(np.int16) if n < 1 << 15 else index, kind="stable")  # short numbers sort faster
     keys = index[order]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
     if len(starts):

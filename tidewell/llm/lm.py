@@ -14,7 +14,8 @@ block is scored with what the whole corpus says about its words.
 The network learns by truncated backpropagation through time in numpy, in ``ROUNDS`` rounds. In a round every task goes
 once through the round's part of its training rows, whole documents of any length, beginning with the same weights; the
 weights of all tasks are then averaged by their tokens, first within groups of tasks. Together the rounds take a share
-``SHARE`` of the training rows by a hash of id and text, so documents and steps grow in proportion to the corpus.
+``SHARE`` of the training rows by a hash of id and text, all of them unless less is asked for, so documents and steps
+grow in proportion to the corpus.
 
 Null and empty texts are one end. Without training texts N and V are 0, no word is known and the network stays as it
 starts. Repeated rows count and are scored one by one. Other columns are ignored.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql.window import Window as W
 from tidewell.durable import stored
 
 from . import gru
-from .common import Lexicon, blocks, documents, fold, release, sums, texts, tidy
+from .common import LEXICON_WORDS, Lexicon, blocks, documents, fold, release, sums, texts, tidy
 
 HEAD = 2048
 PER_CLASS = 64
@@ -45,10 +47,11 @@ HIDDEN = 24
 BLOCK = 8 << 20
 LANES = 1024
 WINDOW = 32
-SHARE = 0.25
+PART = 8192
+SHARE = 1.0
 ROUNDS = 8
-TRAIN_LANES = 64
-TRAIN_TOKENS = 1 << 18
+TRAIN_LANES, FEW_LANES, LANE_TOKENS = 512, 64, 1024
+TRAIN_TOKENS = 1 << 19
 FAN_IN = 64
 FOLDS, HELD = 7, 2
 MARKS = b".,;:!?"
@@ -70,6 +73,16 @@ def tail_class_sql(word: Column) -> Column:
 # --- the network
 
 
+def logs(x: np.ndarray, bias, at: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(logarithm of the share of row ``at`` in each column, weights of all rows, their sums) from logits, which are overwritten."""
+    x += bias
+    x -= x.max(0, initial=-np.inf)
+    own = x[at, columns]
+    np.exp(x, out=x)
+    total = x.sum(0)
+    return own - np.log(total), x, total
+
+
 class Network:
     """Symbols 0 (the end) to heads - 1 are words, the next ``TAIL`` ones tail classes; all can be read as input."""
 
@@ -94,38 +107,43 @@ class Network:
 
     def output(self, h: np.ndarray, symbols: np.ndarray, grads: dict[str, np.ndarray] | None = None):
         """Log-probability of each symbol after state ``h``; with ``grads`` also the gradient of the mean loss by ``h``."""
-        kind, n = self.class_of(symbols), len(h)
-        x = h @ self.w["C"] + self.w["c"]
-        x -= x.max(1, keepdims=True)
-        own = x[np.arange(n), kind]
-        np.exp(x, out=x)
-        total = x.sum(1)
-        out = own - np.log(total)
-        d_h = None
+        out, d_h = np.empty(len(h), h.dtype), None if grads is None else np.empty_like(h)
         if grads is not None:
-            x /= total[:, None]
-            x[np.arange(n), kind] -= 1
-            x /= n
-            grads["C"], grads["c"] = h.T @ x, x.sum(0)
-            grads["D"], grads["d"] = np.zeros_like(self.w["D"]), np.zeros_like(self.w["d"])
-            d_h = x @ self.w["C"].T
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(self.head_classes + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[k] : cuts[k + 1]]
-            place = symbols[at] - k * PER_CLASS
-            y = h[at] @ self.w["D"][k] + self.w["d"][k]
-            y -= y.max(1, keepdims=True)
-            own = y[np.arange(len(at)), place]
-            np.exp(y, out=y)
-            total = y.sum(1)
-            out[at] += own - np.log(total)
+            grads |= {k: np.zeros_like(self.w[k]) for k in "CcDd"}
+        for i in range(0, len(h), PART):  # a part's logits stay in the cache
+            at = slice(i, i + PART)
+            out[at], d = self._part(np.ascontiguousarray(h[at].T), symbols[at], grads, len(h))
             if grads is not None:
-                y /= total[:, None]
-                y[np.arange(len(at)), place] -= 1
-                y /= n
-                grads["D"][k], grads["d"][k] = h[at].T @ y, y.sum(0)
-                d_h[at] += y @ self.w["D"][k].T
+                d_h[at] = d.T
+        return out, d_h
+
+    def _part(self, h: np.ndarray, symbols: np.ndarray, grads: dict[str, np.ndarray] | None, n: int):
+        """The same for states in columns; gradients add up, of the mean over ``n`` symbols."""
+        kind, every = self.class_of(symbols).astype(np.int16), np.arange(h.shape[1])
+        out, x, x_sum = logs(self.w["C"].T @ h, self.w["c"][:, None], kind, every)
+        order = np.argsort(kind, kind="stable")
+        cuts = np.searchsorted(kind[order], np.arange(self.head_classes + 1)).tolist()
+        order = order[: cuts[-1]]  # those in head classes, class by class
+        own = h[:, order]
+        spans = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+        y = np.empty((PER_CLASS, len(order)), h.dtype)
+        for k, at in spans:
+            y[:, at] = self.w["D"][k].T @ own[:, at] + self.w["d"][k][:, None]
+        log, y, y_sum = logs(y, 0, symbols[order] % PER_CLASS, every[: len(order)])
+        out[order] += log
+        if grads is None:
+            return out, None
+        for z, total, at in ((x, x_sum, kind), (y, y_sum, symbols[order] % PER_CLASS)):
+            z /= total * n
+            z[at, every[: len(at)]] -= 1 / n
+        grads["C"] += h @ x.T
+        grads["c"] += x.sum(1)
+        d_h, d = self.w["C"] @ x, np.empty_like(own)
+        for k, at in spans:
+            grads["D"][k] += own[:, at] @ y[:, at].T
+            grads["d"][k] += y[:, at].sum(1)
+            d[:, at] = self.w["D"][k] @ y[:, at]
+        d_h[:, order] += d
         return out, d_h
 
     def train(self, docs: list[np.ndarray], opt: gru.Adam, lanes: int, rate: float = 1.0) -> None:
@@ -136,7 +154,8 @@ class Network:
         starts[np.cumsum([0, *map(len, docs[:-1])])] = True
         before = np.concatenate([[0], flat[:-1]])
         before[starts] = 0
-        lanes = max(1, min(lanes, len(flat) // WINDOW))
+        # many lanes cost less a token, few lanes give few tokens more steps
+        lanes = max(1, min(lanes, max(min(FEW_LANES, len(flat) // WINDOW), len(flat) // LANE_TOKENS)))
         length = -(-len(flat) // lanes)
         at = np.arange(lanes)[None, :] * (len(flat) - length) // max(lanes - 1, 1)  # lanes cover all tokens
         h = np.zeros((lanes, HIDDEN), np.float32)
@@ -249,25 +268,38 @@ def scorer(net: Network, n_all: int, v_all: int, n_docs: int, tails: np.ndarray,
 WEIGHTS = "task int, tokens long, weights binary"
 
 
+class Symbols(dict):
+    """Symbols of words, kept for the words met."""
+
+    def __init__(self, heads: dict[bytes, int], tail: int):
+        super().__init__(heads)
+        self.tail = tail
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = self.tail + tail_class(word)
+        return n
+
+
 def learner(net: Network, heads: dict[bytes, int], lanes: int, rate: float):
     """One pass over the rows of a task: its weights and how many tokens they saw."""
 
-    def symbols(text: bytes) -> np.ndarray:
-        own = [heads.get(w, -1) for w in tokens(text)]
-        if -1 in own:
-            own = [net.heads + tail_class(w) if k < 0 else k for k, w in zip(own, tokens(text), strict=True)]
-        return np.array([*own, 0], np.int64)
+    def symbols(text: bytes, known: Symbols) -> np.ndarray:
+        own = tokens(text)
+        return np.fromiter(chain(map(known.__getitem__, own), (0,)), np.int32, len(own) + 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opt = gru.Adam(net.w, 0.01)
+        known = Symbols(heads, net.heads)
         docs, waiting, seen = [], 0, 0
         for batch in blocks(batches, "text"):
             for text in texts(batch.column("text")):
-                docs.append(symbols(text))
+                docs.append(symbols(text, known))
                 waiting += len(docs[-1])
                 if waiting >= TRAIN_TOKENS:
                     net.train(docs, opt, lanes, rate)
                     docs, waiting, seen = [], 0, seen + waiting
+                    if len(known) > LEXICON_WORDS // 4:
+                        known = Symbols(heads, net.heads)
         if docs:
             net.train(docs, opt, lanes, rate)
         seen += waiting
