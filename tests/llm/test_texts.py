@@ -582,6 +582,14 @@ def test_jaccard_odd_rows(odd):
     assert [by[i]["n_shingles"] for i in (3, 4, 5, 9)] == [0, 0, 0, 1] and by[None]["component_id"] is None
 
 
+def test_bitmaps_are_at_most_a_byte_a_shingle():
+    texts = [" ".join(f"w{i}" for i in range(n + 4)) for n in (70, 100, 128, 500)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(4), pa.int64()), "text": texts})
+    [got] = jaccard.signatures(5, 75, np.zeros(0, np.uint64))([batch])
+    for n, bits in zip(got.column("n").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        assert n / 2 <= len(bits) <= n
+
+
 def test_trees_lose_no_pair():
     rng = np.random.default_rng(4)
     sets = []

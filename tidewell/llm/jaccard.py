@@ -47,7 +47,7 @@ PERCENT = 75
 FREQUENT = 1 << 17
 COUNTED_BYTES = 8 << 20
 GROUP = 4096
-BITS = 8
+BITS = 4  # for a shingle at least, up to twice as many; they are most of what moves for texts that meet
 LEAF, FAN = 16, 8
 CELL_ROWS = 2_000
 SEEN = 1 << 17
