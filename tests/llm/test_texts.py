@@ -365,6 +365,43 @@ def test_lm_base_and_model(docs, odd):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_long_texts_are_scored_in_few_products(monkeypatch):
+    """A long text alone fills a window, so its steps share the products of the output layer."""
+    net, calls = lm.Network([5, 4, 3], [1] * lm.TAIL, seed=3), []
+    whole = net.output
+    monkeypatch.setattr(net, "output", lambda h, s: calls.append(len(h)) or whole(h, s))
+    sizes = np.array([10_000, 20, 3])
+    flat = np.random.default_rng(0).integers(0, 3 + lm.TAIL, sizes.sum())
+    got = net.score(flat, sizes)
+    assert sum(calls) == sizes.sum() and len(calls) <= 2
+    assert math.isclose(got[1], net.score(flat[10_000:10_020], sizes[1:2])[0], rel_tol=1e-4)
+
+
+def test_logits_beyond_exp():
+    net = lm.Network([5, 4, 3], [1] * lm.TAIL, seed=3)
+    net.w["C"][0], net.w["c"][1] = 300, -700
+    h = np.random.default_rng(0).uniform(-1, 1, (50, lm.HIDDEN)).astype(np.float32)
+    every, grads = np.arange(3 + lm.TAIL), {}
+    for row in h:
+        assert math.isclose(np.exp(net.output(np.repeat(row[None], len(every), 0), every)[0]).sum(), 1, rel_tol=1e-3)
+    out, d = net.output(h, np.arange(50) % len(every), grads)
+    assert all(np.isfinite(x).all() for x in (out, d, *grads.values()))
+
+
+def test_lm_symbols_of_odd_texts(spark):
+    odd = ["", None, "  ", "a", " A b\x0bC\x0cd\x1c\x1d e\x85f\xa0g. ", "É! Ñ\r\n\tx,", "".join(map(chr, range(1, 300))), "　zz y", "b? b"]
+    heads = {b"a": 1, b"x,": 3, b"zz": 2}
+    own = [(t or "").encode().lower().split() for t in odd]
+    want = [[heads.get(w, 4 + zlib.crc32(w[:2]) % lm.PAIRS * 2 + (w[-1] in lm.MARKS)) for w in t] + [0] for t in own]
+    for column in (pa.array(odd), pa.array(["q q", *odd]).slice(1), pa.array(odd, pa.large_string())):
+        assert [x.tolist() for x in lm.symbols(column, heads, 4)] == want
+        words, sizes = lm.tokens(column)
+        assert words.to_pylist() == sum(own, []) and sizes.tolist() == [len(t) for t in own]
+    rows = spark.createDataFrame([(bytearray(w),) for w in words.to_pylist()], "word binary")
+    sql = {bytes(r[0]): r[1] for r in rows.select("word", lm.tail_class_sql(F.col("word"))).collect()}
+    assert [sql[w] for w in words.to_pylist()] == lm.tail_classes(words, np.arange(len(words))).tolist()
+
+
 def test_lm_weights_are_averaged_by_tokens():
     net = lm.Network([5, 4, 3], [1] * lm.TAIL, seed=3)
     a, b = net.flat(), np.arange(len(net.flat()), dtype=np.float32)

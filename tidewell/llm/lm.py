@@ -25,10 +25,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from pyspark.sql.window import Window as W
 from tidewell.durable import stored
 
 from . import gru
-from .common import LEXICON_WORDS, Lexicon, blocks, documents, fold, release, sums, texts, tidy
+from .common import blocks, documents, fold, release, sums, tidy
 
 HEAD = 2048
 PER_CLASS = 64
@@ -47,7 +48,9 @@ HIDDEN = 24
 BLOCK = 8 << 20
 LANES = 1024
 WINDOW = 32
-PART = 8192
+STATES = 1 << 14
+PART = 1024
+CALM = 40
 SHARE = 1.0
 ROUNDS = 8
 TRAIN_LANES, FEW_LANES, LANE_TOKENS = 512, 64, 1024
@@ -57,12 +60,28 @@ FOLDS, HELD = 7, 2
 MARKS = b".,;:!?"
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after the other, and how many each text has; null counts as empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten().cast(pa.binary())
+    real = np.asarray(pc.binary_length(words)) > 0  # white space at an end of a text gives an empty word
+    sizes = sums(real.astype(np.int64), np.asarray(pc.list_value_length(lists), np.int64))
+    return words if real.all() else words.filter(pa.array(real)), sizes
 
 
-def tail_class(word: bytes) -> int:
-    return zlib.crc32(word[:2]) % PAIRS * 2 + (word[-1] in MARKS)
+@cache
+def pair_classes() -> np.ndarray:
+    """Tail classes of words without a mark at their end by the first byte and the second, 256 if there is none."""
+    return np.array([[zlib.crc32(bytes([a, b][: 2 - b // 256])) % PAIRS * 2 for b in range(257)] for a in range(256)], np.int32)
+
+
+def tail_classes(words: pa.Array, at: np.ndarray) -> np.ndarray:
+    """Of the words numbered ``at``; ``tail_class_sql`` says the same."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    first, last = ends[at], ends[at + 1] - 1
+    second = np.where(first < last, data[np.minimum(first + 1, last)].astype(np.int32), 256)
+    return pair_classes()[data[first], second] + np.isin(np.arange(256), list(MARKS))[data[last]]
 
 
 def tail_class_sql(word: Column) -> Column:
@@ -73,14 +92,31 @@ def tail_class_sql(word: Column) -> Column:
 # --- the network
 
 
-def logs(x: np.ndarray, bias, at: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(logarithm of the share of row ``at`` in each column, weights of all rows, their sums) from logits, which are overwritten."""
-    x += bias
-    x -= x.max(0, initial=-np.inf)
-    own = x[at, columns]
+def chosen(h: np.ndarray, w: np.ndarray, at: np.ndarray, calm: bool, n: int, grad: np.ndarray | None = None):
+    """Logarithm of the share of column ``at`` in each row of ``h @ w``, softmaxed; with ``grad`` also the gradient of the
+    mean loss over ``n`` rows by ``h``, and that by ``w`` is added to ``grad``.
+
+    The last column of ``h`` is 1, for the biases. ``calm`` says that no logit can leave what exp takes.
+    """
+    x = h @ w
+    if not calm:
+        x -= x.max(1, keepdims=True)
+    flat, at = x.reshape(-1), at + np.arange(len(h)) * w.shape[1]
+    own = flat.take(at)
     np.exp(x, out=x)
-    total = x.sum(0)
-    return own - np.log(total), x, total
+    total = x @ np.ones(w.shape[1], x.dtype)
+    if grad is None:
+        return own - np.log(total), None
+    flat[at] -= total
+    scale = (1 / (total * n))[:, None]
+    grad += (h * scale).T @ x
+    return own - np.log(total), (x @ w[:-1].T) * scale
+
+
+def calm(w: np.ndarray) -> np.ndarray:
+    """Whether the logits of states between -1 and 1 stay within exp's range, for a matrix or each of several; the last row has the biases."""
+    reach, bias = np.abs(w[..., :-1, :]).sum(-2), w[..., -1, :]
+    return ((bias + reach).max(-1) < CALM) & ((bias - reach).max(-1) > -CALM)
 
 
 class Network:
@@ -107,43 +143,34 @@ class Network:
 
     def output(self, h: np.ndarray, symbols: np.ndarray, grads: dict[str, np.ndarray] | None = None):
         """Log-probability of each symbol after state ``h``; with ``grads`` also the gradient of the mean loss by ``h``."""
-        out, d_h = np.empty(len(h), h.dtype), None if grads is None else np.empty_like(h)
-        if grads is not None:
-            grads |= {k: np.zeros_like(self.w[k]) for k in "CcDd"}
-        for i in range(0, len(h), PART):  # a part's logits stay in the cache
+        n, learn = len(h), grads is not None
+        kind = self.class_of(symbols).astype(np.int16)
+        order = np.argsort(kind, kind="stable")  # class by class, head classes first
+        kind, place = kind[order], (symbols % PER_CLASS)[order]
+        own = np.column_stack([h.take(order, axis=0), np.ones(n, h.dtype)])
+        outer, inner = np.vstack([self.w["C"], self.w["c"]]), np.concatenate([self.w["D"], self.w["d"][:, None]], axis=1)
+        g_outer, g_inner = np.zeros_like(outer), np.zeros_like(inner) if learn else inner
+        log, d, even = np.empty(n, h.dtype), np.empty_like(h) if learn else None, bool(calm(outer))
+        for i in range(0, n, PART):  # a part's logits stay in the cache
             at = slice(i, i + PART)
-            out[at], d = self._part(np.ascontiguousarray(h[at].T), symbols[at], grads, len(h))
-            if grads is not None:
-                d_h[at] = d.T
-        return out, d_h
-
-    def _part(self, h: np.ndarray, symbols: np.ndarray, grads: dict[str, np.ndarray] | None, n: int):
-        """The same for states in columns; gradients add up, of the mean over ``n`` symbols."""
-        kind, every = self.class_of(symbols).astype(np.int16), np.arange(h.shape[1])
-        out, x, x_sum = logs(self.w["C"].T @ h, self.w["c"][:, None], kind, every)
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(self.head_classes + 1)).tolist()
-        order = order[: cuts[-1]]  # those in head classes, class by class
-        own = h[:, order]
-        spans = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-        y = np.empty((PER_CLASS, len(order)), h.dtype)
-        for k, at in spans:
-            y[:, at] = self.w["D"][k].T @ own[:, at] + self.w["d"][k][:, None]
-        log, y, y_sum = logs(y, 0, symbols[order] % PER_CLASS, every[: len(order)])
-        out[order] += log
-        if grads is None:
+            log[at], d_own = chosen(own[at], outer, kind[at], even, n, g_outer if learn else None)
+            if learn:
+                d[at] = d_own
+        cuts = np.searchsorted(kind, np.arange(self.head_classes + 1)).tolist()
+        for k, even in enumerate(calm(inner).tolist()):
+            for i in range(cuts[k], cuts[k + 1], PART):
+                at = slice(i, min(i + PART, cuts[k + 1]))
+                more, d_own = chosen(own[at], inner[k], place[at], even, n, g_inner[k] if learn else None)
+                log[at] += more
+                if learn:
+                    d[at] += d_own
+        out = np.empty_like(log)
+        out[order] = log
+        if not learn:
             return out, None
-        for z, total, at in ((x, x_sum, kind), (y, y_sum, symbols[order] % PER_CLASS)):
-            z /= total * n
-            z[at, every[: len(at)]] -= 1 / n
-        grads["C"] += h @ x.T
-        grads["c"] += x.sum(1)
-        d_h, d = self.w["C"] @ x, np.empty_like(own)
-        for k, at in spans:
-            grads["D"][k] += own[:, at] @ y[:, at].T
-            grads["d"][k] += y[:, at].sum(1)
-            d[:, at] = self.w["D"][k] @ y[:, at]
-        d_h[:, order] += d
+        grads |= {"C": g_outer[:-1], "c": g_outer[-1], "D": g_inner[:, :-1], "d": g_inner[:, -1]}
+        d_h = np.empty_like(d)
+        d_h[order] = d
         return out, d_h
 
     def train(self, docs: list[np.ndarray], opt: gru.Adam, lanes: int, rate: float = 1.0) -> None:
@@ -161,11 +188,11 @@ class Network:
         h = np.zeros((lanes, HIDDEN), np.float32)
         for t in range(0, length, WINDOW):
             rows = at + np.arange(t, min(t + WINDOW, length))[:, None]
-            keep = (~starts[rows]).astype(np.float32)
-            states, saved = gru.forward(before[rows], h, self.w, keep)
+            x, anew = before[rows], starts[rows]
+            states, saved = gru.forward(x, h, self.w, anew)
             grads: dict[str, np.ndarray] = {}
             _, d = self.output(states.reshape(-1, HIDDEN), flat[rows].ravel(), grads)
-            grads |= gru.backward(before[rows], d.reshape(states.shape), saved, self.w, keep)
+            grads |= gru.backward(x, d.reshape(states.shape), saved, self.w, anew)
             opt.update(grads, rate)
             h = states[-1]
 
@@ -189,18 +216,17 @@ class Network:
         for i in range(0, len(order), LANES):
             own = order[i : i + LANES]
             h = np.zeros((len(own), HIDDEN), np.float32)
-            for t0 in range(0, int(sizes[own[0]]), WINDOW):
+            t0, stop = 0, int(sizes[own[0]])
+            while t0 < stop:
                 n = int(np.searchsorted(-sizes[own], -t0))  # documents longer than t0
-                steps = min(WINDOW, int(sizes[own[0]]) - t0)
-                h = h[:n]
-                states = np.empty((steps, n, HIDDEN), np.float32)
+                steps = min(max(WINDOW, STATES // n), stop - t0)
                 rows = np.minimum(begin[own[:n]][None, :] + np.arange(t0, t0 + steps)[:, None], len(flat) - 1)
-                for t in range(steps):
-                    h = gru.step(self.w["W"][before[rows[t]]], h, self.w)
-                    states[t] = h
+                states = gru.states(before[rows], h[:n], self.w)
+                h = states[-1]
                 real = np.arange(t0, t0 + steps)[:, None] < sizes[own[:n]][None, :]
                 log, _ = self.output(states[real], flat[rows[real]])
                 out += np.bincount(np.broadcast_to(own[:n], real.shape)[real], log, len(sizes))
+                t0 += steps
         return out
 
 
@@ -213,25 +239,24 @@ def encoder(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents (codes of their words in the block) and rows of words (their number of uses in training)."""
     block = (TaskContext.get().partitionId()) << 32
     for batch in blocks(batches, "text", BLOCK):
-        lexicon = Lexicon()
-        codes, sizes = lexicon.codes(map(tokens, texts(batch.column("text"))))
+        own, sizes = tokens(batch.column("text"))
+        own = own.dictionary_encode()
+        words, codes = own.dictionary, np.asarray(own.indices)
         held = np.asarray(batch.column("held_out").to_numpy(zero_copy_only=False), bool)
-        ends = np.cumsum(sizes)
         used = codes[~np.repeat(held, sizes)]
-        n = np.bincount(used, minlength=len(lexicon))
-        raw = memoryview(codes.astype("<i4").tobytes())
-        rows = [raw[4 * (e - k) : 4 * e].tobytes() for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        n = np.bincount(used, minlength=len(words))
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * 4
+        rows = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(codes.astype("<i4"))])
         none, kinds = len(rows), batch.schema.field("id").type
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(none, block)), batch.column("id"), batch.column("held_out"), pa.array(rows, pa.binary()),
+            [pa.array(np.full(none, block)), batch.column("id"), batch.column("held_out"), rows,
              pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.int64())],
             ["block", "id", "held_out", "codes", "code", "word", "n"])
-        words = list(lexicon)
         for i in range(0, len(words), 50_000):
-            k = len(words[i : i + 50_000])
+            k = min(50_000, len(words) - i)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(k, block)), pa.nulls(k, kinds), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.binary()),
-                 pa.array(np.arange(i, i + k, dtype=np.int32)), pa.array(words[i : i + k], pa.binary()), pa.array(n[i : i + k])],
+                 pa.array(np.arange(i, i + k, dtype=np.int32)), words.slice(i, k), pa.array(n[i : i + k])],
                 ["block", "id", "held_out", "codes", "code", "word", "n"])
         block += 1
 
@@ -268,38 +293,33 @@ def scorer(net: Network, n_all: int, v_all: int, n_docs: int, tails: np.ndarray,
 WEIGHTS = "task int, tokens long, weights binary"
 
 
-class Symbols(dict):
-    """Symbols of words, kept for the words met."""
-
-    def __init__(self, heads: dict[bytes, int], tail: int):
-        super().__init__(heads)
-        self.tail = tail
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = self.tail + tail_class(word)
-        return n
+def symbols(texts: pa.Array, heads: dict[bytes, int], tail: int) -> list[np.ndarray]:
+    """For each text the symbols of its words and the end; those of tail classes begin at ``tail``."""
+    words, sizes = tokens(texts)
+    found = pc.index_in(words, value_set=pa.array(list(heads), pa.binary()))
+    rest = np.flatnonzero(np.asarray(found.is_null()))
+    own = np.array([*heads.values(), 0], np.int32)[np.asarray(found.fill_null(len(heads)))]
+    if len(rest):
+        own[rest] = tail + tail_classes(words, rest)
+    ends = np.cumsum(sizes + 1)
+    flat = np.zeros(len(own) + len(sizes), np.int32)
+    flat[np.arange(len(own)) + np.repeat(np.arange(len(sizes)), sizes)] = own
+    return [flat[e - n - 1 : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
 def learner(net: Network, heads: dict[bytes, int], lanes: int, rate: float):
     """One pass over the rows of a task: its weights and how many tokens they saw."""
 
-    def symbols(text: bytes, known: Symbols) -> np.ndarray:
-        own = tokens(text)
-        return np.fromiter(chain(map(known.__getitem__, own), (0,)), np.int32, len(own) + 1)
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opt = gru.Adam(net.w, 0.01)
-        known = Symbols(heads, net.heads)
         docs, waiting, seen = [], 0, 0
         for batch in blocks(batches, "text"):
-            for text in texts(batch.column("text")):
-                docs.append(symbols(text, known))
-                waiting += len(docs[-1])
+            for own in symbols(batch.column("text"), heads, net.heads):
+                docs.append(own)
+                waiting += len(own)
                 if waiting >= TRAIN_TOKENS:
                     net.train(docs, opt, lanes, rate)
                     docs, waiting, seen = [], 0, seen + waiting
-                    if len(known) > LEXICON_WORDS // 4:
-                        known = Symbols(heads, net.heads)
         if docs:
             net.train(docs, opt, lanes, rate)
         seen += waiting
