@@ -9,6 +9,7 @@ import pytest
 from helpers import HOUR, at, close, frame, masked, same, values
 from pyspark.sql import functions as F
 
+from catalog.features import QUADRATIC_7
 from tidewell.functions.quantile import exact_quantile
 from tidewell.models import ar, features, naive, paths, trees
 from tidewell.operators import covariates, prep
@@ -40,6 +41,12 @@ def test_savgol_reproduces_polynomials(spark):
     assert all(close(a, b, 1e-7) for a, b in zip(got, vs))
 
 
+def test_savgol_weights_are_exact():
+    """The nearest doubles of the fractions, so that sums halfway between two rounded values match the SQL."""
+    assert (prep.savgol_table(7, 2) == np.array(QUADRATIC_7)).all()
+    assert (prep.savgol_table(5, 4) == np.eye(5)).all()
+
+
 @pytest.mark.parametrize("span", [6 * HOUR, None])
 def test_fragments(spark, span):
     a, b = masked(60, 1), masked(60, 2)

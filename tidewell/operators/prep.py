@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -13,10 +14,19 @@ from ..slices import SLICE, halo_window, nearest, running_sum, span_of, with_hal
 
 
 def savgol_table(window: int, order: int) -> np.ndarray:
-    """Row ``p``: weights of the ``window`` values for the least-squares polynomial at position ``p``."""
-    x = np.arange(window) - window // 2
-    basis = np.vander(x, order + 1, increasing=True).astype(float)
-    return basis @ np.linalg.pinv(basis)
+    """Row ``p``: weights of the ``window`` values for the least-squares polynomial at position ``p``.
+
+    Worked out in fractions, so each weight is the double nearest to it.
+    """
+    basis: list[list[Fraction]] = []  # orthogonal polynomials at the places of the window
+    for degree in range(order + 1):
+        own = [Fraction(i - window // 2) ** degree for i in range(window)]
+        for q in basis:
+            share = sum(a * b for a, b in zip(own, q, strict=True)) / sum(b * b for b in q)
+            own = [a - share * b for a, b in zip(own, q, strict=True)]
+        basis.append(own)
+    sizes = [sum(b * b for b in q) for q in basis]
+    return np.array([[float(sum(q[p] * q[j] / n for q, n in zip(basis, sizes, strict=True))) for j in range(window)] for p in range(window)])
 
 
 def savgol(df: DataFrame, res: int | str, window: int, order: int, span: int | None = None) -> DataFrame:
