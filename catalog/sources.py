@@ -173,8 +173,9 @@ def s_10(spark, sf):
     from .base import od_day, od_grid
 
     filled = impute(od_grid(spark, sf, True), "1d", "linear", flag=True)
-    written = readers.write_tables(
-        {"removed": outlier_report(od_day(spark, sf), 2.0), "imputed": imputed_report(filled)}, new_path(spark, "reports"), by="ts_id"
-    )
-    out = [spark.read.parquet(p).groupBy("ts_id").agg(F.count("*").alias("n")).select(F.lit(k).alias("report"), "ts_id", "n") for k, p in written.items()]
+    tables = {"removed": outlier_report(od_day(spark, sf), 2.0), "imputed": imputed_report(filled)}
+    written = readers.write_tables(tables, new_path(spark, "reports"), by="ts_id")
+    # names of folders are read as the text they are, not as numbers or dates
+    read = {k: spark.read.schema(tables[k].schema).parquet(p) for k, p in written.items()}
+    out = [d.groupBy("ts_id").agg(F.count("*").alias("n")).select(F.lit(k).alias("report"), "ts_id", "n") for k, d in read.items()]
     return out[0].unionByName(out[1])

@@ -7,6 +7,7 @@ import pytest
 from helpers import at, frame, values
 from pyspark.sql import functions as F
 
+from catalog import QUERIES
 from tidewell.operators import profile, quality
 from tidewell.sources import layouts, readers
 
@@ -183,6 +184,25 @@ def test_written_files_read_back(spark, tmp_path):
     assert {k: spark.read.parquet(p).count() for k, p in paths.items()} == {"one": 3, "two": 3}
 
 
+def test_written_tables_without_rows_read_back(spark, tmp_path):
+    d = frame(spark, {("a", "x"): [1.0, None], ("b", "x"): [2.0]})
+    paths = readers.write_tables({"some": d, "none": d.filter("value > 5")}, str(tmp_path / "reports"), by="ts_id")
+    assert {k: spark.read.parquet(p).count() for k, p in paths.items()} == {"some": 3, "none": 0}
+    assert dict(spark.read.parquet(paths["none"]).dtypes) == dict(d.dtypes)
+
+
+@pytest.mark.parametrize("names", ["AB", ("1", "01")])
+@pytest.mark.parametrize("gap, far", [(False, True), (True, False), (True, True), (False, False)])
+def test_cleaning_reports_without_rows(spark, tmp_path, names, gap, far):
+    """Daily orders of two priorities; the first one may miss a day or hold a value far from the others."""
+    days = [dt.datetime(2023, 3, 1) + dt.timedelta(days=i) for i in range(20)]
+    rows = [(p, t, 900.0 if far and (p, i) == (names[0], 4) else 100.0 + i % 2) for p in names for i, t in enumerate(days) if not gap or (p, i) != (names[0], 9)]
+    spark.createDataFrame(rows, "o_orderpriority string, o_orderdate timestamp_ntz, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    got = QUERIES["s_10_cleaning_reports"](spark, str(tmp_path))
+    assert got.dtypes == [("report", "string"), ("ts_id", "string"), ("n", "bigint")]
+    assert {tuple(r) for r in got.collect()} == {(k, names[0], 1) for k, there in (("imputed", gap), ("removed", far)) if there}
+
+
 def test_other_rules(spark):
     d = frame(spark, {("a", "x"): [1.0] * 5 + [None], ("b", "x"): [2.0] * 30, ("c", "x"): [None] * 3})
     assert {r["ts_id"] for r in quality.v_ends_before_val(d, at(20).isoformat()).collect()} == {"a", "c"}

@@ -159,13 +159,16 @@ def write_long(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def write_tables(tables: dict[str, DataFrame], path: str, by: str | None = None) -> dict[str, str]:
     """Write named report tables (removed values, imputed values, forecasts, metrics, ...) below ``path``.
 
-    ``by`` splits the output into folders; use it for columns of few values only, never for millions of series.
+    ``by`` splits the output into folders; use it for columns of few values only, never for millions of series. Spark writes
+    no file for a table without rows then; one file that holds only its columns is added, so that it can be read back.
     """
     out = {}
     for name, df in tables.items():
         target = f"{path.rstrip('/')}/{name}"
         writer = df.write.mode("errorifexists")
         (writer.partitionBy(by) if by else writer).parquet(target)
+        if by and df.sparkSession.read.schema(df.schema).parquet(target).isEmpty():
+            df.limit(0).write.mode("append").parquet(target)
         out[name] = target
     return out
 
